@@ -6,10 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import digest, kneser_ney
+from keyloom.llm import digest, kneser_ney, merge_dropout, packing, pii, simhash, telephony, token_counts
 from keyloom.session import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_identifiers(table(spark, sf_dir, "documents"))
+
+
+def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.decode_calls(telephony.media_column(table(spark, sf_dir, "documents")))
+
+
+def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -18,7 +38,11 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_canonical_digest, op9_kneser_ney)}
+def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_pii_spans, op5_telephony_audio, op6_trie_token_counts, op7_simhash_groups, op8_canonical_digest, op9_kneser_ney, op10_merge_dropout)}
 
 # DuckDB has no NFKC and no case folding beyond lower(); for letters such as those in the tables NFC, lower() and the
 # sharp s give the same groups.
