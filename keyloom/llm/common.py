@@ -86,3 +86,43 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     np.cumsum((data.astype(U64) + U64(1)) * _power("p", _P, len(data)), out=total[1:])
     h = (total[e] - total[s]) * _power("i", _P_INV, len(data))[s]
     return mix64(h ^ (e - s).astype(U64)), np.searchsorted(offsets, s, side="right") - 1
+
+
+BLOCK_BYTES = 32 << 20
+
+
+def write_block(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def read_blocks(bodies: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for body in bodies:
+        yield from pa.ipc.open_stream(body.as_buffer())
+
+
+def packed_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, body): the rows of one block that lie in one task as one compressed row, so that a shuffle by block is small."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        blocks = table.column("block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], blocks[order][1:] != blocks[order][:-1])))
+        for a, b in zip(cuts, np.append(cuts[1:], len(order))):
+            own = table.take(pa.array(order[a:b])).drop_columns(["block"]).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array([blocks[order[a]]], pa.int32()), pa.array([write_block(own)], pa.binary())], ["block", "body"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size > BLOCK_BYTES:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()

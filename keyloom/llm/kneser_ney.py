@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import mix64, utf8
+from keyloom.llm.common import mix64, packed_by_block, read_blocks, utf8
 from keyloom.session import checkpoint, shuffle_partitions
 
 ORDER = 5
@@ -292,44 +292,6 @@ def train(trusted: DataFrame, shards: int) -> tuple[DataFrame, Model]:
 
 # --- scoring ------------------------------------------------------------------------------------------------------
 
-_DOCS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
-
-
-def _write_block(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _read_blocks(bodies: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
-    for body in bodies:
-        yield from pa.ipc.open_stream(body.as_buffer())
-
-
-def _blocker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one block that lie in one task as one compressed row, so that the one shuffle of the texts is small."""
-    held, size = [], 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        blocks = table.column("block").to_numpy()
-        order = np.argsort(blocks, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], blocks[order][1:] != blocks[order][:-1])))
-        for a, b in zip(cuts, np.append(cuts[1:], len(order))):
-            own = table.take(pa.array(order[a:b])).select(["doc_id", "lang", "text"]).cast(_DOCS).combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array([blocks[order[a]]], pa.int32()), pa.array([_write_block(own)], pa.binary())], ["block", "body"])
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.nbytes
-        if size > 32 << 20:
-            yield from flush()
-            held, size = [], 0
-    if held:
-        yield from flush()
-
 
 def doc_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, body): documents by the hash of doc_id, compressed."""
@@ -338,7 +300,7 @@ def doc_blocks(docs: DataFrame, blocks: int) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.col("text").cast("string").alias("text"),
-    ).mapInArrow(_blocker, "block int, body binary")
+    ).mapInArrow(packed_by_block, "block int, body binary")
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
@@ -354,7 +316,7 @@ def _requests(shards: int):
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         found: dict[str, tuple[list, list]] = {}
-        for batch in _read_blocks(table.column("body")):
+        for batch in read_blocks(table.column("body")):
             for lang, _, texts in _by_lang(batch):
                 k, _ = counted(padded(texts))
                 own = found.setdefault(lang, ([], []))
@@ -422,7 +384,7 @@ def _scores(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         tables[lang] = keys[order], np.concatenate(p)[order].astype(np.float64)
     none = (np.zeros(0, U64), np.zeros(0))
     ids, langs, sizes, sums = [], [], [], []
-    for batch in _read_blocks(blocks.column("body")):
+    for batch in read_blocks(blocks.column("body")):
         for lang, at, texts in _by_lang(batch):
             ids.append(batch.column("doc_id").take(pa.array(at)))
             langs += [lang] * len(at)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import digest, kneser_ney, merge_dropout, packing, pii, simhash, telephony, token_counts
+from keyloom.llm import digest, kneser_ney, license_scan, merge_dropout, packing, pii, simhash, site_templates, telephony, token_counts
 from keyloom.session import table
 
 
@@ -14,6 +14,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_identifiers(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_dropout.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_pii_spans, op5_telephony_audio, op6_trie_token_counts, op7_simhash_groups, op8_canonical_digest, op9_kneser_ney, op10_merge_dropout)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_site_templates, op4_pii_spans, op5_telephony_audio, op6_trie_token_counts, op7_simhash_groups, op8_canonical_digest, op9_kneser_ney, op10_merge_dropout)}
 
 # DuckDB has no NFKC and no case folding beyond lower(); for letters such as those in the tables NFC, lower() and the
 # sharp s give the same groups.
