@@ -1,6 +1,9 @@
 """The hash algebra as Catalyst expressions on bigint columns that carry unsigned bit patterns.
 
 Nothing relies on wrapping arithmetic, so that ANSI mode, where overflow raises, makes no difference: products go through 16-bit limbs.
+A product reads each limb several times, so that nested products would grow without measure if written as one expression.  Functions with
+products therefore take a Let, which makes what they read into columns of their own; Catalyst keeps such projections apart, and
+code generation fuses them.
 """
 
 from __future__ import annotations
@@ -62,33 +65,51 @@ def _limbs(a: Column) -> list[Column]:
     return [_and(F.shiftrightunsigned(a, 16 * i), 0xFFFF) for i in range(4)]
 
 
-def _product(a: Column, b: Column, limbs: int) -> list[Column]:
-    """The lowest 16-bit limbs of a times b."""
-    x, y = _limbs(a), _limbs(b)
-    out, carry = [], None
-    for k in range(limbs):
-        terms = [x[i] * y[k - i] for i in range(max(0, k - 3), min(3, k) + 1)]
-        total = carry
-        for t in terms:
-            total = t if total is None else total + t
-        out.append(_and(total, 0xFFFF))
-        carry = F.shiftrightunsigned(total, 16)
-    return out
+class Let:
+    """A DataFrame that gains a hidden column for each expression it is given."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df, self._columns = df, df.columns
+
+    def __call__(self, *expressions: Column) -> list[Column]:
+        names = [f"__let_{len(self.df.columns) + i}" for i in range(len(expressions))]
+        self.df = self.df.withColumns(dict(zip(names, expressions)))
+        return [F.col(n) for n in names]
 
+    def result(self, **columns: Column) -> DataFrame:
+        """The DataFrame as it was, with columns."""
+        return self.df.select(*[c for c in self._columns if c not in columns], *[e.alias(n) for n, e in columns.items()])
+
+
+def _digits(let: Let, a: Column, b: Column) -> tuple[Column, Column, Column, Column]:
+    """a times b in four digits of 32 bits, which may be too large by what the next one takes over."""
+    limbs = let(*_limbs(a), *_limbs(b))
+    x, y = limbs[:4], limbs[4:]
+    sums = []
+    for k in range(7):
+        terms = [x[i] * y[k - i] for i in range(max(0, k - 3), min(3, k) + 1)]
+        total = terms[0]
+        for t in terms[1:]:
+            total = total + t
+        sums.append(total)
+    c = let(*sums)
 
-def _joined(limbs: list[Column]) -> Column:
-    out = limbs[0]
-    for i, limb in enumerate(limbs[1:], 1):
-        out = out.bitwiseOR(F.shiftleft(limb, 16 * i))
-    return out
+    def low(v: Column) -> Column:
+        return F.shiftleft(_and(v, 0xFFFF), 16)
 
+    def high(v: Column) -> Column:
+        return F.shiftrightunsigned(v, 16)
 
-def product_low(a: Column, b: Column) -> Column:
-    return _joined(_product(a, b, 4))
+    return c[0] + low(c[1]), c[2] + high(c[1]) + low(c[3]), c[4] + high(c[3]) + low(c[5]), c[6] + high(c[5])
 
 
-def product_high(a: Column, b: Column) -> Column:
-    return _joined(_product(a, b, 8)[4:])
+def product(let: Let, a: Column, b: Column) -> tuple[Column, Column]:
+    """(high, low) 64 bits of a times b."""
+    d0, d1, d2, d3 = let(*_digits(let, a, b))
+    (d1,) = let(d1 + F.shiftrightunsigned(d0, 32))
+    (d2,) = let(d2 + F.shiftrightunsigned(d1, 32))
+    d3 = d3 + F.shiftrightunsigned(d2, 32)
+    return F.shiftleft(d3, 32).bitwiseOR(_and(d2, LOW)), F.shiftleft(d1, 32).bitwiseOR(_and(d0, LOW))
 
 
 def fast_range(h: Column, n: int | Column) -> Column:
@@ -97,13 +118,13 @@ def fast_range(h: Column, n: int | Column) -> Column:
     return F.shiftrightunsigned(F.shiftrightunsigned(h, 32) * n + F.shiftrightunsigned(_and(h, LOW) * n, 32), 32)
 
 
-def wymix(a: Column, b: Column) -> Column:
-    limbs = _product(a, b, 8)
-    return _joined(limbs[4:]).bitwiseXOR(_joined(limbs[:4]))
+def wymix(let: Let, a: Column, b: Column) -> Column:
+    high, low = product(let, a, b)
+    return high.bitwiseXOR(low)
 
 
-def mixed_slot(k0: Column, k1: Column, global_seed: int, seed: Column, size: Column) -> Column:
-    mixed = wymix(k0.bitwiseXOR(u64(global_seed)).bitwiseXOR(seed), k1.bitwiseXOR(u64(global_seed)))
+def mixed_slot(let: Let, k0: Column, k1: Column, global_seed: int, seed: Column, size: Column) -> Column:
+    (mixed,) = let(wymix(let, k0.bitwiseXOR(u64(global_seed)).bitwiseXOR(seed), k1.bitwiseXOR(u64(global_seed))))
     return F.when(size <= 1, F.lit(0).cast("long")).otherwise(fast_range(mixed, size.cast("long")))
 
 
@@ -111,14 +132,18 @@ def bijection_bucket(k0: Column, buckets: int) -> Column:
     return fast_range(k0, buckets)
 
 
-def cubic_bucket(x: Column, buckets: int) -> Column:
+def cubic_bucket(let: Let, x: Column, buckets: int) -> Column:
     if buckets <= 1:
         return F.lit(0).cast("long")
-    half = F.shiftrightunsigned(x, 1).bitwiseOR(u64(1 << 63))
-    c, d = F.shiftrightunsigned(product_high(product_high(x, x), half), 8), F.shiftrightunsigned(x, 8)
-    low = _and(c, LOW) * 255 + _and(d, LOW)
+    (x,) = let(x)
+    squared, _ = product(let, x, x)
+    (squared,) = let(squared)
+    cubed, _ = product(let, squared, F.shiftrightunsigned(x, 1).bitwiseOR(u64(1 << 63)))
+    c, d = let(F.shiftrightunsigned(cubed, 8), F.shiftrightunsigned(x, 8))
+    (low,) = let(_and(c, LOW) * 255 + _and(d, LOW))
     high = F.shiftrightunsigned(c, 32) * 255 + F.shiftrightunsigned(d, 32) + F.shiftrightunsigned(low, 32)
-    return fast_range(F.shiftleft(high, 32).bitwiseOR(_and(low, LOW)), buckets)
+    (scaled,) = let(F.shiftleft(high, 32).bitwiseOR(_and(low, LOW)))
+    return fast_range(scaled, buckets)
 
 
 def folded(k0: Column, k1: Column) -> Column:
@@ -131,14 +156,16 @@ def pilot_hashes(global_seed: int) -> Column:
     return F.array(*[u64(pilot_hash(p, global_seed)) for p in range(256)])
 
 
-def pilot_slot(fold: Column, hashed_pilot: Column, slots: int | Column) -> Column:
-    return fast_range(product_low(fold, hashed_pilot), slots)
+def pilot_slot(let: Let, fold: Column, hashed_pilot: Column, slots: int | Column) -> Column:
+    (mixed,) = let(product(let, *let(fold, hashed_pilot))[1])
+    return fast_range(mixed, slots)
 
 
-def fingerprint(k0: Column, k1: Column, size: int) -> Column:
+def fingerprint(let: Let, k0: Column, k1: Column, size: int) -> Column:
     if size == 0:
         return F.lit(0).cast("long")
-    return _and(F.shiftrightunsigned(k0.bitwiseXOR(product_low(k1, u64(FINGERPRINT_FACTOR))), 32), (1 << (8 * size)) - 1)
+    _, low = product(let, *let(k1, u64(FINGERPRINT_FACTOR)))
+    return _and(F.shiftrightunsigned(k0.bitwiseXOR(low), 32), (1 << (8 * size)) - 1)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,17 @@
-"""The hash algebra on numpy arrays of unsigned 64-bit integers, for the solvers and the lookup function."""
+"""The hash algebra on numpy arrays of unsigned 64-bit integers, for the solvers and, as Arrow functions, for lookups.
+
+Lookups use these and not the column expressions: joins on the outcome of long expressions make Catalyst's inference of constraints
+grow without measure, and two products in a row run slower than one batch of numpy (see README).
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from keyloom.functions.model import FINGERPRINT_FACTOR
 
 U = np.uint64
 _LOW, _32 = U(0xFFFFFFFF), U(32)
@@ -29,3 +38,33 @@ def wymix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def folded(k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
     h = k0 ^ k1
     return h ^ (h >> _32)
+
+
+def cubic_bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    cubed = product(product(x, x)[0], (x >> U(1)) | U(1 << 63))[0]
+    return fast_range((cubed >> U(8)) * U(255) + (x >> U(8)), buckets).astype(np.int64)
+
+
+def fingerprint(k0: np.ndarray, k1: np.ndarray, size: int) -> np.ndarray:
+    return (((k0 ^ (k1 * U(FINGERPRINT_FACTOR))) >> _32) & U((1 << (8 * size)) - 1)).astype(np.int64)
+
+
+def unsigned(a: pa.Array) -> np.ndarray:
+    """The bit patterns of a bigint array; 0 for null."""
+    return a.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def signed(a: pa.Array) -> np.ndarray:
+    return a.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def fingerprint_column(k0: Column, k1: Column, size: int) -> Column:
+    """Stored fingerprints; those of null keys mean nothing."""
+    if size == 0:
+        return F.lit(0).cast("long")
+
+    @F.arrow_udf("long")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(fingerprint(unsigned(a), unsigned(b), size))
+
+    return run(k0, k1)

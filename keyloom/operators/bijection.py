@@ -6,10 +6,7 @@ second one orders the rest.  The search runs in numpy, over all buckets of one s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,13 +148,10 @@ def directory(solved: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
 def lookup(probe: DataFrame, tables: dict[str, DataFrame], global_seed: int, blocks: DataFrame | None = None) -> DataFrame:
     """probe (k0, k1, block_id, ...) with rank, null where the block or the bucket is empty."""
 
-    @F.pandas_udf("long")
-    def slot(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for k0, k1, size, seed0, seed1 in batches:
-            known = size.notna().to_numpy()
-            size, seed0, seed1 = (x.fillna(0).to_numpy().astype(np.int64) for x in (size, seed0, seed1))
-            s = slots_of(k0.fillna(0).to_numpy().astype(np.int64).view(np.uint64), k1.fillna(0).to_numpy().astype(np.int64).view(np.uint64), global_seed, size, seed0, seed1)
-            yield pd.Series(s).where(pd.Series(known)).astype("Int64")
+    @F.arrow_udf("long")
+    def slot(k0: pa.Array, k1: pa.Array, size: pa.Array, seed0: pa.Array, seed1: pa.Array) -> pa.Array:
+        s = slots_of(K.unsigned(k0), K.unsigned(k1), global_seed, K.signed(size), K.signed(seed0), K.signed(seed1))
+        return pa.array(s, mask=size.is_null().to_numpy(zero_copy_only=False))
 
     found = probe.withColumn("bucket_id", bucket(F.col("k0"), F.col("k1")).cast("int")).join(tables["buckets"], ["block_id", "bucket_id"], "left")
     rank = F.col("first_rank") + slot("k0", "k1", "bucket_size", "seed0", "seed1")

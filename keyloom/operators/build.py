@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from keyloom import errors
 from keyloom.functions import geometry as g
 from keyloom.functions import hashing as h
+from keyloom.functions import kernels as K
 from keyloom.operators import bijection, ptrhash
 from keyloom.operators.index import Index
 from keyloom.plans import routing, validate
@@ -90,7 +91,7 @@ def build(
         global_seed = _next_seed(global_seed)
     totals = checkpoint(routing.keys_before(counts))
     rank = F.col("keys_before") + F.col("slot")
-    entries = solved.where("kind = 0").join(totals, "block_id").select(rank.alias("rank"), "block_id", h.fingerprint(F.col("k0"), F.col("k1"), fingerprint_size).alias("fp"), "payload")
+    entries = solved.where("kind = 0").join(totals, "block_id").select(rank.alias("rank"), "block_id", K.fingerprint_column(F.col("k0"), F.col("k1"), fingerprint_size).alias("fp"), "payload")
     meta = {
         "algorithm": algorithm,
         "total_keys": n,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from keyloom import errors
 from keyloom.functions import hashing as h
+from keyloom.functions import kernels as K
 from keyloom.functions.model import signed
 from keyloom.plans import validate
 
@@ -96,7 +97,7 @@ class Index:
         if payload or self.meta["fp_size"]:
             found = found.join(self.tables["entries"].drop("block_id"), "rank", "left")
             if self.meta["fp_size"]:
-                same = F.col("fp") == h.fingerprint(F.col("k0"), F.col("k1"), self.meta["fp_size"])
+                same = F.col("fp") == K.fingerprint_column(F.col("k0"), F.col("k1"), self.meta["fp_size"])
                 found = found.withColumn("rank", F.when(same, F.col("rank")))
         status = F.when(F.col("key_status") != "OK", F.col("key_status")).when(F.col("rank").isNull(), "NOT_FOUND").otherwise("OK").alias("status")
         values = [F.when(F.col("rank").isNotNull(), F.col("payload")).alias("payload")] if payload else []

@@ -11,11 +11,10 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import geometry as g
-from keyloom.functions import hashing as h
 from keyloom.functions import kernels as K
 from keyloom.functions.model import pilot_hash
 
@@ -30,13 +29,8 @@ def num_blocks(keys: int) -> int:
     return g.pilot_blocks(keys)
 
 
-def bucket(k0: Column, k1: Column) -> Column:
-    return h.cubic_bucket(k1, g.PILOT_BUCKETS)
-
-
-def cubic_buckets(x: np.ndarray, buckets: int) -> np.ndarray:
-    cubed = K.product(K.product(x, x)[0], (x >> K.U(1)) | K.U(1 << 63))[0]
-    return K.fast_range((cubed >> K.U(8)) * K.U(255) + (x >> K.U(8)), buckets).astype(np.int64)
+def hashed_pilots(global_seed: int) -> np.ndarray:
+    return np.array([pilot_hash(p, global_seed) for p in range(g.PILOTS)], np.uint64)
 
 
 class _Stop(Exception):
@@ -47,13 +41,13 @@ class _Block:
     def __init__(self, k0: np.ndarray, k1: np.ndarray, global_seed: int, buckets: int) -> None:
         self.n = len(k0)
         self.slots_n = g.slots(self.n)
-        ids = cubic_buckets(k1, buckets)
+        ids = K.cubic_bucket(k1, buckets)
         self.order = np.lexsort((k1, k0, ids))
         self.size = np.bincount(ids, minlength=buckets)
         self.first = np.concatenate(([0], np.cumsum(self.size)))
         self.fold = K.folded(k0, k1)[self.order]
         self.xor = (k0 ^ k1)[self.order]
-        hashed = np.array([pilot_hash(p, global_seed) for p in range(g.PILOTS)], np.uint64)
+        hashed = hashed_pilots(global_seed)
         # every key's slot under every pilot
         self.slots = K.fast_range(self.fold[:, None] * hashed[None, :], self.slots_n).astype(np.int32)
 
@@ -162,15 +156,27 @@ def directory(solved: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
     own = solved.where("kind = 1").select("block_id", "bucket_id", "pilot")
     return {
         "pilots": own.join(blocks, "block_id").select("block_id", "bucket_id", "pilot", "keys_in_block", "keys_before"),
-        "remap": solved.where("kind = 2").select("block_id", "overflow_slot", "hole"),
+        "remap": solved.where("kind = 2").select(F.col("block_id").alias("block_id"), "overflow_slot", "hole"),
     }
 
 
 def lookup(probe: DataFrame, tables: dict[str, DataFrame], global_seed: int, blocks: DataFrame | None = None) -> DataFrame:
-    """probe (k0, k1, block_id, ...) with rank, null where the block is empty; all in Catalyst."""
-    found = probe.withColumn("bucket_id", bucket(F.col("k0"), F.col("k1")).cast("int")).join(tables["pilots"], ["block_id", "bucket_id"], "left")
-    hashed = F.element_at(h.pilot_hashes(global_seed), F.col("pilot") + 1)
-    raw = h.pilot_slot(h.folded(F.col("k0"), F.col("k1")), hashed, g.slots_column(F.col("keys_in_block")))
-    placed = found.withColumn("__slot", raw).withColumn("overflow_slot", F.when(F.col("__slot") >= F.col("keys_in_block"), F.col("__slot")))
+    """probe (k0, k1, block_id, ...) with rank, null where the block is empty."""
+    hashed = hashed_pilots(global_seed)
+
+    @F.arrow_udf("int")
+    def bucket_of(k1: pa.Array) -> pa.Array:
+        return pa.array(K.cubic_bucket(K.unsigned(k1), g.PILOT_BUCKETS).astype(np.int32))
+
+    @F.arrow_udf("long")
+    def slot_of(k0: pa.Array, k1: pa.Array, pilot: pa.Array, keys: pa.Array) -> pa.Array:
+        n = K.signed(keys)
+        slots = np.maximum(np.ceil(n / g.LOAD).astype(np.int64), n)
+        slot = K.fast_range(K.folded(K.unsigned(k0), K.unsigned(k1)) * hashed[K.signed(pilot)], slots.astype(np.uint64))
+        return pa.array(slot.astype(np.int64), mask=pilot.is_null().to_numpy(zero_copy_only=False))
+
+    found = probe.withColumn("bucket_id", bucket_of("k1")).join(tables["pilots"], ["block_id", "bucket_id"], "left")
+    found = found.withColumn("__slot", slot_of("k0", "k1", "pilot", "keys_in_block"))
+    placed = found.withColumn("overflow_slot", F.when(F.col("__slot") >= F.col("keys_in_block"), F.col("__slot")))
     moved = placed.join(tables["remap"], ["block_id", "overflow_slot"], "left")
     return moved.withColumn("rank", F.col("keys_before") + F.coalesce("hole", "__slot")).select(*probe.columns, "rank")

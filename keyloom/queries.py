@@ -141,7 +141,8 @@ def _fingerprints(size: int) -> None:
     @query(sql, f"fingerprints_{size}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = h.key_bytes("o_orderkey")
-        return table(spark, sf_dir, "orders").select("o_orderkey", h.fingerprint(h.k0(key), h.k1(key), size).alias("fp"))
+        let = h.Let(table(spark, sf_dir, "orders").select("o_orderkey"))
+        return let.result(fp=h.fingerprint(let, h.k0(key), h.k1(key), size))
 
 
 for _size in (1, 2, 3, 4):
@@ -160,14 +161,16 @@ def _mixed_sql(seed: str, size: str) -> str:
 @query(f"SELECT p_partkey, {_mixed_sql('p_partkey', '5')} AS slot FROM {_keyed('p_partkey', 'part')}")
 def wymix_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = h.key_bytes("p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", h.mixed_slot(h.k0(key), h.k1(key), SEED, F.col("p_partkey").cast("long"), F.lit(5)).alias("slot"))
+    let = h.Let(table(spark, sf_dir, "part").select("p_partkey"))
+    return let.result(slot=h.mixed_slot(let, *let(h.k0(key), h.k1(key)), SEED, F.col("p_partkey").cast("long"), F.lit(5)))
 
 
 @query(
     f"SELECT o_orderkey, {_range('(cubed // 256) * 255::UHUGEINT + x // 256', g.PILOT_BUCKETS)}::BIGINT AS bucket_id FROM (SELECT *, (squared * (x // 2 + 9223372036854775808::UHUGEINT)) >> 64 AS cubed FROM (SELECT *, (x * x) >> 64 AS squared FROM (SELECT o_orderkey, {K1} AS x FROM {_keyed('o_orderkey', 'orders')})))"
 )
 def cubic_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", h.cubic_bucket(h.k1(h.key_bytes("o_orderkey")), g.PILOT_BUCKETS).alias("bucket_id"))
+    let = h.Let(table(spark, sf_dir, "orders").select("o_orderkey"))
+    return let.result(bucket_id=h.cubic_bucket(let, h.k1(h.key_bytes("o_orderkey")), g.PILOT_BUCKETS))
 
 
 PILOT = 17
@@ -180,7 +183,8 @@ _FOLD = _xor("x", "x >> 32")
 def pilot_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, key = table(spark, sf_dir, "part"), h.key_bytes("p_partkey")
     hashed = F.element_at(h.pilot_hashes(SEED), PILOT + 1)
-    return part.select("p_partkey", h.pilot_slot(h.folded(h.k0(key), h.k1(key)), hashed, g.slots(part.count())).alias("slot"))
+    let = h.Let(part.select("p_partkey"))
+    return let.result(slot=h.pilot_slot(let, h.folded(*let(h.k0(key), h.k1(key))), hashed, g.slots(part.count())))
 
 
 # --- indexes --------------------------------------------------------------------------------------------------------
@@ -264,12 +268,12 @@ _membership("membership_semi", True, "bijection")
 _membership("membership_anti", False, "ptrhash")
 
 
-@query("SELECT * FROM (VALUES (1, 10000::BIGINT, true), (2, 10000::BIGINT, true)) t(fp_size, probes, within_bound)")
+@query("SELECT * FROM (VALUES (1, 10000::BIGINT, true), (2, 300000::BIGINT, true)) t(fp_size, probes, within_bound)")
 def nonmember_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _orders(spark, sf_dir)
-    probe = spark.range(10000).select(h.key_bytes(F.col("id") + 1_000_000_000).alias("key"))
     rows = []
-    for size in (1, 2):
+    for size, probes in ((1, 10_000), (2, 300_000)):
+        probe = spark.range(probes).select(h.key_bytes(F.col("id") + 1_000_000_000).alias("key"))
         hits = build(orders, fingerprint_size=size).lookup(probe)
         rate = F.avg((F.col("status") == "OK").cast("double"))
         rows.append(hits.agg(F.count(F.lit(1)).alias("probes"), (rate <= 3 / 256**size).alias("within_bound")).select(F.lit(size).alias("fp_size"), "probes", "within_bound"))

@@ -10,7 +10,6 @@ from keyloom.functions import geometry as g
 from keyloom.functions import hashing as h
 from keyloom.functions import kernels as K
 from keyloom.functions import model as m
-from keyloom.operators import ptrhash
 
 WYMIX = [
     (0, 0, 0),
@@ -56,18 +55,19 @@ def test_expressions(spark, ansi):
     try:
         df = spark.createDataFrame([(i, m.signed(a), m.signed(b)) for i, (a, b) in enumerate(pairs)], "i int, a long, b long")
         a, b = F.col("a"), F.col("b")
-        out = df.select(
-            "i",
-            h.wymix(a, b).alias("wymix"),
-            h.product_high(a, b).alias("high"),
-            h.product_low(a, b).alias("low"),
-            h.fast_range(a, 1_000_003).alias("range"),
-            h.cubic_bucket(a, 10_000).alias("cubic"),
-            h.folded(a, b).alias("folded"),
-            h.fingerprint(a, b, 3).alias("fp"),
-            h.pilot_slot(h.folded(a, b), F.element_at(h.pilot_hashes(g.DEFAULT_SEED), 201), 31_920).alias("pilot_slot"),
-            h.mixed_slot(a, b, g.DEFAULT_SEED, F.lit(77).cast("long"), F.lit(6)).alias("slot"),
-            h.as_hex(a).alias("hex"),
+        let = h.Let(df)
+        high, low = h.product(let, a, b)
+        out = let.result(
+            wymix=h.wymix(let, a, b),
+            high=high,
+            low=low,
+            range=h.fast_range(a, 1_000_003),
+            cubic=h.cubic_bucket(let, a, 10_000),
+            folded=h.folded(a, b),
+            fp=h.fingerprint(let, a, b, 3),
+            pilot_slot=h.pilot_slot(let, h.folded(a, b), F.element_at(h.pilot_hashes(g.DEFAULT_SEED), 201), 31_920),
+            slot=h.mixed_slot(let, a, b, g.DEFAULT_SEED, F.lit(77).cast("long"), F.lit(6)),
+            hex=h.as_hex(a),
         ).collect()
     finally:
         spark.conf.set("spark.sql.ansi.enabled", "true")
@@ -93,7 +93,8 @@ def test_kernels():
     high, low = K.product(a, b)
     assert [int(x) for x in high] == [x * y >> 64 for x, y in zip(xs, ys)]
     assert [int(x) for x in low] == [x * y & m.M64 for x, y in zip(xs, ys)]
-    assert ptrhash.cubic_buckets(a, 10_000).tolist() == [m.cubic_bucket(x, 10_000) for x in xs]
+    assert K.fingerprint(a, b, 3).tolist() == [m.fingerprint(x, y, 3) for x, y in zip(xs, ys)]
+    assert K.cubic_bucket(a, 10_000).tolist() == [m.cubic_bucket(x, 10_000) for x in xs]
 
 
 def test_key_split_and_prehash(spark):
