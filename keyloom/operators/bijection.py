@@ -59,7 +59,7 @@ def direct_seeds(k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
         out[todo[hit]] = first + good[hit].argmax(1)
         todo = todo[~hit]
         first += len(seeds)
-        step = int(min(max(16, 400_000 // max(1, len(todo) * size)), 1 << 14))
+        step = max(16, min(first, 400_000 // max(1, len(todo) * size), 1 << 14))  # doubling, within memory
     return out
 
 
@@ -67,14 +67,17 @@ def split_seeds(k0: np.ndarray, k1: np.ndarray) -> tuple[int, int]:
     """The two seeds of a large bucket; -1 for one that isn't found."""
     size = len(k0)
     half = size // 2
-    for first in range(0, g.SPLIT_SEEDS, 2048):
-        slots = mixed(k0[None], k1[None], np.arange(first, first + 2048), size)[0]
+    first, step = 0, 64
+    while first < g.SPLIT_SEEDS:
+        slots = mixed(k0[None], k1[None], np.arange(first, min(first + step, g.SPLIT_SEEDS)), size)[0]
         low = slots < half
         candidates = np.flatnonzero(low.sum(1) == half)
         for c in candidates:
             own = slots[c][low[c]]
             if len(set(own.tolist())) == half:
                 return first + int(c), int(direct_seeds(k0[None, ~low[c]], k1[None, ~low[c]])[0])
+        first += step
+        step = min(2 * step, 1 << 14)
     return -1, -1
 
 

@@ -21,7 +21,7 @@ from keyloom.functions import kernels as K
 from keyloom.operators import bijection, ptrhash
 from keyloom.operators.index import Index
 from keyloom.plans import routing, validate
-from keyloom.session import checkpoint
+from keyloom.session import checkpoint, shuffle_partitions
 
 ALGORITHMS: dict[str, ModuleType] = {bijection.NAME: bijection, ptrhash.NAME: ptrhash}
 BIJECTION, PTRHASH = bijection.NAME, ptrhash.NAME
@@ -80,8 +80,11 @@ def build(
     counts = routing.block_counts(routed, blocks)
     if validate.overfull(counts, n, blocks).limit(1).count():
         raise errors.BlockOverflow("keys are not evenly spread over blocks; hash them first")
+    # an explicit number of partitions, since a search over few bytes of keys is long work that must not be coalesced into one task
+    tasks = min(blocks, max(shuffle_partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism))
+    by_block = routed.select("block_id", "k0", "k1", "payload").repartition(tasks, "block_id")
     for attempt in range(retries + 1):
-        rows = routed.select("block_id", "k0", "k1", "payload").groupBy("block_id").applyInArrow(how.solver(global_seed), how.SOLVED)
+        rows = by_block.groupBy("block_id").applyInArrow(how.solver(global_seed), how.SOLVED)
         solved = checkpoint(rows)
         failed = solved.where("error is not null").select("error").first()
         if failed is None:
@@ -101,4 +104,4 @@ def build(
         "global_seed": global_seed,
         "user_metadata": bytes(metadata),
     }
-    return Index(df.sparkSession, meta, {"blocks": totals, "entries": checkpoint(entries), **how.directory(solved, totals)})
+    return Index(df.sparkSession, meta, {"blocks": totals, "entries": entries, **how.directory(solved, totals)})
