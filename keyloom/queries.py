@@ -35,7 +35,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return register
 
 
-# --- SQL of the hash algebra: h is the key in 32 hexadecimal digits --------------------------------------------------
+# SQL of the hash algebra: h is the key in 32 hexadecimal digits
 
 
 def _wide(digits: str) -> str:
@@ -187,7 +187,7 @@ def pilot_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return let.result(slot=h.pilot_slot(let, h.folded(*let(h.k0(key), h.k1(key))), hashed, g.slots(part.count())))
 
 
-# --- indexes --------------------------------------------------------------------------------------------------------
+# indexes
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +291,7 @@ def lookup_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(customers, fingerprint_size=4).lookup(probe).select("c_custkey", "status")
 
 
-# --- validation -----------------------------------------------------------------------------------------------------
+# validation
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -333,7 +333,7 @@ def merge_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(counts, placed.part == counts.block_id).select("o_orderkey", (F.col("keys_before") + F.col("turn") + 1).alias("position"))
 
 
-# --- stats, integrity, storage, streams -------------------------------------------------------------------------------
+# stats, integrity, storage, streams
 
 
 @query(f"SELECT count(*) AS num_keys, {_bijection_blocks('orders')} AS num_blocks, 4 AS payload_size, 1 AS fingerprint_size, 'bijection' AS algorithm, true AS size_within_bounds FROM orders")

@@ -24,7 +24,6 @@ HEADER, FOOTER, DIRECTORY_ENTRY = 64, 32, 10
 _HEADER = struct.Struct("<IHQIIIBQH27x")
 SMALLEST = 304
 LOG_BUCKETS, STRIDE, STOPS = 10, 128, 7
-RICE = (0, 0, 1, 2, 3, 4, 5, 7, 8)
 LONGEST = 16
 CHECK = 0x55
 
@@ -33,7 +32,7 @@ def fixed_size(meta: dict) -> int:
     return HEADER + 4 + len(meta["user_metadata"]) + 4 + (meta["num_blocks"] + 1) * DIRECTORY_ENTRY + FOOTER
 
 
-# --- bits ---------------------------------------------------------------------------------------------------------
+# bits
 
 
 class Bits:
@@ -83,7 +82,8 @@ def decode_monotone(raw: bytes, n: int, universe: int) -> np.ndarray:
 
 
 def rice(size: int) -> int:
-    return RICE[size] if size < 8 else 8
+    """The bits of a seed that are written as they are; found by trial for the sizes in use."""
+    return size - 1 if size < 7 else min(size, 8)
 
 
 class _SeedReader:
@@ -105,7 +105,7 @@ class _SeedReader:
         return ones << k | rest
 
 
-# --- blocks -------------------------------------------------------------------------------------------------------
+# blocks
 
 
 def encode_bijection_block(bucket_id: np.ndarray, size: np.ndarray, seed0: np.ndarray, seed1: np.ndarray) -> bytes:
@@ -245,7 +245,7 @@ def block_entries(index: Index) -> DataFrame:
     return index.tables["entries"].groupBy("block_id").applyInArrow(one, "block_id long, entries binary")
 
 
-# --- files --------------------------------------------------------------------------------------------------------
+# files
 
 
 def _five(n: int) -> bytes:
