@@ -124,7 +124,7 @@ def by_shard(grams: np.ndarray, lang: str, shards: int) -> Iterator[tuple[int, n
         yield int(s[order[a]]), order[a:b]
 
 
-# --- training -----------------------------------------------------------------------------------------------------
+# training
 
 
 def _counter(shards: int):
@@ -290,7 +290,7 @@ def train(trusted: DataFrame, shards: int) -> tuple[DataFrame, Model]:
     return model.select("shard", "lang", "grams", "counts"), Model(bounded.join(stats, "lang").collect())
 
 
-# --- scoring ------------------------------------------------------------------------------------------------------
+# scoring
 
 
 def doc_blocks(docs: DataFrame, blocks: int) -> DataFrame:

@@ -149,7 +149,7 @@ def undisguise(m: Mapped) -> Mapped:
     return m.rewritten(_address_edits(m.text))
 
 
-# --- detection ----------------------------------------------------------------------------------------------------
+# detection
 
 
 def _digits(s: str) -> str:

@@ -48,7 +48,7 @@ _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in ra
 _NAMES = [f"f{i}" for i in range(LANES)]
 
 
-# --- fingerprints -------------------------------------------------------------------------------------------------
+# fingerprints
 
 
 def signs(features: np.ndarray, text_of: np.ndarray, texts: int) -> np.ndarray:
@@ -100,7 +100,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint, "doc_id long, " + ", ".join(f"{n} long" for n in _NAMES))
 
 
-# --- vantage-point trees ------------------------------------------------------------------------------------------
+# vantage-point trees
 
 
 def band_values(fp: np.ndarray, band: int) -> np.ndarray:
@@ -190,7 +190,7 @@ def shard_pairs(ids: np.ndarray, fp: np.ndarray, home: np.ndarray, band: int) ->
         a = b
 
 
-# --- shards in Spark ----------------------------------------------------------------------------------------------
+# shards in Spark
 
 
 def _router(trees: list[Tree]):
