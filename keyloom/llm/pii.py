@@ -49,12 +49,12 @@ _HOST = re.compile(rf"[\w\-]+(?:{_DOT}[\w\-]+)*?{_DOT}[a-z]{{2,}}(?![\w\-])(?:{_
 _LOCAL = re.compile(rf"(?<![\w+%\-.])[\w+%\-]+(?:{_DOT}[\w+%\-]+)*$", re.I)
 _DOTS = re.compile(_DOT, re.I)
 _HAS_DOT_WORD = re.compile(_DOT_WORD, re.I)
-_UNUSUAL = re.compile("[^\x00-¬®-ɏ]")
+_UNUSUAL = re.compile("[^\x00-¬®-ɏ]|[ı²³¹]")
 _SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}"
 #: for RE2, whose \s is narrower and whose (?i) knows neither the dotted capital nor the dotless small i: all that can lead to a find
 _SIGNS = "|".join(
     (
-        r"[0-9@\x{ad}\x{130}\x{131}\x{17f}\x{250}-\x{10ffff}]|AKIA|gh[pousr]_|sk-|eyJ|(?:[0-9A-Fa-f]{1,4}:){7}",
+        r"[0-9@\x{ad}\x{b2}\x{b3}\x{b9}\x{130}\x{131}\x{17f}\x{250}-\x{10ffff}]|AKIA|gh[pousr]_|sk-|eyJ|(?:[0-9A-Fa-f]{1,4}:){7}",
         rf"(?i:token|secret|password|passwd|api[_-]?key)[\"']?[{_SPACE}]*[=:]",
         rf"[\[({{<][{_SPACE}]*(?i:at|arroba|chez)[{_SPACE}]*[\])}}>]",
         rf"\b(?i:{_DOT_WORD})\b|[{_SPACE}](?i:at|arroba)[{_SPACE}]+[^{_SPACE}]*(?i:{_DOT_WORD})",

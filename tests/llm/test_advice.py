@@ -19,6 +19,8 @@ UNSIGNED = [
     "at fe:dc:ba:fe:dc:ba:fe:dc",
     "one eight oh oh five five five zero one nine nine",
     "jane at mail poınt example poınt com",
+    "jane@example.ıo",
+    "ring ²²³-¹²³-¹²³³ ok",
 ]
 PLAIN = ["one two buckle my shoe", "the secret of the password", "at noon", "(at) home", "a token word", ""]
 
@@ -32,6 +34,11 @@ def test_prefilter_drops_nothing(spark):
     assert {r.doc_id: r.text for r in pii.mask_identifiers(docs).collect()} == {i: pii.masked(t) for i, t in enumerate(texts)}
 
 
+def test_characters_below_u0250_are_folded():
+    assert pii.identifiers("jane@example.ıo") == [("email", 0, 15, "jane@example.io")]
+    assert pii.identifiers("ring ²²³-¹²³-¹²³³ ok") == [("phone", 5, 17, "223-123-1233")]
+
+
 def test_prefilter_over_the_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     want = {(r.doc_id, *x) for r in docs.collect() for x in pii.identifiers(r.text or "")}
