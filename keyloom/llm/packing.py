@@ -5,8 +5,11 @@ documents costs).  Items are taken from the longest down; an item goes to an ope
 rule "dot" (the largest weighted dot product of demand and residual) or "norm" (the smallest weighted norm of the
 residual that remains), else to a new bin.  A document above the longest length that fits an empty bin is cut into pieces of that length and a rest.
 
+Lengths are the pieces of a SentencePiece BPE model (those of op10 without dropout), counted once for each distinct pre-token of a task, or,
+without a model, white-space-separated words: a bin then holds some two and a half times as many real tokens, and a text without white space is one word.
+
 Plan: documents fall by a hash of doc_id into shards of about SHARD_DOCS documents, whose number comes from a count (of
-Parquet footers); lengths are computed by Spark, so that only (doc_id, length) is shuffled; each shard is packed by
+Parquet footers); lengths are computed before (pieces in an Arrow pass, words by Spark), so that only (doc_id, length) is shuffled; each shard is packed by
 itself, in numpy over its open bins.  A shard's size doesn't depend on the input's, and of its bins only the last few stay unfilled.
 
 Defined results: null texts and texts without tokens are not packed; rows with a null doc_id are packed with a null doc_id;
@@ -16,18 +19,23 @@ repeated rows are packed each; ties in length go by doc_id (null first), ties be
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.common import text_slices
+from keyloom.llm.merge_dropout import MARK, MODEL, encode_units, pre_tokens, vocabulary
+
 MAX_TOKENS = 4096
 MAX_DOCS = 64
 MAX_ATTENTION = MAX_TOKENS * MAX_TOKENS * 3 // 4
 WEIGHTS = (1.0, 0.25, 0.5)
 RULE = "norm"
 SHARD_DOCS = 4096
+CACHE = 600_000
 SCHEMA = "bin_id long, position int, doc_id long, piece int, first_token long, n_tokens long"
 
 
@@ -37,6 +45,41 @@ def word_tokens(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+def _counter(path: str):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        known: dict[str, int] = {}
+
+        def learn(words: list[str]) -> None:
+            known.update(zip(words, map(len, sp.encode(words, num_threads=1))))
+            # op10 writes a mark in a text as its bytes, and the library drops the blank of an empty pre-token
+            marked = [w for w in words if MARK in w or not w]
+            if marked:
+                known.update(zip(marked, (len(ids) // 4 for ids in encode_units(vocabulary(path), [" " + w for w in marked], 0, 0.0))))
+
+        for whole in batches:
+            for batch in text_slices(whole, "text"):
+                split = [pre_tokens(t) if t else [] for t in batch.column("text").to_pylist()]
+                distinct = set().union(*split)
+                new = list(distinct.difference(known))
+                if len(known) + len(new) > CACHE:
+                    known.clear()
+                    new = list(distinct)
+                if new:
+                    learn(new)
+                n = pa.array([sum(map(known.__getitem__, w)) for w in split], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n], ["doc_id", "n_tokens"])
+
+    return count
+
+
+def piece_lengths(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """(doc_id, n_tokens) of each row: the model's pieces, 0 for null."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counter(path), "doc_id long, n_tokens long")
+
+
 def cut(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, piece, first token, tokens) of the pieces of documents with sizes."""
     n = -(-sizes // longest)
@@ -116,14 +159,19 @@ def pack_documents(
     weights: tuple[float, float, float] = WEIGHTS,
     rule: str = RULE,
     shard_docs: int = SHARD_DOCS,
+    model: str | None = None,
 ) -> DataFrame:
-    """(bin_id, position, doc_id, piece, first_token, n_tokens): where each piece of each document lies. tokens: a document's length, its words by default."""
+    """(bin_id, position, doc_id, piece, first_token, n_tokens): where each piece of each document lies. A document's length is tokens, or its pieces under model, or its words."""
     if rule not in ("dot", "norm") or min(capacities) < 1:
         raise ValueError("rule is dot or norm, capacities are 1 or more")
     shards = max(1, -(-docs.count() // shard_docs))
-    lengths = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (word_tokens(F.col("text").cast("string")) if tokens is None else tokens.cast("long")).alias("n_tokens"),
-    ).where("n_tokens > 0")
+    if tokens is None and model is not None:
+        lengths = piece_lengths(docs, model)
+    else:
+        lengths = docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (word_tokens(F.col("text").cast("string")) if tokens is None else tokens.cast("long")).alias("n_tokens"),
+        )
+    lengths = lengths.where("n_tokens > 0")
     sharded = lengths.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("n_tokens"))), F.lit(shards)))
     return sharded.groupBy("shard").applyInArrow(_packer(capacities, weights, rule), SCHEMA)

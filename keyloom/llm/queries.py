@@ -11,7 +11,7 @@ from keyloom.session import table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), model=packing.MODEL)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,30 @@
 """Cases in which an operator once did less than the whole job."""
 
-from keyloom.llm import pii
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from keyloom.llm import packing, pii, queries
+
+PUBLIC = os.path.exists(packing.MODEL)
+
+# 1
+
+
+@pytest.mark.skipif(not PUBLIC, reason="no public vocabularies")
+def test_bins_hold_tokens(spark, tmp_path):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=packing.MODEL)
+    texts = {1: "plain  words and\nmore ", 2: "中文" * 9000, 3: "x" * 50_000, 4: "", 5: "unbelievable " * 3000}
+    spark.createDataFrame([*texts.items(), (6, None), (7, "a ▁ b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = queries.op1_best_fit_packing(spark, str(tmp_path)).cache()
+    got = {r.doc_id: r.n for r in bins.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert got == {i: len(sp.encode(t)) for i, t in texts.items() if t} | {7: 6}
+    full = bins.groupBy("bin_id").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("a")).agg(F.max("n"), F.max("a")).first()
+    assert full[0] <= packing.MAX_TOKENS and full[1] <= packing.MAX_ATTENTION
+
 
 # 4
 
