@@ -2,14 +2,14 @@
 
 A block of text that says a licence's words compresses much better with that licence as dictionary.  Candidate blocks are runs of lines
 with licence vocabulary; each is compressed by zstandard alone and with every template as raw dictionary, templates are ranked by the reduction,
-and the best ones are confirmed by an exact comparison of words: a template wins if at most MAX_DIFFERENCE of its words are
-missing or changed in the part of the block that it covers.  What differs is reported.
+and the best ones are confirmed by an exact comparison of words: a template is found wherever at most MAX_DIFFERENCE of its words are
+missing or extra in the part of the block that it covers, as often as it stands there.  What differs is reported.
 
 Plan: one Arrow pass, no shuffle.  A linear-time scan of each batch picks texts with any cue; only their lines are looked at.  Templates
 are a parameter, and go to the workers with the function (a few kilobytes).
 
-Defined results: null and empty texts hold no licence; a block above MAX_WORDS words is cut around its cues, so that nothing is left out; equal
-reductions are ranked by name; repeated rows report each; a null doc_id is reported as null; offsets count code points; other columns are not read.
+Defined results: null and empty texts hold no licence; a block above MAX_WORDS words is cut around its cues, so that nothing is left out; of
+templates found at one place the one with most words matched, less those missing and extra, counts, then the larger reduction, then the name; repeated rows report each; a null doc_id is reported as null; offsets count code points; other columns are not read.
 """
 
 from __future__ import annotations
@@ -88,14 +88,40 @@ class Compressors:
         return len(self.alone.compress(raw)), sorted((len(c.compress(raw)), i) for i, c in enumerate(self.given))
 
 
-def difference(template: list[str], block: list[tuple[str, int, int]]) -> tuple[int, int, int, int, int] | None:
-    """Words of the template that are missing, words that are extra between its first and last ones, its first and last place in the block, and the block words it matches."""
-    match = [m for m in difflib.SequenceMatcher(None, template, [w for w, _, _ in block], autojunk=False).get_matching_blocks() if m.size]
-    if not match:
-        return None
-    same = sum(m.size for m in match)
-    first, last = match[0].b, match[-1].b + match[-1].size
-    return len(template) - same, last - first - same, block[first][1], block[last - 1][2], same
+def occurrences(template: list[str], words: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """Of each place in a block that a template is confirmed at: template words missing, words extra, first and last place, words matched.
+
+    Each is sought around its longest run of matched words, which within MAX_DIFFERENCE can't be shorter than least; matches at either end that
+    cost more extra words than they match are left out. What lies before and after a place, confirmed or not, is searched again.
+    """
+    own = [w for w, _, _ in words]
+    whole = difflib.SequenceMatcher(None, template, own, autojunk=False)
+    limit = int(MAX_DIFFERENCE * len(template))
+    least = -(-(len(template) - limit) // (limit + 1))
+    todo = [(0, len(own))]
+    while todo:
+        low, high = todo.pop()
+        run = whole.find_longest_match(0, len(template), low, high)
+        if run.size < max(1, least):
+            continue
+        begin = max(low, run.b - run.a - limit)
+        end = min(high, run.b - run.a + len(template) + limit)
+        match = [m for m in difflib.SequenceMatcher(None, template, own[begin:end], autojunk=False).get_matching_blocks() if m.size]
+        best, kept, worth, since = 0, (0, 0), 0, 0
+        for k, m in enumerate(match):
+            gap = m.b - match[k - 1].b - match[k - 1].size if k else 0
+            worth, since = (worth - gap + m.size, since) if k and worth >= gap else (m.size, k)
+            if worth > best:
+                best, kept = worth, (since, k + 1)
+        match = match[slice(*kept)]
+        same = sum(m.size for m in match)
+        first, last = begin + match[0].b, begin + match[-1].b + match[-1].size
+        missing, extra = len(template) - same, last - first - same
+        if missing + extra <= limit:
+            yield missing, extra, words[first][1], words[last - 1][2], same
+        else:
+            first, last = run.b, run.b + run.size
+        todo += [(low, first), (last, high)]
 
 
 def blocks_of(text: str) -> Iterator[tuple[int, str]]:
@@ -135,21 +161,22 @@ def blocks_of(text: str) -> Iterator[tuple[int, str]]:
 
 def licences(text: str, tools: Compressors) -> list[tuple]:
     """(begin, end, licence, size alone, size given, missing, extra, exact) of each notice that is confirmed."""
-    out: list[tuple] = []
+    found: list[tuple] = []
     for place, block in blocks_of(text):
         words = _words(block)
         alone, ranked = tools.ranked(block)
-        taken: list[tuple[int, int]] = []
-        for size, i in sorted(ranked, key=lambda r: (r[0], tools.templates[r[1]])):
+        for size, i in ranked:
             # a long block may hold several notices, each a small part of it: then the reduction counts against the template's share
             share = min(1.0, len(tools.words[i]) / max(1, len(words)))
             if alone - size < MIN_GAIN * share * alone:
                 continue
-            d = difference(tools.words[i], words)
-            if d is None or d[0] + d[1] > MAX_DIFFERENCE * len(tools.words[i]) or any(a < d[3] and d[2] < b for a, b in taken):
-                continue
-            taken.append((d[2], d[3]))
-            out.append((place + d[2], place + d[3], tools.templates[i][0], alone, size, d[0], d[1], d[0] + d[1] == 0))
+            for missing, extra, begin, end, same in occurrences(tools.words[i], words):
+                found.append((missing + extra - same, size, tools.templates[i], (place + begin, place + end, tools.templates[i][0], alone, size, missing, extra, missing + extra == 0)))
+    out: list[tuple] = []
+    # the same words may be confirmed under several templates, and in both of two pieces of a long block
+    for *_, row in sorted(found):
+        if not any(a < row[1] and row[0] < b for a, b, *_ in out):
+            out.append(row)
     return sorted(out)
 
 

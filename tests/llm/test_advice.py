@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import packing, pii, queries
+from keyloom.llm import license_scan, packing, pii, queries
 
 PUBLIC = os.path.exists(packing.MODEL)
 
@@ -26,6 +26,30 @@ def test_bins_hold_tokens(spark, tmp_path):
     assert full[0] <= packing.MAX_TOKENS and full[1] <= packing.MAX_ATTENTION
 
 
+# 2
+
+
+def notices(text):
+    found = license_scan.licences(text, license_scan.Compressors(license_scan.TEMPLATES))
+    return [(name, text[a:b].split()[0], missing + extra) for a, b, name, _, _, missing, extra, _ in found]
+
+
+def test_repeated_notices():
+    line = "Licensed under CC BY 4.0."
+    assert notices("\n".join([line] * 5)) == [("CC-BY-4.0", "Licensed", 0)] * 5
+    assert notices(" ".join([license_scan._MIT] * 3)) == [("MIT", "Permission", 0)] * 3
+    gpl = "This work is licensed under the GNU General Public License, version {}."
+    assert [x[0] for x in notices(" and ".join(gpl.format(v) for v in (3, 2, 3, 2)))] == ["GPL-3.0", "GPL-2.0"] * 2
+    long = " ".join([license_scan._MIT, license_scan._APACHE] * 8)
+    assert [x[0] for x in notices(long)] == ["MIT", "Apache-2.0"] * 8
+
+
+def test_stray_words_around_a_notice():
+    mit = license_scan._MIT.replace("Permission", "Leave", 1)
+    text = "prose permission " * 125 + mit + " prose of the software" * 60
+    assert notices(text) == [("MIT", "is", 1)]
+
+
 # 4
 
 UNSIGNED = [
