@@ -1,7 +1,7 @@
 """Licence notices in documents, by conditional compression.
 
 A block of text that says a licence's words compresses much better with that licence as dictionary.  Candidate blocks are runs of lines
-with licence vocabulary; each is compressed by zstandard alone and with every template as raw dictionary, templates are ranked by the reduction,
+with licence vocabulary, over blank and bare comment lines and up to MAX_GAP other lines between two cues; each is compressed by zstandard alone and with every template as raw dictionary, templates are ranked by the reduction,
 and the best ones are confirmed by an exact comparison of words: a template is found wherever at most MAX_DIFFERENCE of its words are
 missing or extra in the part of the block that it covers, as often as it stands there.  What differs is reported.
 
@@ -30,6 +30,7 @@ from keyloom.llm.common import text_slices
 MIN_GAIN = 0.2
 MAX_DIFFERENCE = 0.15
 MAX_WORDS = 600
+MAX_GAP = 3
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
@@ -125,7 +126,7 @@ def occurrences(template: list[str], words: list[tuple[str, int, int]]) -> Itera
 
 
 def blocks_of(text: str) -> Iterator[tuple[int, str]]:
-    """(place, block): runs of lines with licence vocabulary that hold a cue; long ones cut around their cues."""
+    """(place, block): runs of lines with licence vocabulary that hold a cue, with the gaps between them; long ones cut around their cues."""
     run: list[tuple[int, str]] = []
 
     def done() -> Iterator[tuple[int, str]]:
@@ -147,14 +148,26 @@ def blocks_of(text: str) -> Iterator[tuple[int, str]]:
             reach = k + MAX_WORDS // 3
             yield begin + words[low][1], block[words[low][1] : words[high - 1][2]]
 
-    place = 0
+    place, gap, before, pending = 0, 0, [], []
     for line in text.split("\n"):
-        cue = _CUE.search(line) is not None
-        if cue or run and sum(w in _VOCABULARY for w in re.findall(r"[a-z0-9]+", line.lower())) >= 2:
+        if _CUE.search(line) is not None:
+            run += pending if run else before
             run.append((place, line))
+            gap, before, pending = 0, [], []
         else:
-            yield from done()
-            run.clear()
+            shared = sum(w in _VOCABULARY for w in re.findall(r"[a-z0-9]+", line.lower()))
+            if run:
+                pending.append((place, line))
+                gap += shared < 2 and _WORDS.search(line) is not None
+                if gap > MAX_GAP:
+                    yield from done()
+                    run.clear()
+                    gap, pending = 0, []
+                elif shared:
+                    run += pending
+                    pending = []
+            # the beginning of a notice may be on lines without a cue
+            before = [*before, (place, line)][-MAX_GAP:] if shared >= 2 else []
         place += len(line) + 1
     yield from done()
 

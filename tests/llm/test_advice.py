@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
 import os
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,32 @@ def test_stray_words_around_a_notice():
     assert notices(text) == [("MIT", "is", 1)]
 
 
+def layouts(paragraphs):
+    """Notices wrapped at 72 columns: bare, and as comments of three kinds."""
+    wrapped = [textwrap.wrap(p, 72) for p in paragraphs]
+    for mark in ("", "# ", " * ", "// "):
+        yield "some prose\n\n" + f"\n{mark.rstrip()}\n".join("\n".join(mark + line for line in w) for w in wrapped) + "\n\nint main() {}\n"
+
+
+def test_notices_in_paragraphs():
+    def cut(text, *at):
+        places = [0, *(text.index(x) for x in at), len(text)]
+        return [text[a:b].strip() for a, b in zip(places, places[1:])]
+
+    usual = {
+        "MIT": cut(license_scan._MIT, "The above copyright", "THE SOFTWARE IS"),
+        "GPL-3.0": cut(license_scan._GPL, "This program is distributed"),
+        "BSD": cut(license_scan._BSD, "Redistributions of source", "Redistributions in binary"),
+        "Apache-2.0": cut(license_scan._APACHE, "You may obtain", "http:", "Unless required"),
+        "MPL-2.0": cut(dict(license_scan.TEMPLATES)["MPL-2.0"], "If a copy"),
+    }
+    for name, paragraphs in usual.items():
+        for text in layouts(paragraphs):
+            assert [(n, d) for n, _, d in notices(text)] == [(name, 0)]
+    two = "\n\n".join(usual["MIT"] + usual["GPL-3.0"] + usual["MIT"])
+    assert [n for n, _, _ in notices(two)] == ["MIT", "GPL-3.0", "MIT"]
+
+
 # 4
 
 UNSIGNED = [
