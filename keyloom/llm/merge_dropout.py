@@ -1,18 +1,18 @@
 """Byte-pair encoding with seeded merge dropout, and lossless decoding, with the vocabulary of a SentencePiece BPE model.
 
 Characters are merged in the order of an agenda: the best-scored adjacent pair first, the leftmost among equals.  Each
-candidate merge, known by the spans of its two symbols, is skipped if a hash keyed by seed, variant, pre-token and spans
+candidate merge, known by the spans of its two symbols, is skipped if a hash keyed by seed, doc_id, place of the pre-token, pre-token and spans
 falls below the dropout rate; a skipped candidate never comes back, while a new pair with a neighbour that has grown is a candidate of
-its own.  A document's variant is a hash of seed and doc_id, so that one word is cut in up to VARIANTS ways over the corpus, always the same for
-the same seed, whatever the partitioning, and every cut can be kept and used again.  With a rate of 0 the ids are those of the library's encoder.
+its own.  So each occurrence of a word is cut by itself, always the same for the same seed, whatever the partitioning.  With a rate of 0 the
+ids are those of the library's encoder.
 
 As a skip depends on spans alone, the agenda of many pre-tokens can be worked off side by side: numpy holds one row of symbols
 a pre-token, and each round merges the best remaining candidate of every row.  Pre-tokens above WIDTH characters take a heap.
 
-Plan: one Arrow pass, no shuffle; a worker loads the model once and keeps the cuts of its distinct pre-tokens (at most CACHE, then
-it starts anew, which changes no result).
+Plan: one Arrow pass, no shuffle; a worker loads the model once.  Only with a rate of 0 are the cuts of a run of pre-tokens made once for each
+distinct one.
 
-Defined results: a null text has null ids and tokens and is not lossless (null); an empty text has no ids; a null doc_id counts as 0 for the variant;
+Defined results: a null text has null ids and tokens and is not lossless (null); an empty text has no ids; a null doc_id counts as 0;
 repeated rows are encoded each, alike; the block mark U+2581 in a text is written as its bytes, so that it isn't decoded as a blank;
 decode gives null for null ids; other columns are not read.
 """
@@ -31,10 +31,9 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import U64, mix64, text_slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SEED, RATE, VARIANTS = 20240, 0.1, 4
+SEED, RATE = 20240, 0.1
 WIDTH = 32
-CACHE = 400_000
-AT_ONCE = 1 << 15
+AT_ONCE, RUN = 1 << 15, 1 << 18
 MARK = "▁"
 _NONE = np.int64(1) << 40
 _loaded: dict[str, Vocabulary] = {}
@@ -89,8 +88,8 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def variant_key(seed: int, variant: int) -> int:
-    return xxhash.xxh64_intdigest(f"{seed}:{variant}")
+def seed_key(seed: int) -> int:
+    return xxhash.xxh64_intdigest(str(seed))
 
 
 def skipped(unit_keys: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
@@ -195,11 +194,16 @@ def _to_ids(vocab: Vocabulary, symbols: list[int]) -> bytes:
     return np.array(out, np.int32).tobytes()
 
 
-def encode_units(vocab: Vocabulary, units: list[str], key: int, rate: float) -> list[bytes]:
-    """The ids of each pre-token (blanks, then other characters), as bytes of int32."""
+def encode_units(vocab: Vocabulary, units: list[str], key: int, rate: float, places: np.ndarray | None = None) -> list[bytes]:
+    """The ids of each pre-token (blanks, then other characters), as bytes of int32; places: a key of each one's own."""
+    if places is not None and rate <= 0:
+        distinct = list(set(units))
+        return list(map(dict(zip(distinct, encode_units(vocab, distinct, key, rate))).__getitem__, units))
     out: list[bytes] = [b""] * len(units)
     lengths = np.array([len(u) for u in units], np.int64)
     unit_keys = np.array([xxhash.xxh64_intdigest(u.encode(), key) for u in units], U64)
+    if places is not None:
+        unit_keys = mix64(unit_keys ^ places)
     for i in np.flatnonzero(lengths > WIDTH):
         out[i] = _to_ids(vocab, agenda(vocab, units[i], int(unit_keys[i]), rate))
     edges = (0, 6, 10, 16, WIDTH)
@@ -246,32 +250,31 @@ def decode_ids(vocab: Vocabulary, ids: np.ndarray) -> np.ndarray:
     return vocab.blob[np.repeat(vocab.places[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
-def _encoder(path: str, seed: int, rate: float, variants: int):
+def _encoder(path: str, seed: int, rate: float):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        caches: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        keys = [variant_key(seed, v) for v in range(variants)]
+        key = seed_key(seed)
         for whole in batches:
             for batch in text_slices(whole, "text", 2 << 20):
-                texts = batch.column("text").to_pylist()
-                variant = (mix64(batch.column("doc_id").fill_null(0).to_numpy().view(U64) ^ U64(keys[0])) % U64(variants)).astype(np.int64).tolist()
-                split = [pre_tokens(t) if t else [] for t in texts]
-                for v in range(variants):
-                    known = caches[v]
-                    new = list(set().union(*(w for w, x in zip(split, variant) if x == v)).difference(known))
-                    if len(known) + len(new) > CACHE // variants:
-                        known.clear()
-                        new = list(set().union(*(w for w, x in zip(split, variant) if x == v)))
-                    known.update(zip(new, encode_units(vocab, [" " + w for w in new], keys[v], rate)))
-                coded = [b"".join(map(caches[x].__getitem__, w)) for w, x in zip(split, variant)]
-                ids = np.frombuffer(b"".join(coded), np.int32)
-                n = np.array([len(c) // 4 for c in coded], np.int64)
+                split = [pre_tokens(t) if t else [] for t in batch.column("text").to_pylist()]
+                words = [w for own in split for w in own]
+                cuts = np.concatenate(([0], np.cumsum([len(own) for own in split])))
+                doc_keys = mix64(batch.column("doc_id").fill_null(0).to_numpy().view(U64) ^ U64(key))
+                doc = np.repeat(np.arange(len(split)), np.diff(cuts))
+                places = doc_keys[doc] ^ mix64((np.arange(len(words)) - cuts[doc]).astype(U64) + U64(1))
+                parts, ends = [], [np.zeros(1, np.int64)]
+                for s in range(0, len(words), RUN):
+                    coded = encode_units(vocab, [" " + w for w in words[s : s + RUN]], key, rate, places[s : s + RUN])
+                    parts.append(b"".join(coded))
+                    ends.append(ends[-1][-1] + np.cumsum([len(c) // 4 for c in coded]))
+                ids = np.frombuffer(b"".join(parts), np.int32)
+                n = np.diff(np.concatenate(ends)[cuts])
                 null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
                 lossless = _equal(decode_ids(vocab, ids), np.cumsum(np.concatenate(([0], vocab.sizes[ids]))), np.concatenate(([0], np.cumsum(n))), batch.column("text"))
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32), mask=np.append(null, False))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([v for v in variant], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(n, mask=null), pa.array(lossless, mask=null)],
-                    ["doc_id", "variant", "ids", "n_tokens", "lossless"],
+                    [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(n, mask=null), pa.array(lossless, mask=null)],
+                    ["doc_id", "ids", "n_tokens", "lossless"],
                 )
 
     return encode
@@ -292,10 +295,10 @@ def _equal(decoded: np.ndarray, id_ends: np.ndarray, id_cuts: np.ndarray, texts:
     return np.array([bool(ok) and bool((decoded[a + 1 : b] == data[c:d]).all()) for ok, a, b, c, d in zip(out, cuts, cuts[1:], off, off[1:])], bool)
 
 
-def encode(docs: DataFrame, path: str = MODEL, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
-    """(doc_id, variant, ids, n_tokens, lossless) of each row; lossless says whether decoding gave the text back."""
+def encode(docs: DataFrame, path: str = MODEL, seed: int = SEED, rate: float = RATE) -> DataFrame:
+    """(doc_id, ids, n_tokens, lossless) of each row; lossless says whether decoding gave the text back."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _encoder(path, seed, rate, variants), "doc_id long, variant int, ids array<int>, n_tokens long, lossless boolean"
+        _encoder(path, seed, rate), "doc_id long, ids array<int>, n_tokens long, lossless boolean"
     )
 
 

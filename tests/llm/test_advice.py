@@ -3,10 +3,11 @@
 import os
 import textwrap
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import license_scan, packing, pii, queries
+from keyloom.llm import license_scan, merge_dropout, packing, pii, queries
 
 PUBLIC = os.path.exists(packing.MODEL)
 
@@ -118,3 +119,23 @@ def test_prefilter_over_the_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     want = {(r.doc_id, *x) for r in docs.collect() for x in pii.identifiers(r.text or "")}
     assert {tuple(r) for r in pii.find_identifiers(docs).collect()} == want
+
+
+# 10
+
+
+@pytest.mark.skipif(not PUBLIC, reason="no public vocabularies")
+def test_each_occurrence_is_cut_by_itself(spark):
+    docs = spark.createDataFrame([(i, "unbelievable") for i in range(400)] + [(400, " ".join(["unbelievable"] * 400))], "doc_id long, text string")
+    rows = {r.doc_id: list(r.ids) for r in merge_dropout.encode(docs).collect()}
+    assert len({tuple(rows[i]) for i in range(400)}) > 8
+    v = merge_dropout.vocabulary(merge_dropout.MODEL)
+    cuts, own = set(), []
+    for i in rows[400]:
+        if v.pieces[i].startswith(merge_dropout.MARK):
+            cuts.add(tuple(own))
+            own = []
+        own.append(i)
+    assert len(cuts) > 8
+    usual = merge_dropout.encode_units(v, [" unbelievable"], 0, 0.0)[0]
+    assert 0 < sum(np.array(rows[i], np.int32).tobytes() == usual for i in range(400)) < 300
