@@ -1,8 +1,9 @@
 """Main text of web pages: subtrees that recur over many pages of one host are template and are deleted.
 
 Each page is parsed once into elements; a subtree's hash covers its tag, texts and children, not its attributes,
-comments or scripts.  For each host Spark counts in how many different contents a block element's hash occurs; a page's content is its
-article or main element (else all of it), so that thousands of copies of one article don't make its paragraphs a template.  A subtree
+comments or scripts.  For each host Spark counts in how many different contents a block element's hash occurs; a page's content is all
+its outermost article and main elements that hold text, or all of it where they hold less than half of the text outside its navigation, header,
+footer and aside elements, so that thousands of copies of one article don't make its paragraphs a template.  A subtree
 in at least MIN_PAGES contents and MIN_SHARE of the host's is deleted wherever it stands on that host; what
 is left becomes text.
 
@@ -40,6 +41,7 @@ _BLOCK = frozenset(
 )
 _ENDS = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _CONTENT = frozenset(("article", "main"))
+_FURNITURE = frozenset(("nav", "header", "footer", "aside"))
 Element = tuple[int, int, int]
 
 
@@ -55,25 +57,39 @@ def _hash(raw: bytes) -> int:
 def parse(html: str) -> tuple[list[Element], int]:
     """The (hash, begin, end) of a page's block elements that hold anything, and the hash of its content."""
     found: list[Element] = []
-    content = 0
+    contents: list[bytes] = []
+    # letters in content elements, and in those and outside all furniture; the number of open elements of each kind
+    within = body = in_content = in_furniture = 0
     stack: list[tuple[str, int, list[bytes]]] = [("", 0, [])]
 
     def close(end: int) -> None:
-        nonlocal content
+        nonlocal in_content, in_furniture
         tag, begin, parts = stack.pop()
         h = _hash(tag.encode() + b"\0" + b"\1".join(parts))
         if parts:
             stack[-1][2].append(h.to_bytes(8, "little"))
             if tag in _BLOCK:
                 found.append((h, begin, end))
-        if tag in _CONTENT and not content and not any(t in _CONTENT for t, _, _ in stack):
-            content = h
+        in_furniture -= tag in _FURNITURE
+        if tag in _CONTENT:
+            in_content -= 1
+            if parts and not in_content:
+                contents.append(h.to_bytes(8, "little"))
+
+    def say(words: list[str]) -> None:
+        nonlocal within, body
+        line = " ".join(words)
+        stack[-1][2].append(line.encode())
+        if in_content:
+            within += len(line)
+        if in_content or not in_furniture:
+            body += len(line)
 
     at, search = 0, _TAG.search
     while (m := search(html, at)) is not None:
         words = html[at : m.start()].split()
         if words:
-            stack[-1][2].append(" ".join(words).encode())
+            say(words)
         at = m.end()
         tag = m.group(2)
         if tag is None:
@@ -95,12 +111,15 @@ def parse(html: str) -> tuple[list[Element], int]:
             at = raw_end.end() if raw_end else len(html)
             continue
         stack.append((tag, m.start(), []))
+        in_content += tag in _CONTENT
+        in_furniture += tag in _FURNITURE
     words = html[at:].split()
     if words:
-        stack[-1][2].append(" ".join(words).encode())
+        say(words)
     while len(stack) > 1:
         close(len(html))
-    return found, content or _hash(b"\1".join(stack[0][2]))
+    whole = not contents or 2 * within < body
+    return found, _hash(b"\1".join(stack[0][2] if whole else contents))
 
 
 def without(html: str, found: list[Element], template: set[int]) -> tuple[str, int]:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import license_scan, merge_dropout, packing, pii, queries
+from keyloom.llm import license_scan, merge_dropout, packing, pii, queries, site_templates
 
 PUBLIC = os.path.exists(packing.MODEL)
 
@@ -78,6 +78,29 @@ def test_notices_in_paragraphs():
     assert [n for n, _, _ in notices(two)] == ["MIT", "GPL-3.0", "MIT"]
 
 
+# 3
+
+SAME_START = [
+    "<article>The teaser of the week</article><article>Story number {0} has its own words</article>",
+    "<article>A teaser</article><div><p>Story number {0} has words of its own outside of any article</p></div>",
+    "<main></main><p>Story {0}</p>",
+    "<article><img src=a></article><p>Story {0}</p>",
+]
+
+
+@pytest.mark.parametrize("body", SAME_START)
+def test_pages_with_the_same_beginning_are_pages(spark, body):
+    page = "<body><nav>menu of the site</nav>" + body + "<footer>imprint</footer></body>"
+    pages = spark.createDataFrame([(i, "http://a.org/x", page.format(i)) for i in range(8)], "page_id long, url string, html string")
+    for r in site_templates.main_text(pages).collect():
+        assert "menu" not in r.text and "imprint" not in r.text and f"tory {r.page_id}" in r.text.replace("number ", "")
+
+
+def test_copies_of_an_article_are_one_content():
+    page = "<nav>menu {0}</nav><main><article>One story told again and again</article></main><aside>other things {0}, of which there are many more</aside>"
+    assert len({site_templates.parse(page.format(i))[1] for i in range(5)}) == 1
+
+
 # 4
 
 UNSIGNED = [
