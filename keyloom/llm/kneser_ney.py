@@ -2,27 +2,29 @@
 
 The tokens are bytes (order 5, four start symbols before each text): alphabets of any language fit, no word is out of
 vocabulary, and an n-gram is an exact 40-bit integer.  Lower orders use continuation counts; every order has the three
-discounts of modified Kneser-Ney, from its own counts of counts; the base is uniform over the 256 bytes.
+discounts of modified Kneser-Ney, from its own counts of counts; the base is uniform over the 256 bytes.  A discount that these counts
+put outside (0, count) gives way to the single discount n1 / (n1 + 2 n2), or one half, so that every order leaves some weight
+to the one below and no probability is 0.  Log probabilities are summed as integers of 2^-20, exactly, whatever the order and the partitions.
 
 Plan.  (1) Training: trusted documents (labels with quality 1 and toxic 0) lose a hashed share that is held out; Arrow
 tasks count the n-grams of their slice and send them, packed, to shards of the hash of (language, last two context
 bytes).  All n-grams, suffixes and contexts of orders 3 to 5 that one probability needs lie in one shard, so a shard
-derives its lower orders by itself.  Only counts of counts and the continuation counts of byte pairs, which are no more
+derives its lower orders by itself (a pair of bytes has at most 256^3 n-grams).  Only counts of counts and the continuation counts of byte pairs, which are no more
 than 65,536 a language whatever the input, come to the driver.
-(2) Scoring: documents are shuffled once into blocks; a block asks for its distinct n-grams, packed by shard; requests are
-cogrouped with the model's shards (the count join), and the answers are cogrouped with the block's texts, whose exchange
-Spark reuses.  Requests are distinct n-grams of a block, not occurrences, so they are a small part of the text, and both sides grow
-with the input.  A shard's requests are cut into groups of REQUEST_BLOCKS blocks, so that memory doesn't grow.
-(3) A document is rejected if its per-byte perplexity exceeds a quantile of its language among held-out trusted documents;
-a language with fewer than MIN_HELD of these takes the quantile of all.
+(2) Scoring: documents are shuffled once into blocks; a block asks for its distinct n-grams, packed by shard.  A shard's model and the requests for it
+lie in one partition, the model first, and the requests are streamed past it (the count join), so that memory holds one shard and one batch; the answers are
+cogrouped with the block's texts, whose exchange Spark reuses.  Requests are distinct n-grams of a block, not occurrences, so they are a small part of the text, and both sides grow
+with the input.  Blocks and shards are as many as there are BLOCK_TEXT bytes of text, and at least the shuffle partitions.
+(3) A document is rejected if its per-byte perplexity exceeds a quantile of its language among held-out trusted documents (the value of that rank, found by a
+histogram and an exact rank within one of its cells); a language with fewer than MIN_HELD of these takes the larger of its own quantile and that of all.
 
 The trusted ids are broadcast only up to BROADCAST_IDS of them (their number is counted first); beyond that the join
 shuffles.
 
 Defined results: null and empty texts have a null perplexity and are rejected; a null language is a language of its own
-("und"); a null or unknown label is not trusted; repeated rows of documents are scored each, repeated rows of labels count
-once and a document with conflicting labels is not trusted; without any trusted text every perplexity is 256 (the uniform
-base) and, as there is no threshold, every document with text is kept; columns other than doc_id, lang and text are not read.
+("und"); a null or unknown label is not trusted; every row of documents is scored by itself, also rows that share a doc_id or have none; repeated rows of labels count
+once and a document with conflicting labels is not trusted; a language without any trusted text can't be judged: every perplexity is 256 (the uniform
+base) and its documents with text are kept; columns other than doc_id, lang and text are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import mix64, packed_by_block, read_blocks, utf8
@@ -45,7 +47,9 @@ HOLD_OUT = 8
 QUANTILE = 0.995
 MIN_HELD = 20
 BROADCAST_IDS = 4_000_000
-REQUEST_BLOCKS = 256
+BLOCK_TEXT = 8 << 20
+UNIT = 1 << 20
+CELLS = 4096
 TRAIN_SLICE = 16 << 20
 PIECE = 2 << 20
 U64 = np.uint64
@@ -193,12 +197,13 @@ MODEL = "shard int, lang string, grams binary, counts binary, stats array<long>,
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """The discounts of counts 0, 1, 2 and 3 or more, from the numbers of n-grams with counts 1 to 4."""
+    """The discounts of counts 0, 1, 2 and 3 or more, from the numbers of n-grams with counts 1 to 4; each lies inside (0, count)."""
     n1, n2, n3, n4 = n
-    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
+    single = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     d = [0.0]
     for i, (low, high) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1):
-        d.append(min(max(i - (i + 1) * y * high / low, 0.0), float(i)) if low and high else 0.5 * i)
+        own = i - (i + 1) * single * high / low if low else 0.0
+        d.append(own if high and 0 < own < i else single)
     return np.array(d)
 
 
@@ -211,7 +216,7 @@ def interpolated(count: np.ndarray, at: np.ndarray, contexts: tuple, context_at:
     i = np.maximum(context_at, 0)
     if not len(total):
         return below
-    return np.where(seen, np.maximum(c, 0) / total[i] + gamma[i] * below, below)
+    return np.where(seen, c / total[i] + gamma[i] * below, below)
 
 
 def context_table(keys: np.ndarray, counts: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -221,7 +226,9 @@ def context_table(keys: np.ndarray, counts: np.ndarray, d: np.ndarray) -> tuple[
         return h, (np.zeros(0), np.zeros(0))
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     total = np.add.reduceat(counts, first).astype(np.float64)
-    taken = np.add.reduceat(d[np.minimum(counts, 3)], first)
+    # how many of a context's n-grams (256 at most) have count 1, 2, and 3 or more, side by side in one integer
+    kinds = np.add.reduceat(np.left_shift(1, 20 * (np.minimum(counts, 3) - 1)), first)
+    taken = (kinds & 0xFFFFF) * d[1] + (kinds >> 20 & 0xFFFFF) * d[2] + (kinds >> 40) * d[3]
     return h[first], (total, taken / total)
 
 
@@ -239,14 +246,14 @@ def pair_model(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     uniform = np.full(256, 1 / 256)
     single = np.bincount((k & U64(255)).astype(np.int64), minlength=256)
     d1 = discounts(counts_of_counts(single))
-    one = np.maximum(single - d1[np.minimum(single, 3)], 0) / single.sum() + d1[np.minimum(single, 3)].sum() / single.sum() * uniform if len(k) else uniform
+    one = (single - d1[np.minimum(single, 3)]) / single.sum() + d1[np.minimum(single, 3)].sum() / single.sum() * uniform if len(k) else uniform
     two = np.zeros((256, 256), np.int64)
     two.ravel()[k.astype(np.int64)] = c
     d2 = discounts(counts_of_counts(c))
     total = two.sum(1, keepdims=True)
     cut = d2[np.minimum(two, 3)]
     with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.maximum(two - cut, 0) / total + cut.sum(1, keepdims=True) / total * one
+        p = (two - cut) / total + cut.sum(1, keepdims=True) / total * one
     return np.where(total > 0, p, one)
 
 
@@ -262,16 +269,24 @@ class Model:
         self.discounts = {lang: [discounts([int(x) for x in s[4 * i : 4 * i + 4]]) for i in range(3)] for lang, s in stats.items()}
         self.pairs = {lang: pair_model(np.concatenate([p for p, _ in own]), np.concatenate([c for _, c in own])) for lang, own in pairs.items()}
 
-    def log_probabilities(self, wanted: np.ndarray, lang: str, k5: np.ndarray, c5: np.ndarray) -> np.ndarray:
+    def orders(self, lang: str, k5: np.ndarray, c5: np.ndarray) -> list[tuple]:
+        """A shard's n-grams of orders 3, 4 and 5 of a language with what their contexts leave, ready for log_probabilities."""
         if lang not in self.pairs:
-            return np.full(len(wanted), -np.log(256.0))
-        p = self.pairs[lang].ravel()[(wanted & U64(0xFFFF)).astype(np.int64)]
+            return []
         k4, c4 = lower(k5, 32)
         k3, c3 = lower(k4, 24)
         d5, d4, d3 = self.discounts[lang]
-        for keys, counts, d, bits in ((k3, c3, d3, 24), (k4, c4, d4, 32), (k5, c5, d5, 40)):
+        return [(keys, counts, d, bits, *context_table(keys, counts, d)) for keys, counts, d, bits in ((k3, c3, d3, 24), (k4, c4, d4, 32), (k5, c5, d5, 40))]
+
+    def log_probabilities(self, wanted: np.ndarray, lang: str, k5: np.ndarray, c5: np.ndarray) -> np.ndarray:
+        return self.logs(wanted, lang, self.orders(lang, k5, c5))
+
+    def logs(self, wanted: np.ndarray, lang: str, orders: list[tuple]) -> np.ndarray:
+        if lang not in self.pairs:
+            return np.full(len(wanted), -np.log(256.0))
+        p = self.pairs[lang].ravel()[(wanted & U64(0xFFFF)).astype(np.int64)]
+        for keys, counts, d, bits, h, contexts in orders:
             w = wanted & U64((1 << bits) - 1)
-            h, contexts = context_table(keys, counts, d)
             p = interpolated(counts, find(keys, w), contexts, find(h, w >> U64(8)), d, p)
         return np.log(p)
 
@@ -293,14 +308,20 @@ def train(trusted: DataFrame, shards: int) -> tuple[DataFrame, Model]:
 # scoring
 
 
+def row_key() -> Column:
+    """What tells rows of one doc_id apart: a 64-bit hash of language and text."""
+    return F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit("und")), F.col("text").cast("string"))
+
+
 def doc_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, body): documents by the hash of doc_id, compressed."""
-    return docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int").alias("block"),
+    """(block, body): documents by the hash of doc_id and text, compressed."""
+    keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        row_key().alias("row_key"),
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.col("text").cast("string").alias("text"),
-    ).mapInArrow(packed_by_block, "block int, body binary")
+    )
+    return keyed.select(F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(blocks)).cast("int").alias("block"), "*").mapInArrow(packed_by_block, "block int, body binary")
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
@@ -328,43 +349,62 @@ def _requests(shards: int):
         rows: list[tuple] = []
         for lang, own in found.items():
             k, _ = summed(*own)
-            rows += [(shard, block // REQUEST_BLOCKS, block, lang, pack(k[at])) for shard, at in by_shard(k, lang, shards)]
-        cols = list(zip(*rows)) or [[]] * 5
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], names=["shard", "part", "block", "lang", "grams"])
+            rows += [(shard, block, lang, pack(k[at])) for shard, at in by_shard(k, lang, shards)]
+        cols = list(zip(*rows)) or [[]] * 4
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], names=["shard", "block", "lang", "grams"])
 
     return ask
 
 
 def _answers(model: Model):
-    def answer(requests: pa.Table, known: pa.Table) -> pa.Table:
-        counts = {r["lang"]: (unpack(r["grams"]), unpack(r["counts"]).astype(np.int64)) for r in known.select(["lang", "grams", "counts"]).to_pylist()}
-        none = (np.zeros(0, U64), np.zeros(0, np.int64))
-        langs, packed = requests.column("lang").to_pylist(), requests.column("grams").to_pylist()
-        logs: list[bytes] = [b""] * len(langs)
-        for lang in sorted(set(langs)):
-            mine = [i for i, x in enumerate(langs) if x == lang]
-            asked = [unpack(packed[i]) for i in mine]
-            wanted = distinct(np.concatenate(asked))[0]
-            p = model.log_probabilities(wanted, lang, *counts.get(lang, none)).astype(np.float32)
-            for i, own in zip(mine, asked):
-                logs[i] = p[np.searchsorted(wanted, own)].tobytes()
-        return pa.table([requests.column("block"), requests.column("lang"), requests.column("grams"), pa.array(logs, pa.binary())], names=["block", "lang", "grams", "logs"])
+    """Requests sorted by shard, each shard's model rows (with a null block) before them."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, known = None, {}
+        for batch in batches:
+            shards, blocks, langs, grams, counts = (batch.column(n).to_pylist() for n in ("shard", "block", "lang", "grams", "counts"))
+            asked: dict[tuple[int, str], list[int]] = {}
+            out: list[bytes] = [b""] * len(shards)
+
+            def settle() -> None:
+                for (_, lang), own in asked.items():
+                    wanted_of = [unpack(grams[i]) for i in own]
+                    wanted = distinct(np.concatenate(wanted_of))[0]
+                    logs = np.rint(model.logs(wanted, lang, known.get(lang, [])) * UNIT).astype(np.int32)
+                    for i, w in zip(own, wanted_of):
+                        out[i] = logs[np.searchsorted(wanted, w)].tobytes()
+                asked.clear()
+
+            for i, (s, block, lang) in enumerate(zip(shards, blocks, langs)):
+                if s != shard:
+                    settle()
+                    shard, known = s, {}
+                if block is None:
+                    known[lang] = model.orders(lang, unpack(grams[i]), unpack(counts[i]).astype(np.int64))
+                else:
+                    asked.setdefault((s, lang), []).append(i)
+            settle()
+            told = [i for i, block in enumerate(blocks) if block is not None]
+            rows = batch.select(["block", "lang", "grams"]).take(pa.array(told, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([out[i] for i in told], pa.binary())], ["block", "lang", "grams", "logs"])
 
     return answer
 
 
 def document_sums(texts: list[bytes], keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """The sum of log probabilities of each text's bytes; keys holds all their n-grams."""
+    """The sum of the logs (integers) of each text's bytes; keys holds all their n-grams."""
     buffer = padded(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(sizes + ORDER - 1) - sizes  # where each text's bytes begin, and so the places of their n-grams' last bytes
-    out = np.zeros(len(texts))
+    out = np.zeros(len(texts), np.int64)
     for s in range(0, len(buffer) - ORDER + 1, PIECE):
         part = buffer[s : s + PIECE + ORDER - 1]
         g = grams_of(part)
         ok = part[ORDER - 1 :] != 255
         a = np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))
-        running = np.concatenate(([0.0], np.cumsum(np.where(ok, logs[a], 0.0)))) if len(keys) else np.zeros(len(g) + 1)
+        running = np.zeros(len(g) + 1, np.int64)
+        if len(keys):
+            np.cumsum(np.where(ok, logs[a], 0), out=running[1:])
         lo = np.clip(begins - (ORDER - 1) - s, 0, len(g))
         hi = np.clip(begins + sizes - (ORDER - 1) - s, 0, len(g))
         out += running[hi] - running[lo]
@@ -376,38 +416,41 @@ def _scores(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     for lang, grams, logs in zip(answers.column("lang").to_pylist(), answers.column("grams").to_pylist(), answers.column("logs").to_pylist()):
         own = known.setdefault(lang, ([], []))
         own[0].append(unpack(grams))
-        own[1].append(np.frombuffer(logs, np.float32))
+        own[1].append(np.frombuffer(logs, np.int32))
     tables = {}
     for lang, (k, p) in known.items():
         keys = np.concatenate(k)
         order = np.argsort(keys)
-        tables[lang] = keys[order], np.concatenate(p)[order].astype(np.float64)
-    none = (np.zeros(0, U64), np.zeros(0))
-    ids, langs, sizes, sums = [], [], [], []
+        tables[lang] = keys[order], np.concatenate(p)[order].astype(np.int64)
+    none = (np.zeros(0, U64), np.zeros(0, np.int64))
+    ids, row_keys, langs, sizes, sums = [], [], [], [], []
     for batch in read_blocks(blocks.column("body")):
         for lang, at, texts in _by_lang(batch):
             ids.append(batch.column("doc_id").take(pa.array(at)))
+            row_keys.append(batch.column("row_key").take(pa.array(at)))
             langs += [lang] * len(at)
             sizes += [len(t) for t in texts]
             sums.append(document_sums(texts, *tables.get(lang, none)))
-    total, n = np.concatenate(sums) if sums else np.zeros(0), np.array(sizes, np.int64)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ppl = np.exp(-total / n)
-    return pa.table([pa.chunked_array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(n), pa.array(ppl, mask=n == 0)], names=["doc_id", "lang", "n_bytes", "perplexity"])
-
-
-def score(docs: DataFrame, model: DataFrame, common: Model, shards: int) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity) of each document."""
-    blocks = shuffle_partitions(docs.sparkSession)
-    bodies = doc_blocks(docs, blocks)
-    requests = bodies.groupBy("block").applyInArrow(_requests(shards), "shard int, part int, block int, lang string, grams binary")
-    parts = -(-blocks // REQUEST_BLOCKS)
-    copies = model.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(parts)])))
-    answers = (
-        requests.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part"))
-        .applyInArrow(_answers(common), "block int, lang string, grams binary, logs binary")
-    )
-    return bodies.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores, "doc_id long, lang string, n_bytes long, perplexity double")
+    total, n = np.concatenate(sums) if sums else np.zeros(0, np.int64), np.array(sizes, np.int64)
+    ppl = np.exp(-total / UNIT / np.maximum(n, 1))
+    if not np.isfinite(ppl).all():
+        raise ArithmeticError("a perplexity isn't finite")
+    return pa.table([pa.chunked_array(ids, pa.int64()), pa.chunked_array(row_keys, pa.int64()), pa.array(langs, pa.string()), pa.array(n), pa.array(ppl, mask=n == 0)], names=["doc_id", "row_key", "lang", "n_bytes", "perplexity"])
+
+
+def block_number(docs: DataFrame) -> int:
+    """Blocks of about BLOCK_TEXT bytes of text, and no fewer than shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // BLOCK_TEXT))
+
+
+def score(docs: DataFrame, model: DataFrame, common: Model, shards: int, blocks: int | None = None) -> DataFrame:
+    """(doc_id, row_key, lang, n_bytes, perplexity) of each document."""
+    bodies = doc_blocks(docs, blocks or block_number(docs))
+    requests = bodies.groupBy("block").applyInArrow(_requests(shards), "shard int, block int, lang string, grams binary")
+    both = model.select("shard", F.lit(None).cast("int").alias("block"), "lang", "grams", "counts").unionByName(requests.withColumn("counts", F.lit(None).cast("binary")))
+    answers = both.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first()).mapInArrow(_answers(common), "block int, lang string, grams binary, logs binary")
+    return bodies.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores, "doc_id long, row_key long, lang string, n_bytes long, perplexity double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -416,31 +459,54 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("good")).where("good = 1").select("doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, keep) of each document."""
+def quantiles(values: DataFrame, q: float) -> list:
+    """(lang, n, high) of each language, and of all under a null lang: the smallest perplexity that at least a share q of n values doesn't exceed.
+
+    A histogram finds the cell of each quantile, and only the values of that cell are ranked.
+    """
+    spread = values.select(F.explode(F.array("lang", F.lit(None).cast("string"))).alias("lang"), "perplexity").withColumn("cell", F.floor(F.log("perplexity") * CELLS))
+    cells = spread.groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("m"))
+    own = Window.partitionBy("lang")
+    upto = cells.select("lang", "cell", "m", F.sum("m").over(own.orderBy("cell")).alias("upto"), F.sum("m").over(own).alias("n"))
+    wanted = F.ceil(F.col("n") * F.lit(q))
+    cell = upto.where((F.col("upto") >= wanted) & (F.col("upto") - F.col("m") < wanted)).select(F.col("lang").alias("__lang"), F.col("cell").alias("__cell"), "n", (wanted - F.col("upto") + F.col("m")).alias("turn"))
+    there = spread.join(cell, spread.lang.eqNullSafe(F.col("__lang")) & (F.col("cell") == F.col("__cell")))
+    ranked = there.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("perplexity")))
+    return ranked.where("rank = turn").select("lang", "n", F.col("perplexity").alias("high")).collect()
+
+
+def thresholds(found: list, langs: list[str]) -> list[tuple[str, float]]:
+    """(lang, high) of each language with a model."""
+    by = {r.lang: r for r in found}
+    whole = by[None].high if None in by else float("inf")
+    return [(lang, whole if lang not in by else by[lang].high if by[lang].n >= MIN_HELD else max(whole, by[lang].high)) for lang in langs]
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, row_key, lang, n_bytes, perplexity, keep) of each document."""
     spark = docs.sparkSession
-    shards = shuffle_partitions(spark)
+    blocks = block_number(docs)
     ids = trusted_ids(labels)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     is_held = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HOLD_OUT)) == 0
     trusted = named.where("length(text) > 0").where(~is_held).join(ids, "doc_id", "left_semi")
-    model, common = train(trusted, shards)
-    scored = checkpoint(score(docs, model, common, shards))
-    held = scored.where(is_held).where("perplexity is not null").join(ids, "doc_id", "left_semi")
-    exact = F.expr(f"percentile(perplexity, {QUANTILE})").alias("high")
-    whole = held.agg(exact).first().high
-    own = held.groupBy("lang").agg(exact, F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_HELD).select("lang", "high")
-    high = F.coalesce("high", F.lit(whole), F.lit(float("inf")))
-    return scored.join(own, "lang", "left").select("doc_id", "lang", "n_bytes", "perplexity", F.coalesce(F.col("perplexity") <= high, F.lit(False)).alias("keep"))
+    model, common = train(trusted, blocks)
+    scored = checkpoint(score(docs, model, common, blocks, blocks))
+    langs = sorted(common.pairs)
+    held = scored.where(is_held).where("perplexity is not null").where(F.col("lang").isin(langs)).join(ids, "doc_id", "left_semi")
+    high = spark.createDataFrame(thresholds(quantiles(held.select("lang", "perplexity"), QUANTILE), langs), "lang string, high double")
+    keep = F.coalesce(F.col("perplexity") <= F.coalesce("high", F.lit(float("inf"))), F.lit(False))
+    return scored.join(high, "lang", "left").select("doc_id", "row_key", "lang", "n_bytes", "perplexity", keep.alias("keep"))
 
 
-def keep_trusted_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows whose document is rejected, all columns as they are.
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang, n_bytes, perplexity, keep) of each row."""
+    return judged(docs, labels).drop("row_key")
 
-    A row with a null doc_id can't be judged apart from others with none, so that such rows are kept unless their text is null or empty.
-    """
-    kept = classify(docs, labels).where("keep and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    by_id = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").where("length(text) > 0")
-    return by_id.unionByName(docs.where("doc_id is null and length(text) > 0"))
+
+def keep_trusted_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that are rejected, all columns as they are; a row is known by doc_id (which may be null), language and text."""
+    kept = judged(docs, labels).where("keep").select(F.col("doc_id").alias("__kept"), F.col("row_key").alias("__row")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")) & (row_key() == F.col("__row")), "left_semi")

@@ -418,6 +418,16 @@ def test_digest(spark):
 # 9
 
 
+def slow_discounts(n1, n2, n3, n4):
+    """Of counts 1, 2, and 3 or more, as published; where a formula leaves (0, count) or has nothing to divide by, the single absolute discount."""
+    single = n1 / (n1 + 2 * n2) if n1 > 0 and n2 > 0 else 0.5
+    out = []
+    for count, fewer, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4)):
+        value = count - (count + 1) * single * more / fewer if fewer > 0 and more > 0 else 0
+        out.append(value if 0 < value < count else single)
+    return [0.0, *out]
+
+
 def slow_model(texts, order=5):
     """log probability of a byte after a context, from dictionaries."""
     grams = [collections.Counter() for _ in range(order + 1)]
@@ -430,7 +440,7 @@ def slow_model(texts, order=5):
             grams[k][gram[1:]] += 1
     cut = []
     for k in range(order + 1):
-        cut.append(kneser_ney.discounts([sum(c == i for c in grams[k].values()) for i in (1, 2, 3, 4)]) if k else None)
+        cut.append(slow_discounts(*[sum(c == i for c in grams[k].values()) for i in (1, 2, 3, 4)]) if k else None)
     context = [collections.defaultdict(list) for _ in range(order + 1)]
     for k in range(1, order + 1):
         for gram, c in grams[k].items():
@@ -468,6 +478,79 @@ def test_perplexity(spark):
         assert got[i] == (pytest.approx(math.exp(-mean), rel=1e-5), len(text.encode()))
 
 
+def slow_perplexity(model, text):
+    seq = [-1] * 4 + list(text.encode())
+    return math.exp(-sum(math.log(model(tuple(seq[j - 4 : j + 1]))) for j in range(4, len(seq))) / (len(seq) - 4))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_keep_by_brute_force(spark, monkeypatch, seed):
+    """Few trusted texts in some languages, many in one: the same perplexities and verdicts as written out plainly, for any partitioning."""
+    monkeypatch.setattr(kneser_ney, "MIN_HELD", 4)
+    rng = random.Random(seed)
+    words = ["the", "then", "cat", "öl", "matte", "run", "running", "x1", "zzz"]
+    few = {"en": 60, **{lang: rng.randint(1, 5) for lang in ("de", "fr", "es")}, "it": 0}
+    rows, labelled = [], []
+    for lang, n in few.items():
+        for k in range(n + 12):
+            rows.append((len(rows), " ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) + rng.choice(["", "", " %%%", "ß"]), lang))
+            if k < n:
+                labelled.append((rows[-1][0], 1, 0))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    held = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(kneser_ney.HOLD_OUT)) == 0).collect()}
+    trusted = {i for i, _, _ in labelled}
+    models = {lang: slow_model(own) for lang in few if (own := [t for i, t, x in rows if x == lang and i in trusted - held])}
+    want = {i: slow_perplexity(models[lang], t) if lang in models else 256.0 for i, t, lang in rows}
+
+    def quantile(ids):
+        values = sorted(want[i] for i in ids)
+        return values[math.ceil(kneser_ney.QUANTILE * len(values)) - 1] if values else math.inf
+
+    by = {lang: [i for i, _, x in rows if x == lang and i in trusted & held] for lang in models}
+    whole = quantile([i for own in by.values() for i in own])
+    high = {lang: whole if not own else quantile(own) if len(own) >= 4 else max(whole, quantile(own)) for lang, own in by.items()}
+    verdicts = []
+    for parts in (3, 8, 17):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = {r.doc_id: (r.perplexity, r.keep) for r in kneser_ney.classify(docs.repartition(parts), labels).collect()}
+        verdicts.append(got)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert verdicts[0] == verdicts[1] == verdicts[2]
+    for i, _, lang in rows:
+        assert got[i][0] == pytest.approx(want[i], rel=1e-5)
+        top = high.get(lang, math.inf)
+        assert got[i][1] == (want[i] <= top * (1 + 1e-5))
+    assert not all(keep for _, keep in got.values())
+
+
+def test_no_count_leaves_nothing_to_the_order_below():
+    for counts in ([0, 0, 0, 0], [5, 0, 0, 0], [0, 5, 0, 0], [1, 1, 9, 9], [1, 9, 1, 1], [9, 1, 9, 1], [3, 2, 1, 0], [100, 30, 12, 7]):
+        d = kneser_ney.discounts(counts)
+        assert d[0] == 0 and all(0 < d[i] < i for i in (1, 2, 3))
+        assert d.tolist() == pytest.approx(slow_discounts(*counts))
+
+
+def test_quantiles(spark, monkeypatch):
+    rng = random.Random(8)
+    for cells in (1, 4096):
+        monkeypatch.setattr(kneser_ney, "CELLS", cells)
+        rows = [(rng.choice("abc"), rng.choice([2.5, rng.uniform(1, 50)])) for _ in range(400)] + [("d", 7.0)]
+        got = {r.lang: (r.n, r.high) for r in kneser_ney.quantiles(spark.createDataFrame(rows, "lang string, perplexity double"), 0.9)}
+        for lang in ("a", "b", "c", "d", None):
+            own = sorted(v for x, v in rows if lang in (None, x))
+            assert got[lang] == (len(own), own[math.ceil(0.9 * len(own)) - 1])
+
+
+def test_rows_with_one_id_are_judged_apart(spark):
+    rng = random.Random(4)
+    clean = lambda: " ".join(rng.choice(["the", "cat", "sat", "on", "mats", "and", "ran"]) for _ in range(40))
+    rows = [(i, clean(), "en", i) for i in range(80)] + [(70, "%%%% $$$$ ####" * 9, "en", 100), (500, "@@@@ ~~~~ ^^^^" * 9, "en", 101), (500, clean(), "en", 102), (None, clean(), "en", 103), (None, "|||| }}}}" * 20, "en", 104), (500, None, "en", 105)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = {r.n for r in kneser_ney.keep_trusted_quality(docs, labels).collect()}
+    assert {102, 103} <= kept and not {100, 101, 104, 105} & kept and len(kept & set(range(80))) >= 75
+
+
 def test_probabilities_sum_to_one():
     rng = random.Random(2)
     raw = bytes(rng.choice(b"abcd ") for _ in range(3000))
@@ -491,7 +574,7 @@ def test_pieces_don_t_matter(monkeypatch):
     texts = [bytes(rng.choice(b"ab c") for _ in range(rng.randint(0, 300))) for _ in range(20)]
     buffer = kneser_ney.padded(texts)
     k, c = kneser_ney.counted(buffer)
-    logs = np.random.default_rng(1).random(len(k))
+    logs = np.random.default_rng(1).integers(-(1 << 24), 0, len(k))
     whole = kneser_ney.document_sums(texts, k, logs)
     monkeypatch.setattr(kneser_ney, "PIECE", 37)
     k2, c2 = kneser_ney.counted(buffer)
