@@ -15,6 +15,7 @@ code points; find_identifiers reads only doc_id and text, and mask_identifiers p
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -43,10 +44,12 @@ _WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORD}|\d)(?:[\s,.\-]{{1,3}}(?:{_WORD}|\d)(?!\w))+", re.I)
 _ELEMENT = re.compile(rf"{_WORD}(?!\w)|\d|[\s,.\-]+", re.I)
 _DOT_WORD = "(?:dot|punkt|punto|point)"
-_DOT = rf"(?:\s*[\[({{<]\s*{_DOT_WORD}\s*[\])}}>]\s*|\s+{_DOT_WORD}\s+|\.)"
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|chez)\s*[\])}>]\s*|\s+(?:at|arroba)\s+|\s*@\s*", re.I)
+_DOT = rf"(?:(?<!\s)\s*[\[({{<]\s*{_DOT_WORD}\s*[\])}}>]\s*|(?<!\s)\s+{_DOT_WORD}\s+|\.)"
+_AT = re.compile(r"(?<!\s)(?:\s*[\[({<]\s*(?:at|arroba|chez)\s*[\])}>]\s*|\s+(?:at|arroba)\s+|\s*@\s*)", re.I)
 _HOST = re.compile(rf"[\w\-]+(?:{_DOT}[\w\-]+)*?{_DOT}[a-z]{{2,}}(?![\w\-])(?:{_DOT}[a-z]{{2,}}(?![\w\-]))*", re.I)
-_LOCAL = re.compile(rf"(?<![\w+%\-.])[\w+%\-]+(?:{_DOT}[\w+%\-]+)*$", re.I)
+_ATOM = re.compile(r"[\w+%\-]")
+_DOT_WORDS = frozenset(_DOT_WORD.strip("(?:)").split("|"))
+_OPEN, _CLOSE = "[({<", "])}>"
 _DOTS = re.compile(_DOT, re.I)
 _HAS_DOT_WORD = re.compile(_DOT_WORD, re.I)
 _UNUSUAL = re.compile("[^\x00-¬®-ɏ]|[ı²³¹]")
@@ -128,6 +131,46 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _dot_before(text: str, low: int, end: int) -> int:
+    """Where a full stop, plain or disguised, that ends at end begins; -1 if there is none."""
+
+    def blanks(at: int) -> int:
+        while at > low and text[at - 1].isspace():
+            at -= 1
+        return at
+
+    if end > low and text[end - 1] == ".":
+        return end - 1
+    at = blanks(end)
+    closed = at > low and text[at - 1] in _CLOSE
+    if not closed and at == end:
+        return -1
+    word_end = blanks(at - 1) if closed else at
+    for word in _DOT_WORDS:
+        begin = word_end - len(word)
+        if begin >= low and text[begin:word_end].lower() == word:
+            at = blanks(begin)
+            if not closed:
+                return at if at < begin else -1
+            return blanks(at - 1) if at > low and text[at - 1] in _OPEN else -1
+    return -1
+
+
+def _local_begin(text: str, low: int, end: int) -> int:
+    """Where the name before an at sign at end begins, not before low; -1 if there is none.  Looks at no more than the name and what stands in front of it."""
+    begin, at = -1, end
+    while at >= 0:
+        start = at
+        while start > low and _ATOM.match(text[start - 1]):
+            start -= 1
+        if start == at:
+            break
+        if start == low or text[start - 1] != ".":
+            begin = start
+        at = _dot_before(text, low, start)
+    return begin
+
+
 def _address_edits(text: str) -> list[tuple[int, int, str]]:
     edits: list[tuple[int, int, str]] = []
     done = 0
@@ -140,16 +183,13 @@ def _address_edits(text: str) -> list[tuple[int, int, str]]:
         host = _HOST.match(text, at.end())
         if host is None or bare and not _HAS_DOT_WORD.search(host.group()):
             continue
-        begin = max(done, at.start() - 160)
-        local = _LOCAL.search(text[begin : at.start()])
-        if local is None:
+        begin = _local_begin(text, done, at.start())
+        if begin < 0:
             continue
-        for part, base in ((local.group(), begin + local.start()), (None, None), (host.group(), host.start())):
-            if part is None:
-                if at.group() != "@":
-                    edits.append((at.start(), at.end(), "@"))
-            else:
-                edits += [(base + d.start(), base + d.end(), ".") for d in _DOTS.finditer(part) if d.group() != "."]
+        edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(text, begin, at.start()) if d.group() != "."]
+        if at.group() != "@":
+            edits.append((at.start(), at.end(), "@"))
+        edits += [(host.start() + d.start(), host.start() + d.end(), ".") for d in _DOTS.finditer(host.group()) if d.group() != "."]
         done = host.end()
     return edits
 
@@ -187,7 +227,7 @@ def _phone(s: str) -> bool:
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: kind -> (pattern, test). Group "v", where there is one, is the identifier.
 KINDS = {
-    "email": (re.compile(r"[\w.+%\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}(?![\w\-])"), None),
+    "email": (re.compile(r"(?<![\w.+%\-])[\w.+%\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}(?![\w\-])"), None),
     "secret": (
         re.compile(r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_\-]{20,}|eyJ[\w\-]{8,}\.[\w\-]{8,}\.[\w\-]+)(?![A-Za-z0-9])|(?i:token|secret|password|passwd|api[_-]?key)["']?\s*[=:]\s*["']?(?P<v>[A-Za-z0-9+/_\-.]{8,}=*)"""),
         None,
@@ -200,18 +240,32 @@ KINDS = {
 }
 
 
+class Taken:
+    """Disjoint spans; whether another one overlaps any of them takes a binary search."""
+
+    def __init__(self) -> None:
+        self.begins: list[int] = []
+        self.rows: list[tuple[int, int, str, str]] = []
+
+    def add(self, row: tuple[int, int, str, str]) -> None:
+        """Add (begin, end, ...) if it overlaps nothing."""
+        k = bisect.bisect_left(self.begins, row[1])
+        if k and self.rows[k - 1][1] > row[0]:
+            return
+        self.begins.insert(k, row[0])
+        self.rows.insert(k, row)
+
+
 def identifiers(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, begin, end, normalised value) of a text's identifiers by place; begin and end count source characters."""
     m = undisguise(fold_characters(Mapped(text)))
-    taken: list[tuple[int, int, str, str]] = []
+    taken = Taken()
     for kind, (pattern, test) in KINDS.items():
         for x in pattern.finditer(m.text):
             group = "v" if "v" in pattern.groupindex and x.group("v") is not None else 0
-            a, b = x.span(group)
-            value = x.group(group)
-            if (test is None or test(value)) and not any(a < d and c < b for c, d, _, _ in taken):
-                taken.append((a, b, kind, value))
-    return [(kind, *m.source(a, b), value) for a, b, kind, value in sorted(taken)]
+            if test is None or test(x.group(group)):
+                taken.add((*x.span(group), kind, x.group(group)))
+    return [(kind, *m.source(a, b), value) for a, b, kind, value in taken.rows]
 
 
 def _suspects(batch: pa.RecordBatch) -> np.ndarray:
