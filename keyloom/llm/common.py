@@ -126,3 +126,8 @@ def packed_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             held, size = [], 0
     if held:
         yield from flush()
+
+
+def blocks_for(size: int, block: int, cores: int) -> int:
+    """As many blocks as size bytes need, and for a small table as many as there are cores to work on them."""
+    return max(1, -(-size // block), min(cores, -(-size // (1 << 20))))

@@ -14,7 +14,8 @@ than 65,536 a language whatever the input, come to the driver.
 (2) Scoring: documents are shuffled once into blocks; a block asks for its distinct n-grams, packed by shard.  A shard's model and the requests for it
 lie in one partition, the model first, and the requests are streamed past it (the count join), so that memory holds one shard and one batch; the answers are
 cogrouped with the block's texts, whose exchange Spark reuses.  Requests are distinct n-grams of a block, not occurrences, so they are a small part of the text, and both sides grow
-with the input.  Blocks and shards are as many as there are BLOCK_TEXT bytes of text, and at least the shuffle partitions.
+with the input.  A block holds about BLOCK_TEXT bytes of text and is a task of its own; shards are
+as many as blocks up to MAX_SHARDS (there are few thousand pairs of bytes to divide by), so that a block's requests are a bounded number of rows.
 (3) A document is rejected if its per-byte perplexity exceeds a quantile of its language among held-out trusted documents (the value of that rank, found by a
 histogram and an exact rank within one of its cells); a language with fewer than MIN_HELD of these takes the larger of its own quantile and that of all.
 
@@ -38,8 +39,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import mix64, packed_by_block, read_blocks, utf8
-from keyloom.session import checkpoint, shuffle_partitions
+from keyloom.llm.common import blocks_for, mix64, packed_by_block, read_blocks, utf8
+from keyloom.session import checkpoint
 
 ORDER = 5
 PAD = b"\xff" * (ORDER - 1)
@@ -47,7 +48,8 @@ HOLD_OUT = 8
 QUANTILE = 0.995
 MIN_HELD = 20
 BROADCAST_IDS = 4_000_000
-BLOCK_TEXT = 8 << 20
+BLOCK_TEXT = 32 << 20
+MAX_SHARDS = 1024
 UNIT = 1 << 20
 CELLS = 4096
 TRAIN_SLICE = 16 << 20
@@ -439,17 +441,20 @@ def _scores(blocks: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 def block_number(docs: DataFrame) -> int:
-    """Blocks of about BLOCK_TEXT bytes of text, and no fewer than shuffle partitions."""
+    """Blocks of about BLOCK_TEXT bytes of text."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return max(shuffle_partitions(docs.sparkSession), -(-size // BLOCK_TEXT))
+    return blocks_for(size, BLOCK_TEXT, docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def score(docs: DataFrame, model: DataFrame, common: Model, shards: int, blocks: int | None = None) -> DataFrame:
     """(doc_id, row_key, lang, n_bytes, perplexity) of each document."""
-    bodies = doc_blocks(docs, blocks or block_number(docs))
+    blocks = blocks or block_number(docs)
+    bodies = doc_blocks(docs, blocks).repartitionById(blocks, "block")
     requests = bodies.groupBy("block").applyInArrow(_requests(shards), "shard int, block int, lang string, grams binary")
     both = model.select("shard", F.lit(None).cast("int").alias("block"), "lang", "grams", "counts").unionByName(requests.withColumn("counts", F.lit(None).cast("binary")))
-    answers = both.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first()).mapInArrow(_answers(common), "block int, lang string, grams binary, logs binary")
+    # model rows first in each shard
+    by_shard = both.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first())
+    answers = by_shard.mapInArrow(_answers(common), "block int, lang string, grams binary, logs binary").repartitionById(blocks, "block")
     return bodies.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores, "doc_id long, row_key long, lang string, n_bytes long, perplexity double")
 
 
@@ -492,8 +497,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     is_held = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HOLD_OUT)) == 0
     trusted = named.where("length(text) > 0").where(~is_held).join(ids, "doc_id", "left_semi")
-    model, common = train(trusted, blocks)
-    scored = checkpoint(score(docs, model, common, blocks, blocks))
+    shards = min(blocks, MAX_SHARDS)
+    model, common = train(trusted, shards)
+    scored = checkpoint(score(docs, model, common, shards, blocks))
     langs = sorted(common.pairs)
     held = scored.where(is_held).where("perplexity is not null").where(F.col("lang").isin(langs)).join(ids, "doc_id", "left_semi")
     high = spark.createDataFrame(thresholds(quantiles(held.select("lang", "perplexity"), QUANTILE), langs), "lang string, high double")
