@@ -7,29 +7,33 @@ Search.  A metric tree prunes nothing at such a radius over all bits (every dist
 trees stand on BANDS slices of BAND_BITS bits each, with radius BAND_RADIUS, and every pair found is decided by its exact
 distance over all 256 bits.  In a slice the distances to a vantage point split fingerprints at their median; the
 triangle inequality leaves a query only the sides that its ball meets.  The first levels of each tree are laid out on the
-driver from a bounded sample and make the shards: a fingerprint lives in one shard and is sent, as a query, to every
-other shard whose boundary its ball overlaps.  Within a shard a full tree is built and all queries walk it level by level in numpy.  Each slice is searched exactly;
+driver from one fingerprint in SAMPLE_SHARE and make the shards: a fingerprint lives in one shard and is sent, as a query, to every
+later shard whose boundary its ball overlaps (of two fingerprints in different shards one is sent to the other's, so that each pair is met once).
+Within a shard a full tree is built and all queries walk it level by level in numpy.  Each slice is searched exactly;
 a pair is missed only if it differs in more than BAND_RADIUS bits in every slice, which the tests hold below a tenth of pairs within MAX_DISTANCE.
 
-Plan: one Arrow pass over the texts gives (doc_id, fingerprint), kept in the shared folder; equal fingerprints are joined
-by a window, so that thousands of exact copies are one point of the search; distinct points are shuffled once, packed by
+Plan: one Arrow pass over the texts gives (doc_id, row key, fingerprint), kept in the shared folder; equal fingerprints are grouped with
+map-side combination, so that any number of exact copies are one point of the search; distinct points are shuffled once, packed by
 shard; shards return only a spanning star of each of their components, and components are closed by alternating large and
-small stars, whose rounds are checkpointed.  The number of shards follows the number of distinct fingerprints.
+small stars, whose rounds are checkpointed.  The number of shards follows the number of distinct fingerprints without a limit; the sample that the driver
+holds is 32 bytes for each SAMPLE_SHARE of them.
 
 Defined results: a null text or a null doc_id has no group (its group_id is its own doc_id); texts without words are compared by the hash of
-their whole bytes, so that equal ones (also empty ones) are one group; repeated rows share their document's group, and of them one stays; ties
+their whole bytes, so that equal ones (also empty ones) are one group; repeated rows share their document's group, and of them one stays; rows
+with one doc_id and different texts are grouped each by its own text; ties
 keep the smallest doc_id; other columns are not read by near_groups and pass through drop_near_duplicates as they are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import U64, mix64, text_slices, utf8, word_hashes
@@ -39,8 +43,7 @@ LANES = 4
 MAX_DISTANCE = 36
 BANDS, BAND_BITS, BAND_RADIUS = 10, 24, 1
 SHARD_POINTS = 16384
-SAMPLE_POINTS = 1 << 16
-MAX_DEPTH = 14
+SAMPLE_SHARE = 1 << 12
 LEAF = 16
 PAIRS_AT_ONCE = 1 << 21
 _LANE_KEYS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], U64)
@@ -92,12 +95,22 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(whole, "text"):
             fp = fingerprints(batch.column("text")).view(np.int64)
             null = pc.is_null(batch.column("text")).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(fp[:, i], mask=null) for i in range(LANES))], ["doc_id", *_NAMES])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *(pa.array(fp[:, i], mask=null) for i in range(LANES))], ["doc_id", "row_key", *_NAMES])
+
+
+def row_key() -> Column:
+    """What tells rows of one doc_id apart: a 64-bit hash of the text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def keyed_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, f0 .. f3) of each row; null fingerprints for null texts."""
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), F.col("text").cast("string")).mapInArrow(_fingerprint, "doc_id long, row_key long, " + ", ".join(f"{n} long" for n in _NAMES))
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """(doc_id, f0 .. f3) of each row; null fingerprints for null texts."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint, "doc_id long, " + ", ".join(f"{n} long" for n in _NAMES))
+    return keyed_fingerprints(docs).drop("row_key")
 
 
 # vantage-point trees
@@ -164,7 +177,7 @@ class Tree:
 
 
 def shard_pairs(ids: np.ndarray, fp: np.ndarray, home: np.ndarray, band: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (query, point) of a shard within the radius in the band and over all bits; the query has the larger id."""
+    """Index pairs (query, point) of a shard within the radius in the band and over all bits; of two that both live there the query has the larger id."""
     values = band_values(fp, band)
     lives = np.flatnonzero(home)
     if not len(lives):
@@ -182,7 +195,7 @@ def shard_pairs(ids: np.ndarray, fp: np.ndarray, home: np.ndarray, band: int) ->
         x, y = lives[tree.points[x]], np.repeat(q[a:b], n)
         ok = np.bitwise_count(values[x] ^ values[y]) <= BAND_RADIUS
         x, y = x[ok], y[ok]
-        ok = ids[y] > ids[x]
+        ok = ~home[y] | (ids[y] > ids[x])
         x, y = x[ok], y[ok]
         ok = np.bitwise_count(fp[x] ^ fp[y]).sum(1) <= MAX_DISTANCE
         if ok.any():
@@ -198,7 +211,7 @@ def _router(trees: list[Tree]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("doc_id").to_numpy()
+            ids = batch.column("point").to_numpy()
             fp = np.stack([batch.column(n).to_numpy() for n in _NAMES], axis=1).view(U64)
             out: tuple[list, list, list, list] = ([], [], [], [])
             for band, tree in enumerate(trees):
@@ -207,6 +220,8 @@ def _router(trees: list[Tree]):
                 _, lives = (home := tree.leaves(values, 0))
                 own = np.empty(len(values), np.int64)
                 own[home[0]] = lives
+                later = leaf >= own[q]
+                q, leaf = q[later], leaf[later]
                 order = np.argsort(leaf, kind="stable")
                 q, leaf = q[order], leaf[order]
                 cuts = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
@@ -230,7 +245,7 @@ def _pairs(table: pa.Table) -> pa.Table:
     found = list(shard_pairs(ids, fp, home, table.column("shard")[0].as_py() >> 32))
     y = np.concatenate([y for y, _ in found]) if found else np.zeros(0, np.int64)
     x = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-    return pa.table([pa.array(ids[x]), pa.array(ids[y]), pa.array(np.bitwise_count(fp[x] ^ fp[y]).sum(1).astype(np.int32))], names=["a", "b", "distance"])
+    return pa.table([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(np.bitwise_count(fp[x] ^ fp[y]).sum(1).astype(np.int32))], names=["a", "b", "distance"])
 
 
 def _stars(table: pa.Table) -> pa.Table:
@@ -254,23 +269,32 @@ def _stars(table: pa.Table) -> pa.Table:
 
 
 def _sharded(points: DataFrame) -> DataFrame:
-    """Distinct points (doc_id, f0 .. f3), packed by shard, in their own shard and as queries where their balls reach."""
+    """Distinct points (point, f0 .. f3), packed by shard, in their own shard and as queries where their balls reach."""
     n = points.count()
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / SHARD_POINTS)))))
-    rows = points.orderBy(F.xxhash64(*_NAMES, F.lit("vantage")), *_NAMES).limit(SAMPLE_POINTS if depth else 0).select(*_NAMES).toArrow()
+    depth = max(0, math.ceil(math.log2(max(1, n) / SHARD_POINTS)))
+    share = min(SAMPLE_SHARE, max(1, SHARD_POINTS // 4))
+    chosen = points.where(F.pmod(F.xxhash64(*_NAMES, F.lit("vantage")), F.lit(share)) == 0) if depth else points.limit(0)
+    rows = chosen.select(*_NAMES).toArrow().sort_by([(c, "ascending") for c in _NAMES])
     sample = np.stack([rows.column(c).to_numpy() for c in _NAMES], axis=1).view(U64)
+    # vantage points are taken from the middle, so that the order must not follow the fingerprints
+    sample = sample[np.argsort(mix64(sample[:, 0]), kind="stable")]
     trees = [Tree(band_values(sample, band), 1, depth) for band in range(BANDS)]
-    return points.mapInArrow(_router(trees), "shard long, ids binary, fps binary, home binary")
+    return points.select("point", *_NAMES).mapInArrow(_router(trees), "shard long, ids binary, fps binary, home binary")
 
 
 def _points(fps: DataFrame) -> DataFrame:
-    return fps.where("f0 is not null and doc_id is not null").groupBy(*_NAMES).agg(F.min("doc_id").alias("doc_id")).select("doc_id", *_NAMES)
+    """(point, doc_id, f0 .. f3): distinct fingerprints, numbered, with the smallest doc_id that has each; kept, so that the numbers stay."""
+    grouped = fps.where("f0 is not null and doc_id is not null").groupBy(*_NAMES).agg(F.min("doc_id").alias("doc_id"))
+    return checkpoint(grouped.select(F.monotonically_increasing_id().alias("point"), "doc_id", *_NAMES))
 
 
 def near_pairs(docs: DataFrame) -> DataFrame:
     """(a, b, distance) of all pairs of distinct fingerprints found within MAX_DISTANCE, each by the smallest doc_id that has it."""
-    points = checkpoint(_points(fingerprint_table(docs)))
-    return _sharded(points).groupBy("shard").applyInArrow(_pairs, "a long, b long, distance int").distinct()
+    points = _points(fingerprint_table(docs))
+    pairs = _sharded(points).groupBy("shard").applyInArrow(_pairs, "a long, b long, distance int").distinct()
+    for side in "ab":
+        pairs = pairs.withColumnRenamed(side, "point").join(points.select("point", F.col("doc_id").alias(side)), "point").drop("point")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,18 +314,31 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def _rooted(fps: DataFrame) -> DataFrame:
+    """(root, group_id, f0 .. f3): the group of each distinct fingerprint, by one of its points and by its smallest doc_id."""
+    points = _points(fps)
+    roots = components(_sharded(points).groupBy("shard").applyInArrow(_stars, "a long, b long"))
+    labelled = points.join(roots, points.point == roots.node, "left").select(F.coalesce("root", "point").alias("root"), "doc_id", *_NAMES)
+    return labelled.join(labelled.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").drop("doc_id")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id) of each row: the smallest doc_id of its group."""
-    fps = checkpoint(fingerprint_table(docs))
-    roots = components(_sharded(_points(fps)).groupBy("shard").applyInArrow(_stars, "a long, b long"))
-    compared = fps.where("f0 is not null and doc_id is not null").select("doc_id", F.min("doc_id").over(Window.partitionBy(*_NAMES)).alias("point"))
-    grouped = compared.join(roots, compared.point == roots.node, "left").select("doc_id", F.coalesce("root", "point").alias("group_id"))
+    """(doc_id, group_id) of each row: the smallest doc_id of its group. (Rows that share a doc_id may share it and yet be of different groups.)"""
+    fps = checkpoint(keyed_fingerprints(docs))
+    grouped = fps.where("f0 is not null and doc_id is not null").join(_rooted(fps), _NAMES).select("doc_id", "group_id")
     return grouped.unionByName(fps.where("f0 is null or doc_id is null").select("doc_id", F.col("doc_id").alias("group_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group, all columns as they are; rows with a null doc_id stay."""
-    kept = near_groups(docs).where("doc_id = group_id").select(F.col("doc_id").alias("__kept")).distinct()
-    first = Window.partitionBy("__kept").orderBy(F.xxhash64(F.col("text").cast("string")))
-    by_id = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept")).withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__kept", "__nth")
-    return by_id.unionByName(docs.where("doc_id is null"))
+    """docs with one row of each group, the one with the smallest doc_id (then row key), all columns as they are; rows with a null doc_id or text stay.
+
+    A row is known by doc_id and the hash of its text, so that of rows that share an id only those go that are near copies of one that stays.
+    """
+    fps = checkpoint(keyed_fingerprints(docs))
+    grouped = fps.where("f0 is not null and doc_id is not null").join(_rooted(fps), _NAMES)
+    kept = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("first")).select(F.col("first.doc_id").alias("__kept"), F.col("first.row_key").alias("__row"))
+    same = (F.col("doc_id").cast("long") == F.col("__kept")) & (row_key() == F.col("__row"))
+    # the join's partitioning serves the window: of repeated rows one stays
+    nth = F.row_number().over(Window.partitionBy("__kept", "__row").orderBy("__kept"))
+    compared = docs.where("doc_id is not null and text is not null")
+    return compared.join(kept, same).withColumn("__nth", nth).where("__nth = 1").drop("__kept", "__row", "__nth").unionByName(docs.where("doc_id is null or text is null"))
