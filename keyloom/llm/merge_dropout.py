@@ -9,7 +9,7 @@ ids are those of the library's encoder.
 As a skip depends on spans alone, the agenda of many pre-tokens can be worked off side by side: numpy holds one row of symbols
 a pre-token, and each round merges the best remaining candidate of every row.  Pre-tokens above WIDTH characters take a heap.
 
-Plan: one Arrow pass, no shuffle; a worker loads the model once.  Only with a rate of 0 are the cuts of a run of pre-tokens made once for each
+Plan: one Arrow pass, no shuffle; the model is read on the driver and goes to the workers with the function; a worker loads it once.  Only with a rate of 0 are the cuts of a run of pre-tokens made once for each
 distinct one.
 
 Defined results: a null text has null ids and tokens and is not lossless (null); an empty text has no ids; a null doc_id counts as 0;
@@ -36,14 +36,20 @@ WIDTH = 32
 AT_ONCE, RUN = 1 << 15, 1 << 18
 MARK = "▁"
 _NONE = np.int64(1) << 40
-_loaded: dict[str, Vocabulary] = {}
+_loaded: dict[object, Vocabulary] = {}
+
+
+def model_file(path: str) -> bytes:
+    """A model's bytes, which the driver reads and sends to the workers with the function."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
 class Vocabulary:
-    def __init__(self, path: str) -> None:
+    def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         usable = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
@@ -82,10 +88,12 @@ class Vocabulary:
         return np.where((self.pair_keys[i] == key) & (left >= 0) & (right >= 0), self.pair_ids[i], -1)
 
 
-def vocabulary(path: str) -> Vocabulary:
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+def vocabulary(model: str | bytes) -> Vocabulary:
+    """Of a model by its path or its bytes; loaded once in a process."""
+    key = model if isinstance(model, str) else xxhash.xxh3_128_digest(model)
+    if key not in _loaded:
+        _loaded[key] = Vocabulary(model_file(model) if isinstance(model, str) else model)
+    return _loaded[key]
 
 
 def seed_key(seed: int) -> int:
@@ -250,9 +258,9 @@ def decode_ids(vocab: Vocabulary, ids: np.ndarray) -> np.ndarray:
     return vocab.blob[np.repeat(vocab.places[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
-def _encoder(path: str, seed: int, rate: float):
+def _encoder(model: bytes, seed: int, rate: float):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(model)
         key = seed_key(seed)
         for whole in batches:
             for batch in text_slices(whole, "text", 2 << 20):
@@ -298,13 +306,13 @@ def _equal(decoded: np.ndarray, id_ends: np.ndarray, id_cuts: np.ndarray, texts:
 def encode(docs: DataFrame, path: str = MODEL, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """(doc_id, ids, n_tokens, lossless) of each row; lossless says whether decoding gave the text back."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _encoder(path, seed, rate), "doc_id long, ids array<int>, n_tokens long, lossless boolean"
+        _encoder(model_file(path), seed, rate), "doc_id long, ids array<int>, n_tokens long, lossless boolean"
     )
 
 
-def _decoder(path: str):
+def _decoder(model: bytes):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(model)
         for batch in batches:
             texts = []
             for ids in batch.column("ids"):
@@ -316,4 +324,4 @@ def _decoder(path: str):
 
 def decode(coded: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, text) of (doc_id, ids)."""
-    return coded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(_decoder(path), "doc_id long, text string")
+    return coded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(_decoder(model_file(path)), "doc_id long, text string")

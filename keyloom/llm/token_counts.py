@@ -24,28 +24,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import U64, text_slices
+from keyloom.llm.merge_dropout import MARK, MODEL, model_file
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MARK = "▁"
 CACHE = 600_000
 TRIE_WORDS = 1 << 15
 WIDTH = 64
 SHIFT, UNIT = 2.7, 1_000_000
 _BASE = 0x9E3779B97F4A7C15
-_loaded: dict[str, Unigrams] = {}
+_loaded: dict[object, Unigrams] = {}
 
 
 class Unigrams:
     """Pieces as bytes with integer scores; for numpy also their hashes by length."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         usable = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.scores = self.zipf([sp.id_to_piece(i).encode() for i in usable])
         self.foreign = min(self.scores.values()) - 10 * UNIT
@@ -70,10 +70,12 @@ def piece_hash(piece: bytes) -> int:
     return h
 
 
-def unigrams(path: str) -> Unigrams:
-    if path not in _loaded:
-        _loaded[path] = Unigrams(path)
-    return _loaded[path]
+def unigrams(model: str | bytes) -> Unigrams:
+    """Of a model by its path or its bytes; loaded once in a process."""
+    key = model if isinstance(model, str) else xxhash.xxh3_128_digest(model)
+    if key not in _loaded:
+        _loaded[key] = Unigrams(model_file(model) if isinstance(model, str) else model)
+    return _loaded[key]
 
 
 def one_count(u: Unigrams, word: bytes) -> int:
@@ -151,9 +153,9 @@ def pre_token_counts(u: Unigrams, words: list[str]) -> list[int]:
     return out.tolist()
 
 
-def _counter(path: str):
+def _counter(model: bytes):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = unigrams(path)
+        u = unigrams(model)
         known: dict[str, int] = {}
         for whole in batches:
             for batch in text_slices(whole, "text"):
@@ -173,4 +175,4 @@ def _counter(path: str):
 
 def count_tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, n_pre_tokens, n_tokens) of each row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counter(path), "doc_id long, n_pre_tokens long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counter(model_file(path)), "doc_id long, n_pre_tokens long, n_tokens long")

@@ -1,5 +1,6 @@
 """Hostile and very long inputs, and prefilters against what they filter for."""
 
+import os
 import random
 import re
 import time
@@ -7,7 +8,7 @@ import time
 import pyarrow as pa
 import pytest
 
-from keyloom.llm import pii
+from keyloom.llm import packing, pii
 
 # 4
 
@@ -56,3 +57,68 @@ def test_time_is_linear(unit):
     began = time.time()
     pii.identifiers("x" + text + "@y.z" * (LONG[unit] - 1))
     assert time.time() - began < 6
+
+
+# 1
+
+PUBLIC = os.path.exists(packing.MODEL)
+
+
+@pytest.mark.skipif(not PUBLIC, reason="no public vocabularies")
+def test_packed_texts(spark):
+    """Pieces put together are the texts, each has the tokens it says and lies within a bin, however a text must be cut."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=packing.MODEL)
+    rng = random.Random(2)
+    texts = ["plain  words and\nmore ", "中文" * 300, "x" * 900, "", None, " ", "unbelievable " * 60, "😀" * 99, "a ▁ b " * 30, " lead", "é" * 150 + " " * 20 + "tail"]
+    texts += ["".join(rng.choice(["ab ", "thing", " ", "中", "😀", "\n", "zq", "▁"]) for _ in range(rng.randint(1, 300))) for _ in range(30)]
+    rows = [(i, t, "c") for i, t in enumerate(texts)] + [(0, texts[0], "c"), (0, "another text", "c"), (None, "no id", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bin_id string")
+    got = packing.pack_texts(docs, capacities=(50, 8, 2000), shard_docs=20).collect()
+    longest = packing.longest_piece((50, 8, 2000))
+    bins, by = {}, {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(r)
+        by.setdefault(r.doc_id, []).append(r)
+    for own in bins.values():
+        assert sum(r.n_tokens for r in own) <= 50 and len(own) <= 8 and sum(r.n_tokens**2 for r in own) <= 2000
+        assert sorted(r.position for r in own) == list(range(len(own)))
+    for i, t in enumerate(texts):
+        if i == 0 or not t:
+            assert i == 0 or i not in by
+            continue
+        own = sorted(by[i], key=lambda r: r.piece)
+        assert "".join(r.text for r in own) == t and all(0 < r.n_tokens <= longest for r in own)
+        assert [r.first_token for r in own] == [sum(x.n_tokens for x in own[:k]) for k in range(len(own))]
+        if "▁" not in t:
+            assert sum(r.n_tokens for r in own) == len(sp.encode(t))
+    assert sorted(r.text for r in by[0]) == ["another text", texts[0], texts[0]] and [r.text for r in by[None]] == ["no id"]
+    assert packing.pack_texts(docs.limit(0)).count() == 0
+    again = packing.pack_texts(docs.repartition(5), capacities=(50, 8, 2000), shard_docs=20).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+def test_ties_in_spark(spark):
+    """Many equal lengths: bins are those of plain best fit over documents in order of length and id."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.choice([3, 3, 3, 7, 7, 20, 45]))) for i in range(200)]
+    cap, w = (60, 5, 2500), (1.0, 0.25, 0.5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.bin_id for r in packing.pack_documents(docs, capacities=cap, weights=w, shard_docs=1000).collect()}
+    items = sorted(((len(t.split()), i) for i, t in rows), key=lambda x: (-x[0], x[1]))
+    rooms, where = [], {}
+    for n, i in items:
+        best = None
+        for k, room in enumerate(rooms):
+            left = [r - d for r, d in zip(room, (n, 1, n * n))]
+            if min(left) >= 0:
+                score = sum(x * (y / c) ** 2 for x, y, c in zip(w, left, cap))
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, k, left)
+        if best is None:
+            rooms.append([c - d for c, d in zip(cap, (n, 1, n * n))])
+            where[i] = len(rooms) - 1
+        else:
+            rooms[best[1]], where[i] = best[2], best[1]
+    assert got == where
