@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the cluster's shared folder and
 read again as the next one's docs.  All but the last return the columns of documents (and any others that docs has).  Empty tables, nulls, repeated rows and
 further columns are treated as the operators' modules say.
+
+run() removes each stage's folder once the next one is written; the last one holds the rows that it returns, so that it stays until
+drop_result(spark, rows) or whoever empties the shared folder.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import kneser_ney, packing, pii, simhash
-from keyloom.session import ensure_checkpoint_dir, table
+from keyloom.session import ensure_checkpoint_dir, remove_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,8 +37,8 @@ def identifiers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(bin_id, position, doc_id, piece, first_token, n_tokens): the training sequences."""
-    return packing.pack_documents(docs)
+    """(bin_id, position, doc_id, piece, first_token, n_tokens, text): the training sequences, with the masked text of each piece."""
+    return packing.pack_texts(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_duplicates", near_duplicates), ("identifiers", identifiers), ("packing", packed)]
@@ -51,4 +54,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            remove_folder(spark, f"{base}/{k - 1}")
     return docs
+
+
+def drop_result(spark: SparkSession, rows: DataFrame) -> None:
+    """Remove what run() wrote for rows that it returned."""
+    for folder in {f.rpartition("/")[0] for f in rows.inputFiles()}:
+        remove_folder(spark, folder.rpartition("/")[0])
