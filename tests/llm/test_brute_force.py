@@ -609,14 +609,62 @@ def test_held_out_accuracy(spark):
 # the pipeline
 
 
+@pytest.mark.skipif(not PUBLIC, reason="no public vocabularies")
 def test_pipeline(spark, data, texts):
-    labels = table(spark, data, "labels")
+    """The stages' decisions, each by other code than its own: trusted n-grams, all pairs of fingerprints, masked texts, token counts."""
+    import sentencepiece
+
     docs = table(spark, data, "documents")
-    judged = {r.doc_id: r.keep for r in kneser_ney.classify(docs, labels).collect()}
-    kept = {i: t for i, t in texts.items() if judged[i]}
-    df = spark.createDataFrame(sorted(kept.items()), "doc_id long, text string")
-    groups = {r.doc_id: r.group_id for r in simhash.near_groups(df).collect()}
-    last = {i: pii.masked(kept[i]) for i in set(groups.values())}
-    got = corpus_pipeline.run(spark, data).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
-    assert {r.doc_id: r.n for r in got} == {i: len(t.split()) for i, t in last.items() if t.split()}
+    rows = {r.doc_id: (r.lang, r.text) for r in docs.collect()}
+    # quality: a plain model and plain quantiles
+    by_label = collections.defaultdict(set)
+    for r in table(spark, data, "labels").collect():
+        by_label[r.doc_id].add(r.quality == 1 and r.toxic == 0)
+    trusted = {i for i, v in by_label.items() if v == {True}}
+    held = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(kneser_ney.HOLD_OUT)) == 0).collect()}
+    models = {lang: slow_model([rows[i][1] for i in trusted - held if i in rows and rows[i][0] == lang]) for lang in {rows[i][0] for i in trusted - held if i in rows}}
+    ppl = {i: slow_perplexity(models[lang], t) for i, (lang, t) in rows.items() if t and lang in models}
+
+    def quantile(ids):
+        values = sorted(ppl[i] for i in ids if i in ppl)
+        return values[math.ceil(kneser_ney.QUANTILE * len(values)) - 1] if values else math.inf
+
+    own = {lang: [i for i in trusted & held if i in ppl and rows[i][0] == lang] for lang in models}
+    whole = quantile([i for x in own.values() for i in x])
+    high = {lang: whole if not x else quantile(x) if len(x) >= kneser_ney.MIN_HELD else max(whole, quantile(x)) for lang, x in own.items()}
+    kept = {i: t for i, (lang, t) in rows.items() if t and ppl.get(i, 0) <= high.get(lang, math.inf) * (1 + 1e-6)}
     assert 0.5 * len(texts) < len(kept) < len(texts)
+    # near duplicates: every pair, up to what the search may miss
+    prints = {i: slow_fingerprint(t) for i, t in kept.items()}
+    ids = sorted(prints)
+    fp = np.array([prints[i] for i in ids], np.uint64)
+    first = {}
+    for k, i in enumerate(ids):
+        near = [first[ids[j]] for j in np.flatnonzero(np.bitwise_count(fp[:k] ^ fp[k]).sum(1) <= simhash.MAX_DISTANCE)]
+        first[i] = min(near, default=i)
+        for other in set(near) - {first[i]}:
+            first = {x: first[i] if f == other else f for x, f in first.items()}
+    want = set(first.values())
+    packed = corpus_pipeline.run(spark, data)
+    got = collections.defaultdict(list)
+    for r in packed.collect():
+        got[r.doc_id].append(r)
+    assert want <= set(got) and len(set(got) - want) <= 0.1 * len(set(kept) - want)
+    # identifiers are gone from the pipeline's own output, and nothing else is
+    sp = sentencepiece.SentencePieceProcessor(model_file=packing.MODEL)
+    planted = {"email": r"[\w.]+@mail\d\.example\.com", "card": r"(?<!\d)\d{16}(?!\d)", "phone": r"\+1 \(\d{3}\) 555-\d{4}", "secret": r"(?<=token = \")[0-9a-f]{40}|AKIA[0-9A-Z]{16}"}
+    met = 0
+    for i, parts in got.items():
+        text = "".join(r.text for r in sorted(parts, key=lambda r: r.piece))
+        met += any(re.search(p, kept[i]) for p in planted.values())
+        assert all(re.search(p, text) is None for p in planted.values())
+        assert pii.identifiers(kept[i]) or text == kept[i]
+        assert re.sub(r"<[A-Z]+>", "", text) in kept[i] or "<" in text
+        assert sum(r.n_tokens for r in parts) == len(sp.encode(text))
+    assert met > 0
+    for b in packed.toPandas().groupby("bin_id"):
+        assert b[1].n_tokens.sum() <= packing.MAX_TOKENS and len(b[1]) <= packing.MAX_DOCS
+    folder = os.path.dirname(os.path.dirname(packed.inputFiles()[0].removeprefix("file://")))
+    assert os.listdir(folder) == [str(len(corpus_pipeline.STAGES) - 1)]
+    corpus_pipeline.drop_result(spark, packed)
+    assert not os.path.exists(folder)
