@@ -6,8 +6,10 @@ falls below the dropout rate; a skipped candidate never comes back, while a new
 its own.  So each occurrence of a word is cut by itself, always the same for the same seed, whatever the partitioning.  With a rate of 0 the
 ids are those of the library's encoder.
 
-As a skip depends on spans alone, the agenda of many pre-tokens can be worked off side by side: numpy holds one row of symbols
-a pre-token, and each round merges the best remaining candidate of every row.  Pre-tokens above WIDTH characters take a heap.
+As a skip depends on spans and the occurrence's key alone, the agenda of a pre-token is a tree of decisions: at each node the best remaining candidate is merged or
+skipped, at each leaf stand the ids.  A pre-token that is met OFTEN in a task gets such a tree, grown where an occurrence first goes, and all occurrences walk their
+trees at once in numpy, a hash for each decision.  The agendas of rarer pre-tokens are worked off side by side: numpy holds one row of symbols
+a pre-token, and each round merges the best remaining candidate of every row.  Pre-tokens above WIDTH characters take a heap, which numpy fills.  All three give the same ids.
 
 Plan: one Arrow pass, no shuffle; the model is read on the driver and goes to the workers with the function; a worker loads it once.  Only with a rate of 0 are the cuts of a run of pre-tokens made once for each
 distinct one.
@@ -20,6 +22,7 @@ decode gives null for null ids; other columns are not read.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, RATE = 20240, 0.1
 WIDTH = 32
 AT_ONCE, RUN = 1 << 15, 1 << 18
+OFTEN, MAX_NODES = 8, 1 << 20
 MARK = "▁"
 _NONE = np.int64(1) << 40
 _loaded: dict[object, Vocabulary] = {}
@@ -71,6 +75,7 @@ class Vocabulary:
         self.n = n
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
         self.pair_ids = np.array([i for _, i in pairs], np.int32)
+        self.pairs = dict(pairs)
         raw = [b""] * n
         for p, i in self.ids.items():
             raw[i] = p.replace(MARK, " ").encode()
@@ -100,32 +105,58 @@ def seed_key(seed: int) -> int:
     return xxhash.xxh64_intdigest(str(seed))
 
 
+def span_hash(begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of the candidate that joins [begin, middle) and [middle, end) of a pre-token."""
+    return mix64(((begin.astype(U64) << U64(32)) | end.astype(U64)) + middle.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def limit_of(rate: float) -> int:
+    return min(int(rate * 2.0**64), 2**64 - 1)
+
+
 def skipped(unit_keys: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
-    """Whether the candidate that joins [begin, middle) and [middle, end) of a pre-token is skipped."""
+    """Whether a candidate is skipped."""
     if rate <= 0:
         return np.zeros(len(unit_keys), bool)
-    spans = (begin.astype(U64) << U64(42)) | (middle.astype(U64) << U64(21)) | end.astype(U64)
-    return mix64(unit_keys ^ mix64(spans)) < U64(min(int(rate * 2.0**64), 2**64 - 1))
+    return mix64(unit_keys ^ span_hash(begin, middle, end)) < U64(limit_of(rate))
+
+
+_M64 = (1 << 64) - 1
+
+
+def _mix(x: int) -> int:
+    """mix64 of one integer."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _M64
+    return x ^ (x >> 31)
+
+
+def _span_hash(begin: int, middle: int, end: int) -> int:
+    return _mix(((begin << 32 | end) + middle * 0x9E3779B97F4A7C15) & _M64)
 
 
 def agenda(vocab: Vocabulary, unit: str, key: int, rate: float) -> list[int]:
     """One pre-token's symbols after its agenda is worked off, by a heap; symbols outside the vocabulary are -1 - code point."""
     n = len(unit)
-    symbols = first_symbols(vocab, np.array([ord(c) for c in unit], np.int64)).tolist()
+    first = first_symbols(vocab, np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
+    symbols = first.tolist()
     following, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
-    heap: list[tuple] = []
+    limit, pairs, many, priority = limit_of(rate), vocab.pairs, vocab.n, vocab.priority.tolist() if n > 4096 else vocab.priority
+    a = np.arange(n - 1)
+    made = vocab.merged(first[:-1], first[1:])
+    a = a[(made >= 0) & ~skipped(np.full(n - 1, key, U64), a, a + 1, a + 2, rate)]
+    heap: list[tuple] = list(zip(vocab.priority[made[a]].tolist(), a.tolist(), (a + 1).tolist(), (a + 2).tolist(), made[a].tolist()))
+    heapq.heapify(heap)
 
     def push(a: int) -> None:
         b = following[a] if a >= 0 else n
-        if a < 0 or b >= n:
+        if a < 0 or b >= n or symbols[a] < 0 or symbols[b] < 0:
             return
-        piece = int(vocab.merged(np.array([symbols[a]]), np.array([symbols[b]]))[0])
-        if piece >= 0 and not skipped(np.array([key], U64), np.array([a]), np.array([b]), np.array([end[b]]), rate)[0]:
-            heapq.heappush(heap, (int(vocab.priority[piece]), a, b, end[b], piece))
+        piece = pairs.get(symbols[a] * many + symbols[b], -1)
+        if piece >= 0 and (rate <= 0 or _mix(key ^ _span_hash(a, b, end[b])) >= limit):
+            heapq.heappush(heap, (int(priority[piece]), a, b, end[b], piece))
 
-    for a in range(n - 1):
-        push(a)
     while heap:
         _, a, b, to, piece = heapq.heappop(heap)
         if not (alive[a] and alive[b] and following[a] == b and end[b] == to and end[a] == b):
@@ -139,6 +170,103 @@ def agenda(vocab: Vocabulary, unit: str, key: int, rate: float) -> list[int]:
     return [s for s, ok in zip(symbols, alive) if ok]
 
 
+class Trees:
+    """The trees of decisions of pre-tokens at one rate above 0. Nodes are numbered; a leaf's children are itself."""
+
+    def __init__(self, vocab: Vocabulary, rate: float) -> None:
+        self.vocab, self.limit = vocab, U64(limit_of(rate))
+        self.priority = vocab.priority.tolist()
+        self.clear()
+
+    def clear(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.n = 0
+        self.spans = np.zeros(1 << 12, U64)
+        self.child = np.full((1 << 12, 2), -1, np.int32)  # merged, skipped
+        self.place, self.size = np.zeros(1 << 12, np.int64), np.full(1 << 12, -1, np.int32)  # of a leaf's ids; -1 inside
+        self.states: list = []
+        self.hashes: dict[tuple, int] = {}
+        self.ids: list[np.ndarray] = []
+        self.n_ids = 0
+        self.pool = np.zeros(0, np.int32)
+
+    def _node(self, symbols: tuple, ends: tuple, left: list) -> int:
+        """A new node: symbols, where each ends, and the candidates that are left: (priority, begin, middle, end, piece), the best first."""
+        if self.n == len(self.spans):
+            self.spans = np.concatenate((self.spans, np.zeros_like(self.spans)))
+            self.child = np.concatenate((self.child, np.full_like(self.child, -1)))
+            self.place = np.concatenate((self.place, np.zeros_like(self.place)))
+            self.size = np.concatenate((self.size, np.full_like(self.size, -1)))
+        me, self.n = self.n, self.n + 1
+        if left:
+            span = left[0][1:4]
+            if span not in self.hashes:
+                self.hashes[span] = _span_hash(*span)
+            self.spans[me] = self.hashes[span]
+            self.states.append((symbols, ends, left))
+        else:
+            ids = np.frombuffer(_to_ids(self.vocab, symbols), np.int32)
+            self.place[me], self.size[me] = self.n_ids, len(ids)
+            self.ids.append(ids)
+            self.n_ids += len(ids)
+            self.child[me] = me
+            self.states.append(None)
+        return me
+
+    def root(self, unit: str) -> int:
+        if unit not in self.roots:
+            n, pairs, many = len(unit), self.vocab.pairs, self.vocab.n
+            symbols = tuple(first_symbols(self.vocab, np.array([ord(c) for c in unit], np.int64)).tolist())
+            made = [(i, pairs.get(symbols[i] * many + symbols[i + 1])) for i in range(n - 1) if symbols[i] >= 0 and symbols[i + 1] >= 0]
+            left = sorted((self.priority[piece], i, i + 1, i + 2, piece) for i, piece in made if piece is not None)
+            self.roots[unit] = self._node(symbols, tuple(range(1, n + 1)), left)
+        return self.roots[unit]
+
+    def _grow(self, at: int, skip: int) -> None:
+        symbols, ends, left = self.states[at]
+        if skip:
+            made = self._node(symbols, ends, left[1:])
+        else:
+            _, begin, middle, end, piece = left[0]
+            i = ends.index(middle)
+            # candidates of the two symbols that are no more
+            rest = [c for c in left if c[3] <= begin or c[1] >= end]
+            symbols, ends = (*symbols[:i], piece, *symbols[i + 2 :]), (*ends[:i], *ends[i + 1 :])
+            for k in (i - 1, i):
+                if 0 <= k < len(symbols) - 1 and symbols[k] >= 0 and symbols[k + 1] >= 0:
+                    new = self.vocab.pairs.get(symbols[k] * self.vocab.n + symbols[k + 1])
+                    if new is not None:
+                        rest.append((self.priority[new], ends[k - 1] if k else 0, ends[k], ends[k + 1], new))
+            rest.sort()
+            made = self._node(symbols, ends, rest)
+        self.child[at, skip] = made
+        if self.child[at, 1 - skip] >= 0:
+            self.states[at] = None
+
+    def leaves(self, nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The leaf that each occurrence, with a key, comes to from its root."""
+        nodes = nodes.copy()
+        going = np.flatnonzero(self.size[nodes] < 0)
+        while len(going):
+            at = nodes[going]
+            skip = (mix64(keys[going] ^ self.spans[at]) < self.limit).astype(np.int64)
+            to = self.child[at, skip]
+            new = to < 0
+            if new.any():
+                for code in np.unique(2 * at[new] + skip[new]).tolist():
+                    self._grow(code >> 1, code & 1)
+                to = self.child[at, skip]
+            nodes[going] = to
+            going = going[self.size[to] < 0]
+        return nodes
+
+    def all_ids(self) -> np.ndarray:
+        if self.ids:
+            self.pool = np.concatenate((self.pool, *self.ids))
+            self.ids = []
+        return self.pool
+
+
 def first_symbols(vocab: Vocabulary, points: np.ndarray) -> np.ndarray:
     found = vocab.character[points]
     return np.where(found >= 0, found, -1 - points)
@@ -195,23 +323,19 @@ def _side_by_side(vocab: Vocabulary, points: np.ndarray, sizes: np.ndarray, keys
     return sym[alive], alive.sum(1)
 
 
-def _to_ids(vocab: Vocabulary, symbols: list[int]) -> bytes:
+def _to_ids(vocab: Vocabulary, symbols: list[int] | tuple) -> bytes:
     out: list[int] = []
     for s in symbols:
         out += [s] if s >= 0 else vocab.bytes[list(chr(-1 - s).encode())].tolist()
     return np.array(out, np.int32).tobytes()
 
 
-def encode_units(vocab: Vocabulary, units: list[str], key: int, rate: float, places: np.ndarray | None = None) -> list[bytes]:
-    """The ids of each pre-token (blanks, then other characters), as bytes of int32; places: a key of each one's own."""
-    if places is not None and rate <= 0:
-        distinct = list(set(units))
-        return list(map(dict(zip(distinct, encode_units(vocab, distinct, key, rate))).__getitem__, units))
+def encode_units(vocab: Vocabulary, units: list[str], key: int, rate: float, unit_keys: np.ndarray | None = None) -> list[bytes]:
+    """The ids of each pre-token (blanks, then other characters), as bytes of int32; unit_keys: those of its occurrence, by default of the pre-token."""
     out: list[bytes] = [b""] * len(units)
     lengths = np.array([len(u) for u in units], np.int64)
-    unit_keys = np.array([xxhash.xxh64_intdigest(u.encode(), key) for u in units], U64)
-    if places is not None:
-        unit_keys = mix64(unit_keys ^ places)
+    if unit_keys is None:
+        unit_keys = np.array([xxhash.xxh64_intdigest(u.encode(), key) for u in units], U64)
     for i in np.flatnonzero(lengths > WIDTH):
         out[i] = _to_ids(vocab, agenda(vocab, units[i], int(unit_keys[i]), rate))
     edges = (0, 6, 10, 16, WIDTH)
@@ -231,6 +355,56 @@ def encode_units(vocab: Vocabulary, units: list[str], key: int, rate: float, pla
     return out
 
 
+class Encoder:
+    """Cuts runs of pre-tokens; keeps the trees of those met often and, at rate 0, nothing."""
+
+    def __init__(self, vocab: Vocabulary, key: int, rate: float) -> None:
+        self.vocab, self.key, self.rate = vocab, key, rate
+        self.trees = Trees(vocab, rate) if rate > 0 else None
+        self.met: Counter = Counter()
+
+    def encode(self, words: list[str], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pre-tokens (without their first blanks) one after the other, and how many each has; places: a key of each one's own."""
+        index: dict[str, int] = {}
+        code = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+        units = [" " + w for w in index]
+        if self.trees is None:
+            # occurrences don't differ
+            coded = encode_units(self.vocab, units, self.key, 0.0)
+            size = np.array([len(c) // 4 for c in coded], np.int64)
+            return gathered(np.frombuffer(b"".join(coded), np.int32), (np.cumsum(size) - size)[code], size[code])
+        keys = mix64(np.array([xxhash.xxh64_intdigest(u.encode(), self.key) for u in units], U64)[code] ^ places)
+        if len(self.met) > MAX_NODES:
+            self.met.clear()
+        if self.trees.n > MAX_NODES:
+            self.trees.clear()
+        roots, times = np.full(len(units), -1, np.int64), np.bincount(code, minlength=len(units)).tolist()
+        for i, unit in enumerate(units):
+            if unit in self.trees.roots:
+                roots[i] = self.trees.roots[unit]
+            elif len(unit) <= WIDTH // 2:
+                self.met[unit] += times[i]
+                if self.met[unit] >= OFTEN:
+                    roots[i] = self.trees.root(unit)
+                    del self.met[unit]
+        root = roots[code]
+        place, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        grown = np.flatnonzero(root >= 0)
+        leaf = self.trees.leaves(root[grown], keys[grown])
+        place[grown], size[grown] = self.trees.place[leaf], self.trees.size[leaf]
+        rare = np.flatnonzero(root < 0)
+        coded = encode_units(self.vocab, [units[c] for c in code[rare].tolist()], self.key, self.rate, keys[rare])
+        size[rare] = [len(c) // 4 for c in coded]
+        pool = self.trees.all_ids()
+        place[rare] = len(pool) + np.cumsum(size[rare]) - size[rare]
+        return gathered(np.concatenate((pool, np.frombuffer(b"".join(coded), np.int32))), place, size)
+
+
+def gathered(pool: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of size values of a pool that begin at place, one after the other, and size."""
+    return pool[np.repeat(place - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+
 def pre_tokens(text: str) -> list[str]:
     """Words with the blanks before them, less one blank each: every pre-token starts with one, also the first, before which the encoder puts one.
 
@@ -262,6 +436,7 @@ def _encoder(model: bytes, seed: int, rate: float):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         key = seed_key(seed)
+        encoder = Encoder(vocab, key, rate)
         for whole in batches:
             for batch in text_slices(whole, "text", 2 << 20):
                 split = [pre_tokens(t) if t else [] for t in batch.column("text").to_pylist()]
@@ -270,12 +445,12 @@ def _encoder(model: bytes, seed: int, rate: float):
                 doc_keys = mix64(batch.column("doc_id").fill_null(0).to_numpy().view(U64) ^ U64(key))
                 doc = np.repeat(np.arange(len(split)), np.diff(cuts))
                 places = doc_keys[doc] ^ mix64((np.arange(len(words)) - cuts[doc]).astype(U64) + U64(1))
-                parts, ends = [], [np.zeros(1, np.int64)]
+                parts, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
                 for s in range(0, len(words), RUN):
-                    coded = encode_units(vocab, [" " + w for w in words[s : s + RUN]], key, rate, places[s : s + RUN])
-                    parts.append(b"".join(coded))
-                    ends.append(ends[-1][-1] + np.cumsum([len(c) // 4 for c in coded]))
-                ids = np.frombuffer(b"".join(parts), np.int32)
+                    part, size = encoder.encode(words[s : s + RUN], places[s : s + RUN])
+                    parts.append(part)
+                    ends.append(ends[-1][-1] + np.cumsum(size))
+                ids = np.concatenate(parts)
                 n = np.diff(np.concatenate(ends)[cuts])
                 null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
                 lossless = _equal(decode_ids(vocab, ids), np.cumsum(np.concatenate(([0], vocab.sizes[ids]))), np.concatenate(([0], np.cumsum(n))), batch.column("text"))
