@@ -5,10 +5,11 @@ import random
 import re
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from keyloom.llm import packing, pii
+from keyloom.llm import common, merge_dropout, packing, pii, site_templates
 
 # 4
 
@@ -122,3 +123,131 @@ def test_ties_in_spark(spark):
         else:
             rooms[best[1]], where[i] = best[2], best[1]
     assert got == where
+
+
+# 10
+
+
+def plain_agenda(v, unit, key, rate):
+    """Candidates in the order of priority and place, rebuilt from nothing before each step."""
+    symbols = [(v.character[ord(c)] if v.character[ord(c)] >= 0 else -1 - ord(c), i, i + 1) for i, c in enumerate(unit)]
+    gone = set()
+    while True:
+        best = None
+        for (s, a, m), (t, _, e) in zip(symbols, symbols[1:]):
+            piece = v.pairs.get(int(s) * v.n + int(t)) if s >= 0 and t >= 0 else None
+            if piece is not None and (a, m, e) not in gone and (best is None or (v.priority[piece], a) < best[0]):
+                best = (v.priority[piece], a), a, m, e, piece
+        if best is None:
+            return merge_dropout._to_ids(v, [int(s) for s, _, _ in symbols])
+        _, a, m, e, piece = best
+        if merge_dropout.skipped(np.array([key], np.uint64), np.array([a]), np.array([m]), np.array([e]), rate)[0]:
+            gone.add((a, m, e))
+        else:
+            k = next(k for k, x in enumerate(symbols) if x[1] == a)
+            symbols[k : k + 2] = [(piece, a, e)]
+
+
+@pytest.mark.skipif(not PUBLIC, reason="no public vocabularies")
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.6, 1.0])
+def test_trees_rows_and_heap_are_one_agenda(monkeypatch, rate):
+    """Words met often (trees), rarely (side by side) and long ones (heap): each occurrence as a plain agenda gives it."""
+    v, rng = merge_dropout.vocabulary(merge_dropout.MODEL), random.Random(1)
+    words = ["the", "and", "of", "unbelievable", "internationalisation", "", "a▁b", "中文字", "naïve", "x" * 15, "thing", "  lead"]
+    words += ["".join(rng.choice("abcdethonriesé你😀ß▁\n") for _ in range(rng.randint(1, 45))) for _ in range(60)]
+    run = [rng.choice(words[: rng.choice([4, 12, len(words)])]) for _ in range(4000)]
+    places = np.array([rng.getrandbits(64) for _ in run], np.uint64)
+    for nodes in (1 << 20, 50):
+        monkeypatch.setattr(merge_dropout, "MAX_NODES", nodes)
+        encoder = merge_dropout.Encoder(v, 77, rate)
+        ids, sizes = [], []
+        for s in range(0, len(run), 700):
+            part, size = encoder.encode(run[s : s + 700], places[s : s + 700])
+            ids.append(part)
+            sizes.append(size)
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        ends = np.cumsum(sizes)
+        if nodes > 50:
+            assert encoder.trees.n > 50 and encoder.trees.roots
+        for k, w in enumerate(run):
+            key = int(common.mix64(np.array([merge_dropout.xxhash.xxh64_intdigest((" " + w).encode(), 77)], np.uint64) ^ places[k : k + 1])[0])
+            assert ids[ends[k] - sizes[k] : ends[k]].astype(np.int32).tobytes() == plain_agenda(v, " " + w, key, rate), w
+
+
+@pytest.mark.skipif(not PUBLIC, reason="no public vocabularies")
+def test_long_text_without_blanks():
+    v = merge_dropout.vocabulary(merge_dropout.MODEL)
+    unit = " " + "中文字的数据处理" * 12_000
+    began = time.time()
+    got = merge_dropout.agenda(v, unit, 5, 0.1)
+    assert time.time() - began < 15
+    assert merge_dropout.decode_ids(v, np.frombuffer(merge_dropout._to_ids(v, got), np.int32)).tobytes().decode() == unit
+
+
+# 3
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<", "<a '", '<a "', "<!", "<?", "<!-- ", "</a", "<a<", "<head>", "<script>", "<div>", "<div></span>", "<head ", "<p '\">", "<textarea", "&lt;", "</", "<a b='"])
+def test_markup_takes_linear_time(unit):
+    html = unit * (300_000 // len(unit))
+    began = time.time()
+    site_templates.parse(html)
+    site_templates.text_of("<p>before</p>" + html)
+    assert time.time() - began < 5
+
+
+def test_broken_markup():
+    assert site_templates.text_of("<p>one</p><p>two <a href='x>three</p><p>four</p>") == "one\ntwo three\nfour"
+    assert site_templates.text_of("<p>1 < 2 and 3 > 2</p><b>x") == "1 < 2 and 3 > 2\nx"
+    assert site_templates.text_of('<p title="a > b">quoted</p><!-- <p>no</p>') == "quoted"
+    assert site_templates.text_of("<head><title>t</title></head><p>body</p><head>late") == "body\nlate"
+
+
+def page_tree(rng, nav, side, words):
+    body = [("nav", [("ul", [("li", [w]) for w in nav])])]
+    if side:
+        body.append(("aside", [("p", [side])]))
+    body.append(("article", [("p", [" ".join(rng.choice(words) for _ in range(rng.randint(3, 9)))]) for _ in range(rng.randint(1, 4))]))
+    body.append(("footer", [("p", ["imprint"]), ("p", [f"page {rng.randint(0, 2)}"])]))
+    return ("body", body)
+
+
+def markup(node):
+    return node if isinstance(node, str) else f"<{node[0]} class=c{len(node[1])}>" + "".join(map(markup, node[1])) + f"</{node[0]}>"
+
+
+def test_templates_by_brute_force(spark):
+    """Pages made from trees: subtrees (as nested tuples) in enough different articles go, the outermost first; the others' text is left, line by line."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)] + ["short", "words"]
+    sites = {f"h{k}.org": ([f"menu{k}{i}" for i in range(3)], [f"box{k}{i}" for i in range(3)]) for k in range(4)}
+    rows = []
+    for host, (nav, boxes) in sites.items():
+        for _ in range({"h0.org": 4, "h1.org": 9, "h2.org": 60, "h3.org": 400}[host]):
+            rows.append((len(rows), host, page_tree(rng, nav, rng.choice([*boxes, *boxes, None, "once " + rng.choice(words)]), words)))
+    rows += [(len(rows) + i, "h1.org", rows[5][2]) for i in range(7)]  # copies of one page are one content
+
+    def subtrees(node):
+        if not isinstance(node, str):
+            yield repr(node)
+            for child in node[1]:
+                yield from subtrees(child)
+
+    seen, contents = {}, {}
+    for _, host, tree in rows:
+        content = repr([x for x in tree[1] if x[0] == "article"])
+        contents.setdefault(host, set()).add(content)
+        for sub in subtrees(tree):
+            seen.setdefault((host, sub), set()).add(content)
+
+    def lines(host, node):
+        if isinstance(node, str):
+            return [node]
+        if len(seen[host, repr(node)]) >= max(5, 0.25 * len(contents[host]) ** 0.5):
+            return []
+        return [x for child in node[1] for x in lines(host, child)]
+
+    pages = spark.createDataFrame([(i, f"https://{host}/p", markup(tree)) for i, host, tree in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_templates.main_text(pages.repartition(6)).collect()}
+    assert got == {i: "\n".join(lines(host, tree)) for i, host, tree in rows}
+    assert any("box3" in t for t in got.values()) is False and any("menu0" in t for t in got.values())
