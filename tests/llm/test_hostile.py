@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from keyloom.llm import common, merge_dropout, packing, pii, site_templates
+from keyloom.llm import common, digest, merge_dropout, packing, pii, site_templates
 
 # 4
 
@@ -251,3 +251,20 @@ def test_templates_by_brute_force(spark):
     got = {r.page_id: r.text for r in site_templates.main_text(pages.repartition(6)).collect()}
     assert got == {i: "\n".join(lines(host, tree)) for i, host, tree in rows}
     assert any("box3" in t for t in got.values()) is False and any("menu0" in t for t in got.values())
+
+
+# 8
+
+
+def test_colliding_digests_are_told_apart(spark):
+    """Equal digests with different bodies, as a broken hash would give, never join two documents."""
+    rows = [(1, b"d", b"x"), (2, b"d", b"y"), (3, b"d", b"x"), (4, b"e", b"x"), (5, b"f", b"z"), (6, b"f", b"z"), (7, None, None), (None, b"d", b"y"), (None, b"g", b"q")]
+    full = spark.createDataFrame([(i, d and bytearray(d), x and bytearray(x)) for i, d, x in rows], "doc_id long, digest binary, body binary")
+    got = sorted(((r.doc_id, r.canonical_id, r.n_copies) for r in digest.groups(full.drop("body"), full).collect()), key=repr)
+    assert got == sorted([(1, 1, 2), (3, 1, 2), (2, 2, 2), (None, 2, 2), (4, 4, 1), (5, 5, 2), (6, 5, 2), (7, 7, 1), (None, None, 1)], key=repr)
+
+
+def test_hot_text(spark):
+    rows = [(i, "The  SAME text" if i % 3 else "the same text") for i in range(3000)] + [(-5, "other")]
+    got = digest.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(9))
+    assert sorted(map(tuple, got.select("canonical_id", "n_copies").distinct().collect())) == [(-5, 1), (0, 3000)]
