@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,3 +132,19 @@ def packed_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def blocks_for(size: int, block: int, cores: int) -> int:
     """As many blocks as size bytes need, and for a small table as many as there are cores to work on them."""
     return max(1, -(-size // block), min(cores, -(-size // (1 << 20))))
+
+
+class Disjoint:
+    """Disjoint spans in order of place; whether another one overlaps any of them takes a binary search."""
+
+    def __init__(self) -> None:
+        self.begins: list[int] = []
+        self.rows: list[tuple] = []
+
+    def add(self, row: tuple) -> None:
+        """Add (begin, end, ...) if it overlaps nothing."""
+        k = bisect.bisect_left(self.begins, row[1])
+        if k and self.rows[k - 1][1] > row[0]:
+            return
+        self.begins.insert(k, row[0])
+        self.rows.insert(k, row)

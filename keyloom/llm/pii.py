@@ -15,7 +15,6 @@ code points; find_identifiers reads only doc_id and text, and mask_identifiers p
 
 from __future__ import annotations
 
-import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import text_slices
+from keyloom.llm.common import Disjoint, text_slices
 
 _LOOKALIKES = dict(
     zip(
@@ -240,26 +239,10 @@ KINDS = {
 }
 
 
-class Taken:
-    """Disjoint spans; whether another one overlaps any of them takes a binary search."""
-
-    def __init__(self) -> None:
-        self.begins: list[int] = []
-        self.rows: list[tuple[int, int, str, str]] = []
-
-    def add(self, row: tuple[int, int, str, str]) -> None:
-        """Add (begin, end, ...) if it overlaps nothing."""
-        k = bisect.bisect_left(self.begins, row[1])
-        if k and self.rows[k - 1][1] > row[0]:
-            return
-        self.begins.insert(k, row[0])
-        self.rows.insert(k, row)
-
-
 def identifiers(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, begin, end, normalised value) of a text's identifiers by place; begin and end count source characters."""
     m = undisguise(fold_characters(Mapped(text)))
-    taken = Taken()
+    taken = Disjoint()
     for kind, (pattern, test) in KINDS.items():
         for x in pattern.finditer(m.text):
             group = "v" if "v" in pattern.groupindex and x.group("v") is not None else 0

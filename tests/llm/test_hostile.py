@@ -1,5 +1,6 @@
 """Hostile and very long inputs, and prefilters against what they filter for."""
 
+import collections
 import os
 import random
 import re
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from keyloom.llm import common, digest, merge_dropout, packing, pii, site_templates
+from keyloom.llm import common, digest, license_scan, merge_dropout, packing, pii, site_templates
 
 # 4
 
@@ -268,3 +269,98 @@ def test_hot_text(spark):
     rows = [(i, "The  SAME text" if i % 3 else "the same text") for i in range(3000)] + [(-5, "other")]
     got = digest.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(9))
     assert sorted(map(tuple, got.select("canonical_id", "n_copies").distinct().collect())) == [(-5, 1), (0, 3000)]
+
+
+# 2
+
+TEMPLATES = (
+    ("short", "use it as you like"),
+    ("odd", "zebras may graze on these fields of text until further notice from the keeper"),
+    ("long", " ".join(f"clause{i} says word{i % 7} and more{i % 11}" for i in range(300))),
+    ("twin", "zebras may graze on these fields of text until further notice from the owner of it"),
+    ("none", "..."),
+)
+
+
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+        row = new
+    return row[-1]
+
+
+def spoiled(rng, words, changes):
+    words = list(words)
+    for _ in range(changes):
+        k = rng.randrange(len(words))
+        kind = rng.choice("drop add swap".split())
+        words[k : k + 1] = {"drop": [], "add": [words[k], "uncommon"], "swap": ["instead"]}[kind]
+    return words
+
+
+def test_any_template_is_found():
+    """Templates without a usual word, of any length: planted notices within the limit are found where they stand, by whatever kind of change; others are not; nothing twice."""
+    tools, rng = license_scan.Compressors(TEMPLATES), random.Random(4)
+    plain = [t.split() for _, t in TEMPLATES[:4]]
+    import zstandard
+
+    met = collections.Counter()
+    for trial in range(60):
+        words, planted = [], []
+        for _ in range(rng.randint(1, 5)):
+            words += [rng.choice("the prose of a story keeper text may these on it".split()) for _ in range(rng.randint(0, 40))]
+            i = rng.choice([0, 1, 1, 3, 2]) if trial % 6 == 0 else rng.choice([0, 1, 1, 3])
+            limit = int(0.15 * len(plain[i]))
+            changes = rng.choice([0, limit // 2, limit + 3])
+            said = spoiled(rng, plain[i], changes)
+            planted.append((i, len(words), said))
+            words += said
+        words += ["story"] * 3
+        text = rng.choice([" ", "\n", "\n# ", "  *\n\n * "]).join(words)
+        rows = license_scan.licences(text, tools)
+        assert all(a[1] <= b[0] for a, b in zip(rows, rows[1:]))
+        for begin, end, name, alone, given, missing, extra, exact in rows:
+            span = [w for w, _, _ in license_scan._words(text[begin:end])]
+            template = next(p for p, (n, _) in zip(plain, TEMPLATES) if n == name)
+            same = common_words(template, span)
+            assert missing + extra <= 0.15 * len(template) and len(template) - same <= missing and given < alone
+            assert exact == (span == template)
+        places = [a for _, a, _ in license_scan._words(text)]
+        for i, at, said in planted:
+            same = common_words(plain[i], said)
+            begin, end = places[at], places[at + len(said) - 1]
+            hit = [r for r in rows if r[0] <= end and begin < r[1]]
+            if len(plain[i]) + len(said) - 2 * same <= int(0.15 * len(plain[i])):
+                met["within"] += 1
+                assert len(hit) >= 1 and (hit[0][2] == TEMPLATES[i][0] or {hit[0][2], TEMPLATES[i][0]} == {"odd", "twin"}), (TEMPLATES[i][0], said)
+            elif not hit:
+                met["beyond"] += 1
+    assert met["within"] > 60 and met["beyond"] > 5
+    # ranks are those of plain calls
+    block = "zebras may graze on these fields of text until further notice from the warden"
+    plainly = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(19, write_content_size=0, write_checksum=0, write_dict_id=0))
+    alone, ranked = tools.ranked(block)
+    assert alone == len(plainly.compress(block.encode())) and ranked == sorted(ranked) and {TEMPLATES[i][0] for _, i in ranked[:2]} == {"odd", "twin"}
+
+
+def test_scan_with_own_templates_by_brute_force(spark):
+    """The prefilter passes all that the scan of every text finds."""
+    rng = random.Random(3)
+    tools = license_scan.Compressors(TEMPLATES)
+    texts = [" ".join(spoiled(rng, TEMPLATES[rng.randrange(4)][1].upper().split(), rng.randint(0, 2))) if k % 3 else "plain text on fields may it" for k in range(60)] + [None, "", "use it as you liKe", "use it as you like"] * 2
+    docs = spark.createDataFrame([(None if i == 5 else i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, licence int")
+    want = sorted(((None if i == 5 else i, *row) for i, t in enumerate(texts) for row in license_scan.licences(t or "", tools)), key=repr)
+    got = sorted((tuple(r) for r in license_scan.scan_licences(docs, TEMPLATES).collect()), key=repr)
+    assert got == want and len({r[0] for r in got}) > 30
+
+
+def test_many_notices_take_linear_time():
+    tools = license_scan.Compressors(license_scan.TEMPLATES)
+    began = time.time()
+    assert len(license_scan.licences("Licensed under CC BY 4.0.\n" * 5000, tools)) == 5000
+    assert len(license_scan.licences((license_scan._MIT + "\n\n") * 50, tools)) == 50
+    assert license_scan.licences("the software license permission notice " * 8000, tools) == []
+    assert time.time() - began < 30
