@@ -6,12 +6,12 @@ blocks of a slice, whatever rows they come from, are decoded side by side, one c
 resampled to 16 kHz by a half-band windowed sinc in integers, the same on any machine: even samples are the source's, odd ones
 lie between.
 
-Plan: one Arrow pass, no shuffle; payloads are taken in slices of bounded size, since PCM is up to eight times as large.
+Plan: one Arrow pass, no shuffle; payloads are taken in slices of bounded size, since PCM is up to eight times as large.  A payload above SLICE is decoded by itself.
 
 The tables hold no audio: as stand-in, media_column takes the bytes of each document as the payload of one of the three codecs.
 
 Defined results: a null payload or an unknown or null codec gives null PCM and null n_samples; an empty payload has 0 samples; of an ADPCM payload's last block
-a rest of fewer than 4 bytes is dropped; step indexes above 88 count as 88; repeated rows are decoded each; columns other than those named are not read.
+a rest of fewer than 4 bytes is dropped; a payload whose PCM would exceed LARGEST bytes, which no binary value can hold (268 MB of ADPCM, 537 MB of G.711), has its n_samples and null PCM; step indexes above 88 count as 88; repeated rows are decoded each; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import text_slices, utf8
 
 RATE = 8000
+LARGEST = (1 << 31) - 1
 BLOCK = 256
 SLICE = 1 << 20
 CODECS = ("mulaw", "alaw", "adpcm")
@@ -145,9 +146,11 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, off = utf8(batch.column("payload"))
             codec = np.array(batch.column("codec").to_pylist(), object)
             known = batch.column("payload").is_valid().to_numpy(zero_copy_only=False) & np.isin(codec, CODECS)
+            n_samples = 2 * np.where(codec == "adpcm", adpcm_samples(np.diff(off)), np.diff(off))
+            fits = known & (2 * n_samples <= LARGEST)
             parts = []
             for name in CODECS:
-                at = np.flatnonzero(known & (codec == name))
+                at = np.flatnonzero(fits & (codec == name))
                 if not len(at):
                     continue
                 n = np.diff(off)[at]
@@ -159,9 +162,9 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     samples = (MULAW if name == "mulaw" else ALAW)[own]
                 parts.append((at, resample(samples, cuts), 2 * cuts))
             pcm, ends = _spread(parts, batch.num_rows)
-            mask = pa.py_buffer(np.packbits(known, bitorder="little").tobytes())
+            mask = pa.py_buffer(np.packbits(fits, bitorder="little").tobytes())
             column = pa.Array.from_buffers(pa.binary(), batch.num_rows, [mask, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(pcm)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("codec"), pa.array(np.full(batch.num_rows, 2 * RATE, np.int32)), pa.array(np.diff(ends), mask=~known), column], ["doc_id", "codec", "sample_rate", "n_samples", "pcm"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("codec"), pa.array(np.full(batch.num_rows, 2 * RATE, np.int32)), pa.array(n_samples, mask=~known), column], ["doc_id", "codec", "sample_rate", "n_samples", "pcm"])
 
 
 def decode_calls(media: DataFrame) -> DataFrame:
