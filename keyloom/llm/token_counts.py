@@ -34,13 +34,14 @@ from keyloom.llm.merge_dropout import MARK, MODEL, model_file
 CACHE = 600_000
 TRIE_WORDS = 1 << 15
 WIDTH = 64
+EXACT = 8
 SHIFT, UNIT = 2.7, 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _loaded: dict[object, Unigrams] = {}
 
 
 class Unigrams:
-    """Pieces as bytes with integer scores; for numpy also their hashes by length."""
+    """Pieces as bytes with integer scores; for numpy also sorted by length: up to EXACT bytes as integers, longer ones by hashes, with their bytes to compare."""
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
@@ -52,10 +53,13 @@ class Unigrams:
         self.longest = max(map(len, self.scores))
         self.by_length = {}
         for n in range(1, self.longest + 1):
-            own = [(piece_hash(p), s) for p, s in self.scores.items() if len(p) == n]
+            own = sorted((int.from_bytes(p, "big") if n <= EXACT else piece_hash(p), s, p) for p, s in self.scores.items() if len(p) == n)
             if own or n == 1:
-                own.sort()
-                self.by_length[n] = np.array([h for h, _ in own], U64), np.array([s for _, s in own], np.int64)
+                keys = np.array([k for k, _, _ in own], U64)
+                if (keys[1:] == keys[:-1]).any():
+                    raise ValueError("two pieces of one length have the same hash")
+                letters = np.frombuffer(b"".join([p for _, _, p in own]), np.uint8).reshape(-1, n)
+                self.by_length[n] = keys, np.array([s for _, s, _ in own], np.int64), letters
 
     @staticmethod
     def zipf(pieces: list[bytes]) -> dict[bytes, int]:
@@ -112,20 +116,27 @@ def trie_counts(u: Unigrams, words: list[bytes]) -> np.ndarray:
     node = [np.zeros(n, np.int64)]
     score, tokens = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
     prefix = [np.zeros(n, U64)]
+    recent = np.zeros(n, U64)  # the last eight bytes
     with np.errstate(over="ignore"):
         for d in range(1, width + 1):
             prefix.append(prefix[-1] * U64(_BASE) + letters[:, d - 1].astype(U64) + U64(1))
+            recent = (recent << U64(8)) | letters[:, d - 1].astype(U64)
             begins = (common < d) & (sizes >= d)
             first = np.flatnonzero(begins)
             node.append(np.cumsum(begins) - 1)
             best, least = np.full(len(first), np.iinfo(np.int64).min), np.zeros(len(first), np.int64)
-            for length, (hashes, scores) in u.by_length.items():
+            for length, (hashes, scores, pieces) in u.by_length.items():
                 if length > d:
                     break
-                wanted = prefix[d][first] - prefix[d - length][first] * power[length]
+                if length <= EXACT:
+                    wanted = recent[first] & U64((1 << 8 * length) - 1)
+                else:
+                    wanted = prefix[d][first] - prefix[d - length][first] * power[length]
                 at = np.minimum(np.searchsorted(hashes, wanted), max(0, len(hashes) - 1))
                 hit = hashes[at] == wanted if len(hashes) else np.zeros(len(first), bool)
                 here = np.flatnonzero(hit) if length > 1 else np.arange(len(first))
+                if length > EXACT and len(here):
+                    here = here[(letters[first[here], d - length : d] == pieces[at[here]]).all(1)]
                 gain = scores[at[here]] if length > 1 else np.where(hit, scores[at] if len(scores) else 0, u.foreign)
                 parent = node[d - length][first[here]]
                 s, t = score[d - length][parent] + gain, tokens[d - length][parent] + 1

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from keyloom.llm import common, digest, license_scan, merge_dropout, packing, pii, site_templates
+from keyloom.llm import common, digest, license_scan, merge_dropout, packing, pii, site_templates, telephony, token_counts
 
 # 4
 
@@ -364,3 +364,41 @@ def test_many_notices_take_linear_time():
     assert len(license_scan.licences((license_scan._MIT + "\n\n") * 50, tools)) == 50
     assert license_scan.licences("the software license permission notice " * 8000, tools) == []
     assert time.time() - began < 30
+
+
+# 5
+
+
+def test_payloads_beyond_a_binary_value(spark, monkeypatch):
+    payload = bytes(range(256)) * 3
+    rows = [(1, "mulaw", bytearray(payload)), (2, "adpcm", bytearray(payload)), (3, "alaw", bytearray(payload[:99])), (4, None, bytearray(payload))]
+    media = spark.createDataFrame(rows, "doc_id long, codec string, payload binary")
+    whole = {r.doc_id: (r.n_samples, r.pcm and bytes(r.pcm)) for r in telephony.decode_calls(media).collect()}
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([bytes(r[2]) for r in rows])], ["doc_id", "codec", "payload"])
+    monkeypatch.setattr(telephony, "LARGEST", 1000)
+    got = {r["doc_id"]: (r["n_samples"], r["pcm"]) for b in telephony._decode(iter([batch])) for r in b.to_pylist()}
+    assert got == {1: (whole[1][0], None), 2: (whole[2][0], None), 3: whole[3], 4: (None, None)}
+
+
+# 6
+
+
+@pytest.mark.skipif(not PUBLIC, reason="no public vocabularies")
+def test_equal_hashes_are_no_equal_pieces(monkeypatch):
+    """With a hash under which all long pieces of a length look alike but one, counts are still those of plain dictionaries."""
+    u = token_counts.Unigrams(merge_dropout.model_file(merge_dropout.MODEL))
+    rng = random.Random(1)
+    long = [p.decode() for p in u.scores if len(p) > 9][:300]
+    words = list({rng.choice(long).lstrip("▁")[: rng.randint(5, 30)] + rng.choice(["", "s", "ing", rng.choice(long)]) for _ in range(500)})
+    want = [token_counts.one_count(u, ("▁" + w).encode()) for w in words]
+    assert token_counts.pre_token_counts(u, words) == want
+    monkeypatch.setattr(token_counts, "_BASE", 0)  # the hash of a piece is that of its last byte
+    for n, (keys, scores, pieces) in list(u.by_length.items()):
+        if n > token_counts.EXACT:
+            order = np.argsort(pieces[:, -1], kind="stable")
+            last = pieces[order][:, -1].astype(np.uint64) + np.uint64(1)
+            one = np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))
+            u.by_length[n] = last[one], scores[order][one], pieces[order][one]
+            for p in set(map(bytes, pieces)) - set(map(bytes, pieces[order][one])):
+                del u.scores[p]
+    assert token_counts.pre_token_counts(u, words) == [token_counts.one_count(u, ("▁" + w).encode()) for w in words]
