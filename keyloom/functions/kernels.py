@@ -68,3 +68,24 @@ def fingerprint_column(k0: Column, k1: Column, size: int) -> Column:
         return pa.array(fingerprint(unsigned(a), unsigned(b), size))
 
     return run(k0, k1)
+
+
+def key_halves(keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(octets, prefix, k0, k1) of binary keys; null has -1 octets, and keys under 16 bytes no meaningful halves."""
+    if isinstance(keys, pa.ChunkedArray):
+        keys = keys.combine_chunks()
+    wide = pa.types.is_large_binary(keys.type) or pa.types.is_large_string(keys.type)
+    _, offsets, data = keys.buffers()
+    off = np.frombuffer(offsets, np.int64 if wide else np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64) if len(keys) else np.zeros(1, np.int64)
+    n = np.where(keys.is_valid().to_numpy(zero_copy_only=False), np.diff(off), -1)
+    first = np.zeros((len(keys), 16), np.uint8)
+    fits = np.flatnonzero(n >= 16)
+    if len(fits):
+        first[fits] = np.frombuffer(data, np.uint8)[off[fits][:, None] + np.arange(16)]
+    halves = first.view("<u8")
+    return n, halves[:, 0].byteswap(), halves[:, 0].copy(), halves[:, 1].copy()
+
+
+def rows_of(schema: pa.Schema, n: int, **columns: object) -> pa.Table:
+    """A table of n rows with columns, and nulls in the others."""
+    return pa.table([pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)

@@ -17,7 +17,7 @@ from keyloom.functions import kernels as K
 
 NAME = "bijection"
 CODE = 0
-SOLVED = "kind int, block_id long, bucket_id int, start int, size int, seed0 long, seed1 long, slot int, k0 long, k1 long, payload long, error string"
+SOLVED = "kind int, block_id long, bucket_id int, bucket_start int, bucket_size int, seed0 long, seed1 long, first_rank long, rank long, fp long, payload long, error string"
 OK, DUPLICATE, SPLIT_FAILED = None, "DUPLICATE_KEY", "SPLIT_FAILED"
 
 
@@ -125,27 +125,57 @@ def solve(k0: np.ndarray, k1: np.ndarray, global_seed: int) -> tuple[dict[str, n
     return {"bucket_id": ids[order][first], "start": start, "size": size, "seed0": seed0, "seed1": seed1}, slot, error
 
 
-def solver(global_seed: int):
-    schema = pa.schema([("kind", pa.int32()), ("block_id", pa.int64()), ("bucket_id", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("seed0", pa.int64()), ("seed1", pa.int64()), ("slot", pa.int32()), ("k0", pa.int64()), ("k1", pa.int64()), ("payload", pa.int64()), ("error", pa.string())])
+_SCHEMA = pa.schema([("kind", pa.int32()), ("block_id", pa.int64()), ("bucket_id", pa.int32()), ("bucket_start", pa.int32()), ("bucket_size", pa.int32()), ("seed0", pa.int64()), ("seed1", pa.int64()), ("first_rank", pa.int64()), ("rank", pa.int64()), ("fp", pa.int64()), ("payload", pa.int64()), ("error", pa.string())])
 
-    def run(table: pa.Table) -> pa.Table:
-        block = table.column("block_id")[0].as_py()
-        k0, k1 = (table.column(c).to_numpy().view(np.uint64) for c in ("k0", "k1"))
-        buckets, slot, error = solve(k0, k1, global_seed)
 
-        def rows(kind: int, n: int, **columns: object) -> pa.Table:
-            columns = {"kind": np.full(n, kind, np.int32), "block_id": np.full(n, block), "error": pa.array([error] * n, pa.string()), **columns}
-            return pa.table([pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+def solver(global_seed: int, fp_size: int):
+    """Of a block's keys and its total: its entries by rank (kind 0) and its buckets (kind 1), or one row with what went wrong."""
 
-        return pa.concat_tables([rows(0, len(slot), slot=slot, k0=table.column("k0").combine_chunks(), k1=table.column("k1").combine_chunks(), payload=table.column("payload").combine_chunks()), rows(1, len(buckets["size"]), **buckets)])
+    def run(keys: pa.Table, total: pa.Table) -> pa.Table:
+        if not keys.num_rows:
+            return _SCHEMA.empty_table()
+        block, before = keys.column("block_id")[0].as_py(), total.column("keys_before")[0].as_py()
+        k0, k1 = (keys.column(c).to_numpy().view(np.uint64) for c in ("k0", "k1"))
+        buckets, slot, error = solve(k0, k1, global_seed)
+        if error is not OK:
+            return K.rows_of(_SCHEMA, 1, block_id=[block], error=[error])
+        order = np.argsort(slot)
+        fp = K.fingerprint(k0, k1, fp_size)[order] if fp_size else np.zeros(len(order), np.int64)
+        entries = K.rows_of(_SCHEMA, len(order), kind=np.zeros(len(order)), block_id=np.full(len(order), block), rank=before + np.arange(len(order)), fp=fp, payload=keys.column("payload").to_numpy()[order])
+        n = len(buckets["size"])
+        own = K.rows_of(_SCHEMA, n, kind=np.ones(n), block_id=np.full(n, block), bucket_id=buckets["bucket_id"], bucket_start=buckets["start"], bucket_size=buckets["size"], seed0=buckets["seed0"], seed1=buckets["seed1"], first_rank=before + buckets["start"])
+        return pa.concat_tables([entries, own])
 
     return run
 
 
 def directory(solved: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
     """The tables that lookups read: buckets with the rank of their first slot."""
-    own = solved.where("kind = 1").select("block_id", "bucket_id", "start", "size", "seed0", "seed1")
-    return {"buckets": own.join(blocks, "block_id").select("block_id", "bucket_id", F.col("start").alias("bucket_start"), F.col("size").alias("bucket_size"), "seed0", "seed1", (F.col("keys_before") + F.col("start")).alias("first_rank"))}
+    return {"buckets": solved.where("kind = 1").select("block_id", "bucket_id", "bucket_start", "bucket_size", "seed0", "seed1", "first_rank")}
+
+
+class Packed:
+    """All buckets of an index as dense arrays."""
+
+    def __init__(self, tables: dict[str, pa.Table], global_seed: int, blocks: int) -> None:
+        t, self.global_seed, self.blocks = tables["buckets"], global_seed, blocks
+        at = t.column("block_id").to_numpy() * g.BIJECTION_BUCKETS + t.column("bucket_id").to_numpy()
+        self.size, self.seed0, self.seed1 = (np.zeros(blocks * g.BIJECTION_BUCKETS, kind) for kind in (np.uint16, np.int32, np.int32))
+        for column, values in (("bucket_size", self.size), ("seed0", self.seed0), ("seed1", self.seed1)):
+            values[at] = t.column(column).to_numpy()
+        total = np.cumsum(self.size, dtype=np.int64)
+        self.first = total - self.size
+
+    @staticmethod
+    def bytes_of(keys: int, blocks: int) -> int:
+        return 18 * g.BIJECTION_BUCKETS * blocks
+
+    def ranks(self, block: np.ndarray, k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
+        """The rank of each key, -1 in an empty bucket."""
+        at = block * g.BIJECTION_BUCKETS + K.fast_range(k0, g.BIJECTION_BUCKETS).astype(np.int64)
+        size = self.size[at]
+        slot = slots_of(k0, k1, self.global_seed, size, self.seed0[at], self.seed1[at])
+        return np.where(size > 0, self.first[at] + slot, -1)
 
 
 def lookup(probe: DataFrame, tables: dict[str, DataFrame], global_seed: int, blocks: DataFrame | None = None) -> DataFrame:

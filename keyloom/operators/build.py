@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from keyloom import errors
 from keyloom.functions import geometry as g
 from keyloom.functions import hashing as h
-from keyloom.functions import kernels as K
 from keyloom.operators import bijection, ptrhash
 from keyloom.operators.index import Index
 from keyloom.plans import routing, validate
@@ -55,11 +54,12 @@ def build(
     sorted_by: str | None = None,
     metadata: bytes = b"",
     retries: int = 0,
+    workers: int | None = None,
 ) -> Index:
     """An index over df's keys.
 
     total_keys, if given, must be the number of rows. sorted_by names a position column by which blocks must not go back.  A
-    search that fails for one global seed is tried again with another, retries times.  Null and short keys, long ones, payloads above
+    search that fails for one global seed is tried again with another, retries times.  workers is the number of tasks that solve blocks, by default that of shuffle partitions or cores.  Null and short keys, long ones, payloads above
     payload_size bytes and repeated keys raise.
     """
     how = algorithm_of(algorithm)
@@ -68,33 +68,33 @@ def build(
     keys = F.col(key) if dict(df.dtypes)[key] == "binary" else F.encode(F.col(key), "utf-8")
     position = [F.col(sorted_by).alias("position")] if sorted_by else []
     keyed = checkpoint(df.select(h.k0(keys).alias("k0"), h.k1(keys).alias("k1"), h.prefix(keys).alias("prefix"), F.octet_length(keys).alias("key_length"), value.alias("payload"), *position))
-    n = keyed.count()
+    n = validate.check_keyed(keyed, payload_size)
     validate.check_options(n, payload_size, fingerprint_size)
     if total_keys is not None and total_keys != n:
         raise errors.KeyCountMismatch(f"{total_keys} keys were declared, {n} came")
-    validate.check_keyed(keyed, payload_size)
     blocks = how.num_blocks(n)
     routed = keyed.withColumn("block_id", h.fast_range(F.col("prefix"), blocks))
     if sorted_by:
         validate.check_sorted(routed, "position")
-    counts = routing.block_counts(routed, blocks)
-    if validate.overfull(counts, n, blocks).limit(1).count():
+    totals = routing.totals(routed, blocks)
+    if totals.agg(F.max("keys_in_block")).first()[0] > g.block_limit(n, blocks):
+        if validate.duplicates(keyed, "k0", "k1").limit(1).count():
+            raise errors.DuplicateKey("two keys have the same first 16 bytes")
         raise errors.BlockOverflow("keys are not evenly spread over blocks; hash them first")
     # an explicit number of partitions, since a search over few bytes of keys is long work that must not be coalesced into one task
-    tasks = min(blocks, max(shuffle_partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism))
-    by_block = routed.select("block_id", "k0", "k1", "payload").repartition(tasks, "block_id")
+    tasks = workers or min(blocks, max(shuffle_partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism))
+    by_block = routed.select("block_id", "k0", "k1", "payload").repartition(tasks, "block_id").groupBy("block_id")
+    by_total = totals.repartition(tasks, "block_id").groupBy("block_id")
     for attempt in range(retries + 1):
-        rows = by_block.groupBy("block_id").applyInArrow(how.solver(global_seed), how.SOLVED)
-        solved = checkpoint(rows)
+        # equal keys meet in their block, whose solver reports them
+        solved = checkpoint(by_block.cogroup(by_total).applyInArrow(how.solver(global_seed, fingerprint_size), how.SOLVED))
         failed = solved.where("error is not null").select("error").first()
         if failed is None:
             break
-        if attempt == retries:
+        if attempt == retries or failed.error == "DUPLICATE_KEY":
             raise _ERRORS[failed.error](f"a block can't be solved with global seed {global_seed:#x}")
         global_seed = _next_seed(global_seed)
-    totals = checkpoint(routing.keys_before(counts))
-    rank = F.col("keys_before") + F.col("slot")
-    entries = solved.where("kind = 0").join(totals, "block_id").select(rank.alias("rank"), "block_id", K.fingerprint_column(F.col("k0"), F.col("k1"), fingerprint_size).alias("fp"), "payload")
+    entries = solved.where("kind = 0").select("rank", "block_id", "fp", "payload")
     meta = {
         "algorithm": algorithm,
         "total_keys": n,

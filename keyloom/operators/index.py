@@ -8,16 +8,20 @@ from types import ModuleType
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom import errors
+from keyloom.functions import geometry as g
 from keyloom.functions import hashing as h
 from keyloom.functions import kernels as K
-from keyloom.functions.model import signed
+from keyloom.functions.model import fast_range, signed, split_key
+from keyloom.operators.packed import OK, PackedIndex, bytes_of
 from keyloom.plans import validate
 
 VERSION = 1
+#: an index whose arrays take no more goes to every executor whole
+PACK_BYTES = 64 << 20
 EMPTY_HASH = xxhash.xxh64_intdigest(b"")
 _META = "version int, algorithm string, total_keys long, num_blocks long, payload_size int, fp_size int, global_seed long, user_metadata binary, payload_hash long, metadata_hash long"
 
@@ -42,6 +46,7 @@ class Index:
     def __init__(self, spark: SparkSession, meta: dict, tables: dict[str, DataFrame], hashes: tuple[int, int] | None = None) -> None:
         self.spark, self.meta, self.tables = spark, meta, tables
         self._hashes, self._closed = hashes, False
+        self._packed = self._broadcast = None
 
     # what it holds
 
@@ -64,6 +69,9 @@ class Index:
     def close(self) -> None:
         """No more lookups; closing twice is no fault."""
         self._closed = True
+        if self._broadcast is not None:
+            self._broadcast.unpersist()
+        self._packed = self._broadcast = None
 
     def with_payload(self) -> Index:
         """This index, if it can answer payload lookups."""
@@ -78,15 +86,38 @@ class Index:
 
     # lookups
 
+    def packed(self) -> PackedIndex | None:
+        """The index as arrays, if they take no more than PACK_BYTES; collected once."""
+        how = _module(self.meta["algorithm"])
+        if self._packed is None and bytes_of(self.meta, how) <= PACK_BYTES:
+            wanted = {n: t for n, t in self.tables.items() if n != "entries" or self.payload_size or self.meta["fp_size"]}
+            self._packed = PackedIndex(self.meta, how, {n: t.toArrow() for n, t in wanted.items()})
+        return self._packed
+
+    def _packed_lookup(self, probe: DataFrame, raw: Column, payload: bool) -> DataFrame:
+        if self._broadcast is None:
+            self._broadcast = self.spark.sparkContext.broadcast(self._packed)
+        held = self._broadcast
+
+        @F.arrow_udf("rank long, payload long, status string")
+        def find(keys: pa.Array) -> pa.Array:
+            return held.value.answer(keys, payload)
+
+        own = [F.col(c) for c in probe.columns if c not in ("rank", "payload", "status")]
+        found = probe.select(*own, find(raw).alias("__found"))
+        return found.select(*own, "__found.rank", *(["__found.payload"] if payload else []), "__found.status")
+
     def lookup(self, probe: DataFrame, key: str = "key", payload: bool = False) -> DataFrame:
         """probe with rank, payload (if wanted) and status: OK, NOT_FOUND, KEY_TOO_SHORT (also null) or KEY_TOO_LONG.
 
         Without fingerprints a key that isn't in the index may be given some key's rank; with f bytes that happens once in 256^f times.
-        Works on streams too, as a stream-static join.
+        An index of up to PACK_BYTES is broadcast and probed without a shuffle; a larger one is joined.  Works on streams too.
         """
         self._open()
         if payload:
             self.with_payload()
+        if self.packed() is not None:
+            return self._packed_lookup(probe, F.col(key) if dict(probe.dtypes)[key] == "binary" else F.encode(F.col(key), "utf-8"), payload)
         own = [c for c in probe.columns if c not in ("rank", "payload", "status")]
         raw = F.col(key) if dict(probe.dtypes)[key] == "binary" else F.encode(F.col(key), "utf-8")
         checked = probe.select(*[F.col(c).alias(f"__p_{c}") for c in own], validate.key_length_status(raw).alias("key_status"), raw.alias("__key"))
@@ -109,6 +140,37 @@ class Index:
     def query_payload(self, probe: DataFrame, key: str = "key") -> DataFrame:
         return self.lookup(probe, key, payload=True)
 
+    def rank_of(self, key: bytes) -> int:
+        """The rank of one key, looked up on the driver; raises NotFound, KeyTooShort or KeyTooLong."""
+        return self._one(key, False)[0]
+
+    def payload_of(self, key: bytes) -> int:
+        """The payload of one key, looked up on the driver."""
+        self.with_payload()
+        return self._one(key, True)[1]
+
+    def _one(self, key: bytes, payload: bool) -> tuple[int, int | None]:
+        self._open()
+        if len(key) < g.MIN_KEY:
+            raise errors.KeyTooShort(f"{len(key)} bytes")
+        if len(key) > g.MAX_KEY:
+            raise errors.KeyTooLong(f"{len(key)} bytes")
+        packed = self.packed()
+        if packed is None:
+            # one block's part of the directory and one entry, by filters that reach the files
+            prefix, _, _ = split_key(key)
+            own = F.col("block_id") == fast_range(prefix, self.num_blocks)
+            probe = self.spark.createDataFrame([(bytearray(key),)], "key binary")
+            narrow = Index(self.spark, self.meta, {n: t.where(own) for n, t in self.tables.items()})
+            row = narrow.lookup(probe, payload=payload).first()
+            if row.status != "OK":
+                raise errors.NotFound(key[:16].hex())
+            return row.rank, row.payload if payload else None
+        rank, status = packed.find(pa.array([key], pa.binary()))
+        if status[0] != OK:
+            raise errors.NotFound(key[:16].hex())
+        return int(rank[0]), int(packed.payload[rank[0]]) if payload else None
+
     def members(self, probe: DataFrame, key: str = "key") -> DataFrame:
         """probe's rows whose key is (but for false positives) in the index."""
         return self.lookup(probe, key).where("status = 'OK'").drop("rank", "status")

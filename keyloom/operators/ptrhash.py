@@ -1,6 +1,6 @@
 """Blocks of 10,000 skewed buckets, each with one of 256 pilots that sends its keys to free slots; overflow slots are remapped to holes.
 
-Buckets are placed from the largest down.  A bucket for which no pilot finds free slots takes the pilot that displaces the least (the
+Buckets are placed from the largest down, those of one size in batches.  A bucket for which no pilot finds free slots takes the pilot that displaces the least (the
 sum of squared bucket sizes), and those displaced are placed again.  The start of that search is random, from a generator
 seeded by block and attempt, so that a build can be repeated exactly.
 """
@@ -20,7 +20,8 @@ from keyloom.functions.model import pilot_hash
 
 NAME = "ptrhash"
 CODE = 1
-SOLVED = "kind int, block_id long, bucket_id int, pilot int, overflow_slot long, hole long, slot int, k0 long, k1 long, payload long, error string"
+SOLVED = "kind int, block_id long, bucket_id int, pilot int, keys_in_block long, keys_before long, overflow_slot long, hole long, rank long, fp long, payload long, error string"
+BATCH = 512
 ATTEMPTS, PINNED, EVICTIONS = 10, 16, 10
 DUPLICATE, INDISTINGUISHABLE, EXHAUSTED = "DUPLICATE_KEY", "INDISTINGUISHABLE", "EVICTION_LIMIT"
 
@@ -53,43 +54,76 @@ class _Block:
 
     def solve(self, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """(pilot of each bucket, owner of each slot or -1)."""
-        owner = np.full(self.slots_n, -1, np.int64)
-        pilots = np.zeros(len(self.size), np.int64)
-        placed = np.zeros(len(self.size), bool)
-        cost = self.size.astype(np.int64) ** 2
-        pinned: list[int] = []
-        evictions = 0
-        for start in np.argsort(-self.size, kind="stable").tolist():
-            if self.size[start] == 0:
+        self.owner = np.full(self.slots_n, -1, np.int64)
+        self.pilots = np.zeros(len(self.size), np.int64)
+        self.placed = np.zeros(len(self.size), bool)
+        self.cost = self.size.astype(np.int64) ** 2
+        self.pinned: list[int] = []
+        self.evictions = 0
+        order = np.argsort(-self.size, kind="stable")
+        order = order[self.size[order] > 0]
+        cuts = np.flatnonzero(np.diff(self.size[order])) + 1
+        for group in np.split(order, cuts):
+            for s in range(0, len(group), BATCH):
+                for b in self._place_free(group[s : s + BATCH]).tolist():
+                    self._place(b, rng)
+        return self.pilots, self.owner
+
+    def _place_free(self, buckets: np.ndarray) -> np.ndarray:
+        """Give buckets of one size the first pilot that sends their keys to free slots, all at once; of several that meet the first has its way and the others
+        choose again.  Returns those for which no pilot does."""
+        size = int(self.size[buckets[0]])
+        rows = self.first[buckets][:, None] + np.arange(size)
+        slots = self.slots[rows]  # bucket, key, pilot
+        ordered = np.sort(slots, axis=1)
+        twice = (ordered[:, 1:] == ordered[:, :-1]).any(1)
+        stuck = []
+        todo = np.arange(len(buckets))
+        while len(todo):
+            free = ~(twice[todo] | (self.owner[slots[todo]] >= 0).any(1))
+            has = free.any(1)
+            stuck.append(todo[~has])
+            todo, free = todo[has], free[has]
+            if not len(todo):
                 break
-            if placed[start]:
+            p = free.argmax(1)
+            own = slots[todo, :, p]  # bucket, key
+            _, first = np.unique(own.ravel(), return_index=True)
+            wins = np.bincount(first // size, minlength=len(todo)) == size
+            b = buckets[todo[wins]]
+            self.pilots[b] = p[wins]
+            self.placed[b] = True
+            self.owner[own[wins]] = b[:, None]
+            todo = todo[~wins]
+        return buckets[np.sort(np.concatenate(stuck))] if stuck else buckets[:0]
+
+    def _place(self, start: int, rng: np.random.Generator) -> None:
+        """Place a bucket for which there may be no free slots, and all that it displaces."""
+        waiting = [(-int(self.size[start]), start)]
+        while waiting:
+            _, b = heapq.heappop(waiting)
+            if self.placed[b]:
                 continue
-            waiting = [(-int(self.size[start]), start)]
-            while waiting:
-                _, b = heapq.heappop(waiting)
-                if placed[b]:
-                    continue
-                slots = self.slots[self.first[b] : self.first[b + 1]]
-                owners = owner[slots]
-                free = np.flatnonzero((owners < 0).all(0))
-                p = next((int(p) for p in free if len(slots) == 1 or len(set(slots[:, p].tolist())) == len(slots)), -1)
-                if p < 0:
-                    p = self._cheapest(b, slots, owners, cost, pinned, int(rng.integers(g.PILOTS)))
-                    for out in sorted(set(owners[:, p].tolist()) - {-1}):
-                        mine = self.slots[self.first[out] : self.first[out + 1], pilots[out]]
-                        owner[mine[owner[mine] == out]] = -1
-                        placed[out] = False
-                        heapq.heappush(waiting, (-int(self.size[out]), out))
-                        evictions += 1
-                    pinned.append(b)
-                    if len(pinned) > PINNED:
-                        pinned.pop(0)
-                pilots[b] = p
-                owner[slots[:, p]] = b
-                placed[b] = True
-                if evictions > EVICTIONS * self.slots_n:
-                    raise _Stop(EXHAUSTED)
-        return pilots, owner
+            slots = self.slots[self.first[b] : self.first[b + 1]]
+            owners = self.owner[slots]
+            free = np.flatnonzero((owners < 0).all(0))
+            p = next((int(p) for p in free if len(slots) == 1 or len(set(slots[:, p].tolist())) == len(slots)), -1)
+            if p < 0:
+                p = self._cheapest(b, slots, owners, self.cost, self.pinned, int(rng.integers(g.PILOTS)))
+                for out in sorted(set(owners[:, p].tolist()) - {-1}):
+                    mine = self.slots[self.first[out] : self.first[out + 1], self.pilots[out]]
+                    self.owner[mine[self.owner[mine] == out]] = -1
+                    self.placed[out] = False
+                    heapq.heappush(waiting, (-int(self.size[out]), out))
+                    self.evictions += 1
+                self.pinned.append(b)
+                if len(self.pinned) > PINNED:
+                    self.pinned.pop(0)
+            self.pilots[b] = p
+            self.owner[slots[:, p]] = b
+            self.placed[b] = True
+            if self.evictions > EVICTIONS * self.slots_n:
+                raise _Stop(EXHAUSTED)
 
     def _cheapest(self, b: int, slots: np.ndarray, owners: np.ndarray, cost: np.ndarray, pinned: list[int], start: int) -> int:
         score = np.where(owners >= 0, cost[np.maximum(owners, 0)], 0).sum(0)
@@ -129,37 +163,69 @@ def solve(k0: np.ndarray, k1: np.ndarray, block: int, global_seed: int, buckets:
     return pilots, remap, slot, None
 
 
-def solver(global_seed: int):
-    schema = pa.schema([("kind", pa.int32()), ("block_id", pa.int64()), ("bucket_id", pa.int32()), ("pilot", pa.int32()), ("overflow_slot", pa.int64()), ("hole", pa.int64()), ("slot", pa.int32()), ("k0", pa.int64()), ("k1", pa.int64()), ("payload", pa.int64()), ("error", pa.string())])
+_SCHEMA = pa.schema([("kind", pa.int32()), ("block_id", pa.int64()), ("bucket_id", pa.int32()), ("pilot", pa.int32()), ("keys_in_block", pa.int64()), ("keys_before", pa.int64()), ("overflow_slot", pa.int64()), ("hole", pa.int64()), ("rank", pa.int64()), ("fp", pa.int64()), ("payload", pa.int64()), ("error", pa.string())])
 
-    def run(table: pa.Table) -> pa.Table:
-        block = table.column("block_id")[0].as_py()
-        k0, k1 = (table.column(c).to_numpy().view(np.uint64) for c in ("k0", "k1"))
-        pilots, remap, slot, error = solve(k0, k1, block, global_seed)
 
-        def rows(kind: int, n: int, **columns: object) -> pa.Table:
-            columns = {"kind": np.full(n, kind, np.int32), "block_id": np.full(n, block), "error": pa.array([error] * n, pa.string()), **columns}
-            return pa.table([pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+def solver(global_seed: int, fp_size: int):
+    """Of a block's keys and its total: its entries by rank (kind 0), pilots (kind 1) and remap (kind 2), or one row with what went wrong."""
 
-        return pa.concat_tables(
-            [
-                rows(0, len(slot), slot=slot, k0=table.column("k0").combine_chunks(), k1=table.column("k1").combine_chunks(), payload=table.column("payload").combine_chunks()),
-                rows(1, len(pilots), bucket_id=np.arange(len(pilots)), pilot=pilots),
-                rows(2, len(remap), overflow_slot=len(slot) + np.arange(len(remap)), hole=remap),
-            ]
-        )
+    def run(keys: pa.Table, total: pa.Table) -> pa.Table:
+        if not keys.num_rows:
+            return _SCHEMA.empty_table()
+        block, before = keys.column("block_id")[0].as_py(), total.column("keys_before")[0].as_py()
+        k0, k1 = (keys.column(c).to_numpy().view(np.uint64) for c in ("k0", "k1"))
+        pilots, remap, slot, error = solve(k0, k1, block, global_seed)
+        if error is not None:
+            return K.rows_of(_SCHEMA, 1, block_id=[block], error=[error])
+        order, n = np.argsort(slot), len(slot)
+        fp = K.fingerprint(k0, k1, fp_size)[order] if fp_size else np.zeros(n, np.int64)
+        entries = K.rows_of(_SCHEMA, n, kind=np.zeros(n), block_id=np.full(n, block), rank=before + np.arange(n), fp=fp, payload=keys.column("payload").to_numpy()[order])
+        b, r = len(pilots), len(remap)
+        own = K.rows_of(_SCHEMA, b, kind=np.ones(b), block_id=np.full(b, block), bucket_id=np.arange(b), pilot=pilots, keys_in_block=np.full(b, n), keys_before=np.full(b, before))
+        moved = K.rows_of(_SCHEMA, r, kind=np.full(r, 2), block_id=np.full(r, block), overflow_slot=n + np.arange(r), hole=remap)
+        return pa.concat_tables([entries, own, moved])
 
     return run
 
 
 def directory(solved: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
-    own = solved.where("kind = 1").select("block_id", "bucket_id", "pilot")
     return {
-        "pilots": own.join(blocks, "block_id").select("block_id", "bucket_id", "pilot", "keys_in_block", "keys_before"),
-        "remap": solved.where("kind = 2").select(F.col("block_id").alias("block_id"), "overflow_slot", "hole"),
+        "pilots": solved.where("kind = 1").select("block_id", "bucket_id", "pilot", "keys_in_block", "keys_before"),
+        "remap": solved.where("kind = 2").select("block_id", "overflow_slot", "hole"),
     }
 
 
+class Packed:
+    """All pilots and remaps of an index as dense arrays."""
+
+    def __init__(self, tables: dict[str, pa.Table], global_seed: int, blocks: int) -> None:
+        self.hashed = hashed_pilots(global_seed)
+        t = tables["blocks"].sort_by("block_id")
+        self.n, self.before = t.column("keys_in_block").to_numpy(), t.column("keys_before").to_numpy()
+        self.slots = np.maximum(np.ceil(self.n / g.LOAD).astype(np.int64), self.n)
+        self.pilots = np.zeros(blocks * g.PILOT_BUCKETS, np.uint8)
+        t = tables["pilots"]
+        self.pilots[t.column("block_id").to_numpy() * g.PILOT_BUCKETS + t.column("bucket_id").to_numpy()] = t.column("pilot").to_numpy()
+        over = self.slots - self.n
+        self.moved_at = np.cumsum(over) - over
+        self.moved = np.zeros(int(over.sum()) + 1, np.int64)
+        t = tables["remap"]
+        block = t.column("block_id").to_numpy()
+        self.moved[self.moved_at[block] + t.column("overflow_slot").to_numpy() - self.n[block]] = t.column("hole").to_numpy()
+
+    @staticmethod
+    def bytes_of(keys: int, blocks: int) -> int:
+        return (g.PILOT_BUCKETS + 32) * blocks + keys // 10
+
+    def ranks(self, block: np.ndarray, k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
+        """The rank of each key, -1 in an empty block."""
+        pilot = self.pilots[block * g.PILOT_BUCKETS + K.cubic_bucket(k1, g.PILOT_BUCKETS)]
+        n = self.n[block]
+        slot = K.fast_range(K.folded(k0, k1) * self.hashed[pilot], self.slots[block].astype(np.uint64)).astype(np.int64)
+        slot = np.where(slot < n, slot, self.moved[np.clip(self.moved_at[block] + slot - n, 0, len(self.moved) - 1)])
+        return np.where(n > 0, self.before[block] + slot, -1)
+
+
 def lookup(probe: DataFrame, tables: dict[str, DataFrame], global_seed: int, blocks: DataFrame | None = None) -> DataFrame:
     """probe (k0, k1, block_id, ...) with rank, null where the block is empty."""
     hashed = hashed_pilots(global_seed)

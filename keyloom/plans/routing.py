@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import hashing as h
+from keyloom.session import checkpoint
+
+LOCAL_BLOCKS = 1 << 16
 
 
 def route(df: DataFrame, key: Column, blocks: int) -> DataFrame:
@@ -33,6 +38,16 @@ def keys_before(counts: DataFrame) -> DataFrame:
     return spread.join(base, "__range").select("block_id", F.col("n").alias("keys_in_block"), (F.col("__base") + F.coalesce(F.sum("n").over(own), F.lit(0))).alias("keys_before"))
 
 
+def totals(routed: DataFrame, blocks: int) -> DataFrame:
+    """(block_id, keys_in_block, keys_before) of all blocks, kept: up to LOCAL_BLOCKS of them are added up on the driver, in one job; more by keys_before."""
+    if blocks > LOCAL_BLOCKS:
+        return checkpoint(keys_before(block_counts(routed, blocks)))
+    found = routed.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    n = np.zeros(blocks, np.int64)
+    n[found.column("block_id").to_numpy()] = found.column("n").to_numpy()
+    return routed.sparkSession.createDataFrame(pa.table({"block_id": np.arange(blocks), "keys_in_block": n, "keys_before": np.cumsum(n) - n}))
+
+
 def bucket_counts(bucketed: DataFrame) -> DataFrame:
     return bucketed.groupBy("block_id", "bucket_id").agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom import errors
 from keyloom.functions import geometry as g
+from keyloom.session import checkpoint
 
 
 def check_options(keys: int, payload_size: int, fingerprint_size: int) -> None:
@@ -41,18 +42,28 @@ def duplicates(df: DataFrame, *by: str) -> DataFrame:
 
 
 def unsorted(df: DataFrame, position: str, block: str = "block_id") -> DataFrame:
-    """Rows whose block is before the block of the row in front; order within a block is free."""
-    before = F.lag(block).over(Window.orderBy(position))
-    return df.withColumn("previous_block", before).where(F.col("previous_block") > F.col(block))
+    """Rows whose block is before the block of the row in front; order within a block is free.
+
+    Rows are ordered in ranges of positions, each by itself; only the last block of each range goes through a window over all.
+    """
+    ranged = df.repartitionByRange(position).withColumn("__part", F.spark_partition_id())
+    own = Window.partitionBy("__part").orderBy(position)
+    # kept, since another sample of positions would make other ranges
+    lagged = checkpoint(ranged.withColumns({"previous_block": F.lag(block).over(own), "__turn": F.row_number().over(own), "__last": F.lead(F.lit(1)).over(own).isNull()}))
+    ends = lagged.where("__last").select((F.lead("__part").over(Window.orderBy("__part"))).alias("__part"), F.col(block).alias("__before"))
+    seen = lagged.join(ends.where("__part is not null"), "__part", "left")
+    before = F.when(F.col("__turn") == 1, F.col("__before")).otherwise(F.col("previous_block"))
+    return seen.withColumn("previous_block", before).where(F.col("previous_block") > F.col(block)).drop("__part", "__turn", "__last", "__before")
 
 
 def overfull(counts: DataFrame, keys: int, blocks: int) -> DataFrame:
     return counts.where(F.col("n") > g.block_limit(keys, blocks))
 
 
-def check_keyed(keyed: DataFrame, payload_size: int) -> None:
-    """Raise for the first kind of fault in (key_length, payload, k0, k1), in one pass, and for duplicate keys."""
+def check_keyed(keyed: DataFrame, payload_size: int) -> int:
+    """The number of keys in (key_length, payload), in one pass; raises for the first kind of fault."""
     faults = keyed.agg(
+        F.count(F.lit(1)).alias("n"),
         F.max((F.coalesce(F.col("key_length"), F.lit(0)) < g.MIN_KEY).cast("int")).alias("short"),
         F.max((F.col("key_length") > g.MAX_KEY).cast("int")).alias("long"),
         F.max(overflowing(F.col("payload"), payload_size).cast("int")).alias("overflow"),
@@ -63,8 +74,7 @@ def check_keyed(keyed: DataFrame, payload_size: int) -> None:
         raise errors.KeyTooLong(f"a key has more than {g.MAX_KEY} bytes")
     if faults.overflow:
         raise errors.PayloadOverflow(f"a payload needs more than {payload_size} bytes")
-    if duplicates(keyed, "k0", "k1").limit(1).count():
-        raise errors.DuplicateKey("two keys have the same first 16 bytes")
+    return faults.n
 
 
 def check_sorted(df: DataFrame, position: str) -> None:
