@@ -8,6 +8,12 @@ class KeyloomError(Exception):
 class BuilderClosed(KeyloomError): ...
 
 
+class MixedWriters(KeyloomError): ...
+
+
+class Cancelled(KeyloomError): ...
+
+
 class EmptyIndex(KeyloomError): ...
 
 

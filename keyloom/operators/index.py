@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 from types import ModuleType
 
 import pandas as pd
@@ -18,12 +20,13 @@ from keyloom.functions import kernels as K
 from keyloom.functions.model import fast_range, signed, split_key
 from keyloom.operators.packed import OK, PackedIndex, bytes_of
 from keyloom.plans import validate
+from keyloom.session import checkpoint, remove_folder, subfolders
 
 VERSION = 1
 #: an index whose arrays take no more goes to every executor whole
 PACK_BYTES = 64 << 20
 EMPTY_HASH = xxhash.xxh64_intdigest(b"")
-_META = "version int, algorithm string, total_keys long, num_blocks long, payload_size int, fp_size int, global_seed long, user_metadata binary, payload_hash long, metadata_hash long"
+_META = "version int, algorithm string, total_keys long, num_blocks long, payload_size int, fp_size int, global_seed long, user_metadata binary, payload_hash long, metadata_hash long, metadata_size long, data string"
 
 
 def _module(name: str) -> ModuleType:
@@ -47,6 +50,7 @@ class Index:
         self.spark, self.meta, self.tables = spark, meta, tables
         self._hashes, self._closed = hashes, False
         self._packed = self._broadcast = None
+        self._metadata_size: int | None = None
 
     # what it holds
 
@@ -193,10 +197,15 @@ class Index:
         return self.tables["blocks"].join(hashed, "block_id", "left").select("block_id", F.coalesce("entry_hash", F.lit(signed(EMPTY_HASH))).alias("entry_hash"))
 
     def directory_hashes(self) -> DataFrame:
-        """(block_id, entry_hash): the hash of each block's encoded metadata."""
+        """(block_id, entry_hash, size): the xxHash64 of each block's encoded metadata, and its bytes."""
         from keyloom.sources import codec
 
-        return codec.block_metadata(self).select("block_id", F.xxhash64("metadata").alias("entry_hash"))
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw = batch.column("metadata").to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column("block_id"), pa.array([signed(xxhash.xxh64_intdigest(r)) for r in raw], pa.int64()), pa.array(list(map(len, raw)), pa.int64())], ["block_id", "entry_hash", "size"])
+
+        return codec.block_metadata(self).select("block_id", "metadata").mapInArrow(hashed, "block_id long, entry_hash long, size long")
 
     @staticmethod
     def _folded(hashes: DataFrame) -> int:
@@ -222,7 +231,10 @@ class Index:
         from keyloom.sources import codec
 
         self._open()
-        lengths = codec.block_metadata(self).agg(F.sum(F.octet_length("metadata")).alias("metadata_size"))
+        if self._metadata_size is None:
+            lengths = self.directory_hashes().agg(F.sum("size").alias("metadata_size"))
+        else:
+            lengths = self.spark.createDataFrame([(self._metadata_size,)], "metadata_size long")
         entry = self.payload_size + self.meta["fp_size"]
         fixed = codec.fixed_size(self.meta)
         size = F.col("metadata_size") + fixed + self.num_keys * entry
@@ -241,15 +253,25 @@ class Index:
     # storage
 
     def save(self, path: str) -> Index:
-        """Write the index as Parquet tables under path, its one-row meta table last, and return it with its checksums."""
+        """Write the index as Parquet tables in a new folder under path, then the one-row meta table that names it, and return the index with its checksums.
+
+        Whatever is interrupted, path holds the old index, the new one or none, and never parts of two.
+        """
         self._open()
-        self._hashes = self.hashes()
+        entry_hash = self._folded(self.entry_hashes())
+        directory = checkpoint(self.directory_hashes())
+        self._hashes = entry_hash, self._folded(directory)
+        self._metadata_size = directory.agg(F.sum("size")).first()[0]
+        data = f"data-{uuid.uuid4().hex}"
         for name, table in self.tables.items():
-            table = table.repartitionByRange("rank").sortWithinPartitions("rank") if name == "entries" else table
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            by = "rank" if name == "entries" else "block_id"
+            table.repartitionByRange(by).sortWithinPartitions(by).write.parquet(f"{path}/{data}/{name}")
         m = self.meta
-        row = (VERSION, m["algorithm"], m["total_keys"], m["num_blocks"], m["payload_size"], m["fp_size"], signed(m["global_seed"]), bytearray(m["user_metadata"]), *map(signed, self._hashes))
+        row = (VERSION, m["algorithm"], m["total_keys"], m["num_blocks"], m["payload_size"], m["fp_size"], signed(m["global_seed"]), bytearray(m["user_metadata"]), *map(signed, self._hashes), self._metadata_size, data)
         self.spark.createDataFrame([row], _META).coalesce(1).write.mode("overwrite").parquet(f"{path}/index_meta")
+        for name in subfolders(self.spark, path):
+            if name.startswith("data-") and name != data:
+                remove_folder(self.spark, f"{path}/{name}")
         return self
 
     def __repr__(self) -> str:
@@ -283,10 +305,12 @@ def open_index(spark: SparkSession, path: str) -> Index:
     _module(row.algorithm)
     names = ["blocks", "entries", *(["buckets"] if row.algorithm == "bijection" else ["pilots", "remap"])]
     try:
-        tables = {n: spark.read.parquet(f"{path}/{n}") for n in names}
+        tables = {n: spark.read.parquet(f"{path}/{row.data}/{n}") for n in names}
     except AnalysisException as e:
         raise errors.TruncatedFile(f"a table of the index at {path} is missing") from e
-    return Index(spark, meta, tables, (row.payload_hash & (1 << 64) - 1, row.metadata_hash & (1 << 64) - 1))
+    index = Index(spark, meta, tables, (row.payload_hash & (1 << 64) - 1, row.metadata_hash & (1 << 64) - 1))
+    index._metadata_size = row.metadata_size
+    return index
 
 
 def open_payload(spark: SparkSession, path: str) -> Index:

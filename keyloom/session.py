@@ -50,3 +50,9 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, whatever kind that is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)]

@@ -2,12 +2,14 @@
 
 Layout: a 64-byte header, the user's metadata and an empty algorithm section (each after its 4-byte length), the block directory (two
 40-bit numbers for each block and an end mark), entries in rank order, block metadata in block order, a 32-byte footer with checksums.
-Blocks are encoded and decoded by Arrow functions; the file itself is written in one stream, since it is one file.
+Blocks are encoded and decoded by Arrow functions; the file itself is written in one stream, since it is one file, and read by ranges of blocks.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from keyloom import errors
 from keyloom.functions import geometry as g
 from keyloom.operators.index import EMPTY_HASH, Index, packed_entries
+from keyloom.session import checkpoint, ensure_checkpoint_dir
+from keyloom.sources import files
 
 MAGIC, VERSION = 0x53544D48, 1
 HEADER, FOOTER, DIRECTORY_ENTRY = 64, 32, 10
@@ -26,6 +30,7 @@ SMALLEST = 304
 LOG_BUCKETS, STRIDE, STOPS = 10, 128, 7
 LONGEST = 16
 CHECK = 0x55
+GROUP = 8 << 20
 
 
 def fixed_size(meta: dict) -> int:
@@ -253,42 +258,47 @@ def _five(n: int) -> bytes:
 
 
 def export_file(index: Index, path: str) -> None:
-    """Write the binary form to a local path, block after block."""
+    """Write the binary form, block after block; one file is one stream, of which the driver holds a block at a time."""
+    files.write_file(path, _stream(index))
+
+
+def _stream(index: Index) -> Iterator[bytes]:
     m = index.meta
     code = {"bijection": 0, "ptrhash": 1}[m["algorithm"]]
-    blocks = block_metadata(index)
-    with open(path, "wb") as f:
-        f.write(_HEADER.pack(MAGIC, VERSION, m["total_keys"], m["num_blocks"], g.ram_bits(m["num_blocks"]), m["payload_size"], m["fp_size"], m["global_seed"], code))
-        f.write(struct.pack("<I", len(m["user_metadata"])) + m["user_metadata"] + struct.pack("<I", 0))
-        offset = before = 0
-        for row in blocks.select("block_id", "keys_in_block", F.octet_length("metadata").alias("n")).orderBy("block_id").toLocalIterator():
-            f.write(_five(before) + _five(offset))
-            before, offset = before + row.keys_in_block, offset + row.n
-        f.write(_five(before) + _five(offset))
-        payload_hash, metadata_hash = xxhash.xxh64(), xxhash.xxh64()
-        entries = blocks.select("block_id").join(block_entries(index), "block_id", "left").orderBy("block_id") if m["payload_size"] + m["fp_size"] else blocks.select("block_id", F.lit(None).cast("binary").alias("entries"))
-        for row in entries.toLocalIterator():
-            raw = bytes(row.entries or b"")
-            f.write(raw)
-            payload_hash.update((xxhash.xxh64_intdigest(raw) if raw else EMPTY_HASH).to_bytes(8, "little"))
-        for row in blocks.select("block_id", "metadata").orderBy("block_id").toLocalIterator():
-            f.write(row.metadata)
-            metadata_hash.update(bytes(row.metadata))
-        f.write(struct.pack("<QQ16x", payload_hash.intdigest(), metadata_hash.intdigest()))
+    blocks = checkpoint(block_metadata(index))
+    yield _HEADER.pack(MAGIC, VERSION, m["total_keys"], m["num_blocks"], g.ram_bits(m["num_blocks"]), m["payload_size"], m["fp_size"], m["global_seed"], code)
+    yield struct.pack("<I", len(m["user_metadata"])) + m["user_metadata"] + struct.pack("<I", 0)
+    offset = before = 0
+    for row in blocks.select("block_id", "keys_in_block", F.octet_length("metadata").alias("n")).orderBy("block_id").toLocalIterator():
+        yield _five(before) + _five(offset)
+        before, offset = before + row.keys_in_block, offset + row.n
+    yield _five(before) + _five(offset)
+    payload_hash, metadata_hash = xxhash.xxh64(), xxhash.xxh64()
+    entries = blocks.select("block_id").join(block_entries(index), "block_id", "left").orderBy("block_id") if m["payload_size"] + m["fp_size"] else blocks.select("block_id", F.lit(None).cast("binary").alias("entries"))
+    for row in entries.toLocalIterator():
+        raw = bytes(row.entries or b"")
+        yield raw
+        payload_hash.update((xxhash.xxh64_intdigest(raw) if raw else EMPTY_HASH).to_bytes(8, "little"))
+    for row in blocks.select("block_id", "metadata").orderBy("block_id").toLocalIterator():
+        yield bytes(row.metadata)
+        metadata_hash.update(bytes(row.metadata))
+    yield struct.pack("<QQ16x", payload_hash.intdigest(), metadata_hash.intdigest())
 
 
 class Parsed:
-    """A binary index taken apart, and checked for what can be checked without its checksums."""
+    """The header and block directory of a binary index (in memory, or in a file of which no more is read), checked for what can be checked without its checksums."""
 
-    def __init__(self, raw: bytes) -> None:
-        if len(raw) < HEADER:
+    def __init__(self, raw: bytes | str) -> None:
+        self.size = len(raw) if isinstance(raw, bytes) else files.size_of(raw)
+        self.read = (lambda a, b: raw[a:b]) if isinstance(raw, bytes) else (lambda a, b: files.read_range(raw, a, b))
+        if self.size < HEADER:
             raise errors.TruncatedFile("shorter than a header")
-        magic, version, keys, blocks, _, payload, fp, seed, code = _HEADER.unpack_from(raw)
+        magic, version, keys, blocks, _, payload, fp, seed, code = _HEADER.unpack(self.read(0, HEADER))
         if magic != MAGIC:
             raise errors.InvalidMagic(hex(magic))
         if version != VERSION:
             raise errors.InvalidVersion(str(version))
-        if len(raw) < SMALLEST:
+        if self.size < SMALLEST:
             raise errors.TruncatedFile(f"shorter than {SMALLEST} bytes")
         if payload > g.MAX_PAYLOAD or fp > g.MAX_FINGERPRINT or blocks == 0 and keys:
             raise errors.CorruptedIndex("the header holds impossible sizes")
@@ -297,94 +307,154 @@ class Parsed:
         at = HEADER
         sections = []
         for _ in range(2):
-            if at + 4 > len(raw):
+            head = self.read(at, at + 4)
+            if len(head) < 4:
                 raise errors.TruncatedFile("a section is cut off")
-            (n,) = struct.unpack_from("<I", raw, at)
-            if at + 4 + n > len(raw) - FOOTER:
+            (n,) = struct.unpack("<I", head)
+            if at + 4 + n > self.size - FOOTER:
                 raise errors.TruncatedFile("a section is cut off")
-            sections.append(raw[at + 4 : at + 4 + n])
+            sections.append(self.read(at + 4, at + 4 + n))
             at += 4 + n
         if sections[1]:
             raise errors.CorruptedIndex("the algorithm section isn't empty")
-        end = at + (blocks + 1) * DIRECTORY_ENTRY
-        if end > len(raw) - FOOTER:
+        self.entries_at = at + (blocks + 1) * DIRECTORY_ENTRY
+        if self.entries_at > self.size - FOOTER:
             raise errors.TruncatedFile("the directory is cut off")
-        pairs = np.frombuffer(raw[at:end], np.uint8).reshape(-1, 2, 5).astype(np.int64)
+        pairs = np.frombuffer(self.read(at, self.entries_at), np.uint8).reshape(-1, 2, 5).astype(np.int64)
         directory = (pairs << (8 * np.arange(5))).sum(2)
         self.before, self.offset = directory[:, 0], directory[:, 1]
         self.entry_size = payload + fp
-        self.entries = raw[end : end + keys * self.entry_size]
-        self.metadata = raw[end + keys * self.entry_size : len(raw) - FOOTER]
-        if len(self.entries) < keys * self.entry_size:
+        self.metadata_at = self.entries_at + keys * self.entry_size
+        if self.metadata_at > self.size - FOOTER:
             raise errors.TruncatedFile("entries are cut off")
-        if (np.diff(self.before) < 0).any() or (np.diff(self.offset) < 0).any() or self.before[-1] != keys or self.offset[-1] != len(self.metadata):
+        if (np.diff(self.before) < 0).any() or (np.diff(self.offset) < 0).any() or self.before[-1] != keys or self.offset[-1] != self.size - FOOTER - self.metadata_at:
             raise errors.CorruptedIndex("the directory contradicts the file's size")
-        self.hashes = struct.unpack_from("<QQ", raw, len(raw) - FOOTER)
+        self.hashes = struct.unpack("<QQ", self.read(self.size - FOOTER, self.size - FOOTER + 16))
         self.meta = {"algorithm": ("bijection", "ptrhash")[code], "total_keys": keys, "num_blocks": blocks, "payload_size": payload, "fp_size": fp, "global_seed": seed, "user_metadata": sections[0]}
 
-    def verify(self) -> None:
+    def groups(self) -> list[tuple[int, int]]:
+        """Ranges of blocks of about GROUP bytes."""
+        ends = self.before * self.entry_size + self.offset
+        cuts = [0]
+        while cuts[-1] < len(ends) - 1:
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + GROUP, side="right")) - 1))
+        return list(zip(cuts, cuts[1:]))
+
+    def entry_hashes(self, first: int, last: int) -> list[int]:
+        """The hash of each block's entries, of blocks [first, last)."""
+        begin = self.entries_at + int(self.before[first]) * self.entry_size
+        raw = self.read(begin, self.entries_at + int(self.before[last]) * self.entry_size)
+        cuts = (self.before[first : last + 1] - self.before[first]) * self.entry_size
+        return [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+    def verify(self, hashes: Iterable[int] | None = None) -> None:
+        """Compare checksums, of which the hashes of blocks' entries may be given; the metadata is read once from front to back."""
         whole = xxhash.xxh64()
-        for a, b in zip(self.before, self.before[1:]):
-            whole.update(xxhash.xxh64_intdigest(self.entries[a * self.entry_size : b * self.entry_size]).to_bytes(8, "little"))
-        if (whole.intdigest(), xxhash.xxh64_intdigest(self.metadata)) != self.hashes:
+        for h in hashes if hashes is not None else (h for a, b in self.groups() for h in self.entry_hashes(a, b)):
+            whole.update(h.to_bytes(8, "little"))
+        metadata = xxhash.xxh64()
+        for at in range(self.metadata_at, self.size - FOOTER, GROUP):
+            metadata.update(self.read(at, min(at + GROUP, self.size - FOOTER)))
+        if (whole.intdigest(), metadata.intdigest()) != self.hashes:
             raise errors.ChecksumFailed("entries or metadata are damaged")
 
 
-def open_bytes(spark: SparkSession, raw: bytes, verify: bool = False) -> Index:
-    """The index in a binary form; with verify, after its checksums."""
-    p = Parsed(raw)
+def _number(columns: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(columns), 8), np.uint8)
+    wide[:, : columns.shape[1]] = columns
+    return wide.view("<i8").ravel()
+
+
+def _entries_reader(path: str, at: int, fp_size: int, payload_size: int):
+    size = fp_size + payload_size
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                before = np.array(r["before"], np.int64)
+                raw = files.read_range(path, at + int(before[0]) * size, at + int(before[-1]) * size)
+                packed = np.frombuffer(raw, np.uint8).reshape(-1, size) if size else np.zeros((int(before[-1] - before[0]), 0), np.uint8)
+                ids = np.repeat(r["first"] + np.arange(len(before) - 1), np.diff(before))
+                yield pa.RecordBatch.from_arrays([pa.array(before[0] + np.arange(len(packed))), pa.array(ids), pa.array(_number(packed[:, :fp_size])), pa.array(_number(packed[:, fp_size:]))], ["rank", "block_id", "fp", "payload"])
+
+    return read
+
+
+def _directory_reader(path: str, at: int, decode: object):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                offset, before = r["offset"], r["before"]
+                raw = files.read_range(path, at + offset[0], at + offset[-1])
+                for k in range(len(before) - 1):
+                    found = decode(r["first"] + k, before[k + 1] - before[k], before[k], raw[offset[k] - offset[0] : offset[k + 1] - offset[0]])
+                    if found is not None:
+                        yield pa.RecordBatch.from_pydict(found)
+
+    return read
+
+
+def _buckets(block: int, keys: int, before: int, raw: bytes) -> dict:
+    d = decode_bijection_block(raw, keys)
+    k = len(d["size"])
+    return {"block_id": np.full(k, block), "bucket_id": d["bucket_id"].astype(np.int32), "bucket_start": d["start"].astype(np.int32), "bucket_size": d["size"].astype(np.int32), "seed0": d["seed0"], "seed1": d["seed1"], "first_rank": before + d["start"]}
+
+
+def _pilots(block: int, keys: int, before: int, raw: bytes) -> dict | None:
+    if not keys:
+        return None
+    pilots, _ = decode_pilot_block(raw, keys)
+    k = len(pilots)
+    return {"block_id": np.full(k, block), "bucket_id": np.arange(k, dtype=np.int32), "pilot": pilots.astype(np.int32), "keys_in_block": np.full(k, keys), "keys_before": np.full(k, before)}
+
+
+def _remap(block: int, keys: int, before: int, raw: bytes) -> dict | None:
+    if not keys:
+        return None
+    _, remap = decode_pilot_block(raw, keys)
+    return {"block_id": np.full(len(remap), block), "overflow_slot": keys + np.arange(len(remap)), "hole": remap}
+
+
+def open_file(spark: SparkSession, path: str, verify: bool = False) -> Index:
+    """The index in a file that all executors can read; with verify, after its checksums.
+
+    The driver reads the header and the block directory (ten bytes a block); entries and block metadata are read and decoded by tasks, a range of blocks each.
+    """
+    p = Parsed(path)
+    groups = p.groups()
+    ranges = spark.createDataFrame(
+        pa.table({"first": pa.array([a for a, _ in groups], pa.int64()), "before": pa.array([p.before[a : b + 1] for a, b in groups], pa.list_(pa.int64())), "offset": pa.array([p.offset[a : b + 1] for a, b in groups], pa.list_(pa.int64()))})
+    ).repartition(max(1, len(groups)))
     if verify:
-        p.verify()
-    n = np.diff(p.before)
-    blocks = spark.createDataFrame(pa.table({"block_id": np.arange(len(n)), "keys_in_block": n, "keys_before": p.before[:-1]}))
-    bodies = pa.table({"block_id": np.arange(len(n)), "keys_in_block": n, "keys_before": p.before[:-1], "metadata": [p.metadata[a:b] for a, b in zip(p.offset, p.offset[1:])]})
-    packed = np.frombuffer(p.entries, np.uint8).reshape(-1, p.entry_size) if p.entry_size else np.zeros((p.meta["total_keys"], 0), np.uint8)
-
-    def number(columns: np.ndarray) -> np.ndarray:
-        wide = np.zeros((len(columns), 8), np.uint8)
-        wide[:, : columns.shape[1]] = columns
-        return wide.view("<i8").ravel()
-
-    fp_size = p.meta["fp_size"]
-    entries = spark.createDataFrame(pa.table({"rank": np.arange(len(packed)), "block_id": np.repeat(np.arange(len(n)), n), "fp": number(packed[:, :fp_size]), "payload": number(packed[:, fp_size:])}))
-    df = spark.createDataFrame(bodies)
-    if p.meta["algorithm"] == "bijection":
 
-        def buckets(batches):
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Parsed(path)
             for batch in batches:
                 for r in batch.to_pylist():
-                    d = decode_bijection_block(r["metadata"], r["keys_in_block"])
-                    k = len(d["size"])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, r["block_id"])), pa.array(d["bucket_id"].astype(np.int32)), pa.array(d["start"].astype(np.int32)), pa.array(d["size"].astype(np.int32)), pa.array(d["seed0"]), pa.array(d["seed1"]), pa.array(r["keys_before"] + d["start"])],
-                        ["block_id", "bucket_id", "bucket_start", "bucket_size", "seed0", "seed1", "first_rank"],
-                    )
-
-        tables = {"buckets": df.mapInArrow(buckets, "block_id long, bucket_id int, bucket_start int, bucket_size int, seed0 long, seed1 long, first_rank long")}
-    else:
+                    found = own.entry_hashes(r["first"], r["first"] + len(r["before"]) - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(r["first"] + np.arange(len(found))), pa.array([x.to_bytes(8, "little") for x in found], pa.binary())], ["block_id", "hash"])
+
+        rows = ranges.mapInArrow(hashed, "block_id long, hash binary").orderBy("block_id")
+        p.verify(int.from_bytes(r.hash, "little") for r in rows.toLocalIterator())
+    blocks = spark.createDataFrame(pa.table({"block_id": np.arange(len(p.before) - 1), "keys_in_block": np.diff(p.before), "keys_before": p.before[:-1]}))
+    entries = ranges.mapInArrow(_entries_reader(path, p.entries_at, p.meta["fp_size"], p.meta["payload_size"]), "rank long, block_id long, fp long, payload long")
 
-        def decoded(kind: int):
-            def run(batches):
-                for batch in batches:
-                    for r in batch.to_pylist():
-                        if not r["keys_in_block"]:
-                            continue
-                        pilots, remap = decode_pilot_block(r["metadata"], r["keys_in_block"])
-                        if kind == 0:
-                            k = len(pilots)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, r["block_id"])), pa.array(np.arange(k, dtype=np.int32)), pa.array(pilots.astype(np.int32)), pa.array(np.full(k, r["keys_in_block"])), pa.array(np.full(k, r["keys_before"]))], ["block_id", "bucket_id", "pilot", "keys_in_block", "keys_before"])
-                        else:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(remap), r["block_id"])), pa.array(r["keys_in_block"] + np.arange(len(remap))), pa.array(remap)], ["block_id", "overflow_slot", "hole"])
-
-            return run
+    def decoded(decode: object, schema: str) -> DataFrame:
+        return ranges.mapInArrow(_directory_reader(path, p.metadata_at, decode), schema)
 
+    if p.meta["algorithm"] == "bijection":
+        tables = {"buckets": decoded(_buckets, "block_id long, bucket_id int, bucket_start int, bucket_size int, seed0 long, seed1 long, first_rank long")}
+    else:
         tables = {
-            "pilots": df.mapInArrow(decoded(0), "block_id long, bucket_id int, pilot int, keys_in_block long, keys_before long"),
-            "remap": df.mapInArrow(decoded(1), "block_id long, overflow_slot long, hole long"),
+            "pilots": decoded(_pilots, "block_id long, bucket_id int, pilot int, keys_in_block long, keys_before long"),
+            "remap": decoded(_remap, "block_id long, overflow_slot long, hole long"),
         }
     return Index(spark, p.meta, {"blocks": blocks, "entries": entries, **tables})
 
 
-def open_file(spark: SparkSession, path: str, verify: bool = False) -> Index:
-    with open(path, "rb") as f:
-        return open_bytes(spark, f.read(), verify)
+def open_bytes(spark: SparkSession, raw: bytes, verify: bool = False) -> Index:
+    """The index in a binary form, which is put in the shared folder for the executors."""
+    Parsed(raw)
+    path = f"{ensure_checkpoint_dir(spark).sparkContext.getCheckpointDir()}/binary-{uuid.uuid4().hex}.idx"
+    files.write_file(path, [raw])
+    return open_file(spark, path, verify)

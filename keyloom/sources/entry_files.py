@@ -8,10 +8,9 @@ Read as a Spark data source whose partitions are ranges of entries, so that one
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +21,34 @@ from pyspark.sql.types import StructType
 
 from keyloom import errors
 from keyloom.functions import hashing as h
+from keyloom.sources import files
 
 FORMAT = "keyloom_entries"
 ENTRY, KEY = 20, 16
 CHUNK = 1 << 20
+HEADERS_AT_ONCE = 32
 AT_ONCE = 1 << 16
 
 
 def file_count(path: str) -> int:
     """The entries of a file, from its first eight bytes and its size."""
-    with open(path, "rb") as f:
-        head = f.read(8)
+    head = files.read_range(path, 0, 8)
     if len(head) < 8:
         raise errors.TruncatedFile(path)
     (n,) = struct.unpack("<Q", head)
-    if os.path.getsize(path) < 8 + ENTRY * n:
+    if files.size_of(path) < 8 + ENTRY * n:
         raise errors.TruncatedFile(f"{path} has fewer than {n} entries")
     return n
 
 
+def file_counts(paths: list[str]) -> list[int]:
+    """The entries of each file; headers are read by many threads, since each is a wait."""
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        return list(pool.map(file_count, paths))
+
+
 def total_entries(paths: list[str]) -> int:
-    return sum(map(file_count, paths))
+    return sum(file_counts(paths))
 
 
 class EntryRange(InputPartition):
@@ -55,10 +61,11 @@ class EntryReader(DataSourceReader):
         self.paths, self.chunk = paths, chunk
 
     def partitions(self) -> list[EntryRange]:
-        return [EntryRange(p, s, min(self.chunk, n - s)) for p in self.paths for n in (file_count(p),) for s in range(0, n, self.chunk)]
+        return [EntryRange(p, s, min(self.chunk, n - s)) for p, n in zip(self.paths, file_counts(self.paths)) for s in range(0, n, self.chunk)]
 
     def read(self, partition: EntryRange) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
+        system, path = files.located(partition.path)
+        with system.open_input_file(path) as f:
             f.seek(8 + ENTRY * partition.first)
             left = partition.n
             while left > 0:
@@ -79,8 +86,7 @@ class EntrySource(DataSource):
         return "key binary, payload bigint"
 
     def reader(self, schema: StructType) -> EntryReader:
-        paths = sorted(p for part in self.options["path"].split(",") for p in glob.glob(part))
-        return EntryReader(paths, int(self.options.get("chunk", CHUNK)))
+        return EntryReader(files.matching(self.options["path"]), int(self.options.get("chunk", CHUNK)))
 
 
 def register(spark: SparkSession) -> None:
@@ -98,28 +104,25 @@ def synthetic(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     return ids.select(F.unhex(F.md5(F.encode(F.concat_ws(":", F.lit(seed), F.col("id")), "utf-8"))).alias("key"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 32)).alias("payload"))
 
 
-def write_entries(entries: DataFrame, folder: str, files: int, ordered: bool = False) -> DataFrame:
-    """Write (key, payload) as files in a shared folder, in key order across and within files if ordered; (path, entries) of each file."""
-    os.makedirs(folder, exist_ok=True)
+def write_entries(entries: DataFrame, folder: str, files_n: int, ordered: bool = False) -> DataFrame:
+    """Write (key, payload) as files in a shared folder, in key order across and within files if ordered; (path, entries) of each file.
+
+    A task holds its file's entries (20 bytes each), since their number stands first.
+    """
     spread = entries.select("key", "payload")
-    spread = spread.repartitionByRange(files, "key").sortWithinPartitions("key") if ordered else spread.repartition(files)
+    spread = spread.repartitionByRange(files_n, "key").sortWithinPartitions("key") if ordered else spread.repartition(files_n)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        k = TaskContext.get().partitionId()
-        path, n = f"{folder}/entries-{k:05d}.bin", 0
-        with open(f"{path}.{os.getpid()}", "wb") as f:
-            f.write(bytes(8))
-            for batch in batches:
-                raw = np.empty((batch.num_rows, ENTRY), np.uint8)
-                raw[:, :KEY] = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(-1, KEY)
-                raw[:, KEY:] = batch.column("payload").to_numpy().astype("<u4").view(np.uint8).reshape(-1, 4)
-                f.write(raw.tobytes())
-                n += batch.num_rows
-            f.seek(0)
-            f.write(struct.pack("<Q", n))
-        os.replace(f.name, path)
+        path, n, parts = f"{folder}/entries-{TaskContext.get().partitionId():05d}.bin", 0, []
+        for batch in batches:
+            raw = np.empty((batch.num_rows, ENTRY), np.uint8)
+            raw[:, :KEY] = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(-1, KEY)
+            raw[:, KEY:] = batch.column("payload").to_numpy().astype("<u4").view(np.uint8).reshape(-1, 4)
+            parts.append(raw.tobytes())
+            n += batch.num_rows
+        files.write_file(path, [struct.pack("<Q", n), *parts])
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n])], ["path", "entries"])
 
     return spread.mapInArrow(write, "path string, entries long")
