@@ -22,10 +22,10 @@ decode gives null for null ids; other columns are not read.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,7 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, RATE = 20240, 0.1
 WIDTH = 32
 AT_ONCE, RUN = 1 << 15, 1 << 18
-OFTEN, MAX_NODES = 8, 1 << 20
+OFTEN, MAX_NODES = 32, 1 << 20
+EDGES = (0, 3, 5, 7, 9, 11, 13, 16, 20, 25, WIDTH)
 MARK = "▁"
 _NONE = np.int64(1) << 40
 _loaded: dict[object, Vocabulary] = {}
@@ -76,6 +77,19 @@ class Vocabulary:
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
         self.pair_ids = np.array([i for _, i in pairs], np.int32)
         self.pairs = dict(pairs)
+        # the same in an open table for numpy: a pair lies at its hash or at one of the next few places
+        self.table_shift = 64 - max(4, (8 * len(pairs)).bit_length())
+        places = np.zeros(len(pairs), np.int64)
+        taken: set[int] = set()
+        for k, place in enumerate(self._places(self.pair_keys).tolist()):
+            while place in taken:
+                place += 1
+            taken.add(place)
+            places[k] = place
+        self.reach = int((places - self._places(self.pair_keys)).max(initial=0)) + 1
+        self.table_keys = np.full((1 << (64 - self.table_shift)) + self.reach, -1, np.int64)
+        self.table_ids = np.full(len(self.table_keys), -1, np.int32)
+        self.table_keys[places], self.table_ids[places] = self.pair_keys, self.pair_ids
         raw = [b""] * n
         for p, i in self.ids.items():
             raw[i] = p.replace(MARK, " ").encode()
@@ -85,12 +99,30 @@ class Vocabulary:
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.places = np.cumsum(self.sizes) - self.sizes
 
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(self.table_shift)).astype(np.int64)
+
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each two symbols make, or -1."""
         key = left.astype(np.int64) * self.n + right
-        i = np.searchsorted(self.pair_keys, key)
-        i[i == len(self.pair_keys)] = 0
-        return np.where((self.pair_keys[i] == key) & (left >= 0) & (right >= 0), self.pair_ids[i], -1)
+        key[(left < 0) | (right < 0)] = -2
+        place = self._places(key)
+        out = np.full(len(key), -1, np.int32)
+        todo = None
+        for _ in range(self.reach):
+            there = self.table_keys[place]
+            hit = there == key
+            if todo is None:
+                out[hit] = self.table_ids[place[hit]]
+                todo = np.flatnonzero(~hit & (there >= 0))
+            else:
+                out[todo[hit]] = self.table_ids[place[hit]]
+                todo = todo[~hit & (there >= 0)]
+            if not len(todo):
+                break
+            on = ~hit & (there >= 0)
+            key, place = key[on], place[on] + 1
+        return out
 
 
 def vocabulary(model: str | bytes) -> Vocabulary:
@@ -330,29 +362,48 @@ def _to_ids(vocab: Vocabulary, symbols: list[int] | tuple) -> bytes:
     return np.array(out, np.int32).tobytes()
 
 
-def encode_units(vocab: Vocabulary, units: list[str], key: int, rate: float, unit_keys: np.ndarray | None = None) -> list[bytes]:
-    """The ids of each pre-token (blanks, then other characters), as bytes of int32; unit_keys: those of its occurrence, by default of the pre-token."""
-    out: list[bytes] = [b""] * len(units)
-    lengths = np.array([len(u) for u in units], np.int64)
-    if unit_keys is None:
-        unit_keys = np.array([xxhash.xxh64_intdigest(u.encode(), key) for u in units], U64)
-    for i in np.flatnonzero(lengths > WIDTH):
-        out[i] = _to_ids(vocab, agenda(vocab, units[i], int(unit_keys[i]), rate))
-    edges = (0, 6, 10, 16, WIDTH)
-    for low, high in zip(edges, edges[1:]):
+def rows_of_ids(vocab: Vocabulary, units: list[str], lengths: np.ndarray, unit_keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, place, size): the ids of pre-tokens (blanks, then other characters), each of them size[i] from place[i] on."""
+    place, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+    parts: list[np.ndarray] = []
+    total = 0
+
+    def add(at: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        nonlocal total
+        place[at], size[at] = total + np.cumsum(n) - n, n
+        parts.append(ids.astype(np.int32, copy=False))
+        total += len(ids)
+
+    def apart(at: np.ndarray, symbols: list[list[int]]) -> None:
+        coded = [np.frombuffer(_to_ids(vocab, s), np.int32) for s in symbols]
+        if coded:
+            add(at, np.concatenate(coded), np.array([len(c) for c in coded], np.int64))
+
+    long = np.flatnonzero(lengths > WIDTH)
+    apart(long, [agenda(vocab, units[i], int(unit_keys[i]), rate) for i in long])
+    for low, high in zip(EDGES, EDGES[1:]):
         group = np.flatnonzero((lengths > low) & (lengths <= high))
         for s in range(0, len(group), AT_ONCE):
             at = group[s : s + AT_ONCE]
-            own = [units[i] for i in at]
-            points = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).astype(np.int64)
+            points = np.frombuffer("".join([units[i] for i in at.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
             symbols, n = _side_by_side(vocab, points, lengths[at], unit_keys[at], rate)
-            cuts = np.concatenate(([0], np.cumsum(n)))
-            raw = symbols.astype(np.int32).tobytes()
             foreign = np.zeros(len(at), bool)
-            foreign[np.repeat(np.arange(len(at)), n)[symbols < 0]] = True
-            for k, i in enumerate(at):
-                out[i] = raw[4 * cuts[k] : 4 * cuts[k + 1]] if not foreign[k] else _to_ids(vocab, symbols[cuts[k] : cuts[k + 1]].tolist())
-    return out
+            if (symbols < 0).any():
+                # characters outside the vocabulary become bytes
+                of = np.repeat(np.arange(len(at)), n)
+                foreign[of[symbols < 0]] = True
+                cuts = np.concatenate(([0], np.cumsum(n)))
+                apart(at[foreign], [symbols[cuts[k] : cuts[k + 1]].tolist() for k in np.flatnonzero(foreign).tolist()])
+                symbols, n = symbols[~foreign[of]], n[~foreign]
+            add(at[~foreign], symbols, n)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32), place, size
+
+
+def encode_units(vocab: Vocabulary, units: list[str], key: int, rate: float) -> list[bytes]:
+    """The ids of each pre-token, as bytes of int32, under a key of the pre-token alone."""
+    unit_keys = np.array([xxhash.xxh64_intdigest(u.encode(), key) for u in units], U64)
+    ids, place, size = rows_of_ids(vocab, units, np.array([len(u) for u in units], np.int64), unit_keys, rate)
+    return [ids[a : a + n].tobytes() for a, n in zip(place.tolist(), size.tolist())]
 
 
 class Encoder:
@@ -361,43 +412,44 @@ class Encoder:
     def __init__(self, vocab: Vocabulary, key: int, rate: float) -> None:
         self.vocab, self.key, self.rate = vocab, key, rate
         self.trees = Trees(vocab, rate) if rate > 0 else None
-        self.met: Counter = Counter()
+        self.met: dict[str, int] = {}
+
+    def _root(self, unit: str, times: int) -> int:
+        """The root of a pre-token's tree, or -1 while it hasn't been met often."""
+        root = self.trees.roots.get(unit)
+        if root is not None:
+            return root
+        met = self.met.get(unit, 0) + times
+        if met >= OFTEN and len(unit) <= WIDTH // 2:
+            self.met.pop(unit, None)
+            return self.trees.root(unit)
+        self.met[unit] = met
+        return -1
 
     def encode(self, words: list[str], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of pre-tokens (without their first blanks) one after the other, and how many each has; places: a key of each one's own."""
-        index: dict[str, int] = {}
-        code = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-        units = [" " + w for w in index]
+        code, distinct = pd.factorize(np.array([*words, None], object)[:-1])
+        units = [" " + w for w in distinct]
+        lengths = np.array(list(map(len, units)), np.int64)
         if self.trees is None:
             # occurrences don't differ
-            coded = encode_units(self.vocab, units, self.key, 0.0)
-            size = np.array([len(c) // 4 for c in coded], np.int64)
-            return gathered(np.frombuffer(b"".join(coded), np.int32), (np.cumsum(size) - size)[code], size[code])
-        keys = mix64(np.array([xxhash.xxh64_intdigest(u.encode(), self.key) for u in units], U64)[code] ^ places)
+            ids, place, size = rows_of_ids(self.vocab, units, lengths, np.zeros(len(units), U64), 0.0)
+            return gathered(ids, place[code], size[code])
+        keys = mix64(np.array([xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), self.key) for u in units], U64)[code] ^ places)
         if len(self.met) > MAX_NODES:
             self.met.clear()
         if self.trees.n > MAX_NODES:
             self.trees.clear()
-        roots, times = np.full(len(units), -1, np.int64), np.bincount(code, minlength=len(units)).tolist()
-        for i, unit in enumerate(units):
-            if unit in self.trees.roots:
-                roots[i] = self.trees.roots[unit]
-            elif len(unit) <= WIDTH // 2:
-                self.met[unit] += times[i]
-                if self.met[unit] >= OFTEN:
-                    roots[i] = self.trees.root(unit)
-                    del self.met[unit]
-        root = roots[code]
+        root = np.array(list(map(self._root, units, np.bincount(code, minlength=len(units)).tolist())), np.int64)[code]
         place, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         grown = np.flatnonzero(root >= 0)
         leaf = self.trees.leaves(root[grown], keys[grown])
         place[grown], size[grown] = self.trees.place[leaf], self.trees.size[leaf]
         rare = np.flatnonzero(root < 0)
-        coded = encode_units(self.vocab, [units[c] for c in code[rare].tolist()], self.key, self.rate, keys[rare])
-        size[rare] = [len(c) // 4 for c in coded]
+        ids, own, size[rare] = rows_of_ids(self.vocab, list(map(units.__getitem__, code[rare].tolist())), lengths[code[rare]], keys[rare], self.rate)
         pool = self.trees.all_ids()
-        place[rare] = len(pool) + np.cumsum(size[rare]) - size[rare]
-        return gathered(np.concatenate((pool, np.frombuffer(b"".join(coded), np.int32))), place, size)
+        place[rare] = len(pool) + own
+        return gathered(np.concatenate((pool, ids)), place, size)
 
 
 def gathered(pool: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
