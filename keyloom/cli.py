@@ -10,8 +10,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators.build import ALGORITHMS, build
+from keyloom.plans import routing
 from keyloom.session import ensure_importable
-from keyloom.sources import entry_files
+from keyloom.sources import entry_files, files
 
 
 def _timed(index_of, probe, n: int, queries: int) -> dict:
@@ -37,6 +38,7 @@ def main(args: list[str] | None = None) -> None:
         p.add_argument("--queries", type=int, default=100_000)
         p.add_argument("--files", type=int, default=8)
         p.add_argument("--sorted", action="store_true")
+        p.add_argument("--workers", type=int)
         if name != "bench":
             p.add_argument("--dir", required=True)
     a = parser.parse_args(args)
@@ -45,10 +47,16 @@ def main(args: list[str] | None = None) -> None:
         made = entry_files.write_entries(entry_files.synthetic(spark, a.keys), a.dir, a.files, a.sorted)
         print(json.dumps({"entries": made.agg(F.sum("entries")).first()[0]}))
         return
-    keys = entry_files.synthetic(spark, a.keys) if a.command == "bench" else entry_files.read_entries(spark, f"{a.dir}/*.bin")
+    if a.command == "bench":
+        keys = entry_files.synthetic(spark, a.keys)
+    elif a.sorted:
+        # each file is a stream of its own, and the streams are merged
+        keys = routing.merged(*[entry_files.read_entries(spark, path) for path in files.matching(f"{a.dir}/*.bin")])
+    else:
+        keys = entry_files.read_entries(spark, f"{a.dir}/*.bin")
     probe = keys.select("key").limit(a.queries)
     n = a.keys if a.command == "bench" else keys.count()
-    print(json.dumps(_timed(lambda: build(keys, payload="payload", payload_size=a.payload, fingerprint_size=a.fingerprint, algorithm=a.algorithm), probe, n, min(n, a.queries))))
+    print(json.dumps(_timed(lambda: build(keys, payload="payload", payload_size=a.payload, fingerprint_size=a.fingerprint, algorithm=a.algorithm, workers=a.workers), probe, n, min(n, a.queries))))
 
 
 if __name__ == "__main__":

@@ -73,9 +73,13 @@ class Builder:
         # only the first 16 bytes tell keys apart
         return bytes(key[:16]), signed(payload) if self.payload_size else 0
 
+    def _part(self) -> str:
+        """A folder of its own for each write, since writers don't wait for each other."""
+        return f"{self.path}/{uuid.uuid4().hex}"
+
     def _write(self, rows: list[tuple[bytes, int]]) -> None:
         table = pa.table({"key": pa.array([k for k, _ in rows], pa.binary()), "payload": pa.array([p for _, p in rows], pa.int64())})
-        self.spark.createDataFrame(table).write.mode("append").parquet(self.path)
+        self.spark.createDataFrame(table).coalesce(1).write.parquet(self._part())
         with self.lock:
             self.added += len(rows)
 
@@ -98,7 +102,7 @@ class Builder:
         if self.blocks:
             raise errors.UnsortedInput("the rows of a DataFrame have no order")
         raw = F.col(key) if dict(df.dtypes)[key] == "binary" else F.encode(F.col(key), "utf-8")
-        df.select(raw.alias("key"), (F.col(payload).cast("long") if payload else F.lit(0).cast("long")).alias("payload")).write.mode("append").parquet(self.path)
+        df.select(raw.alias("key"), (F.col(payload).cast("long") if payload else F.lit(0).cast("long")).alias("payload")).write.parquet(self._part())
 
     def add_keys(self, writers: int, write: Callable[[int, Callable[..., None]], None]) -> Index:
         """Run write(number, add) for each of some writers side by side, each with an add(key, payload=0) of its own, and finish."""
@@ -143,7 +147,7 @@ class Builder:
                 if self.total_keys:
                     raise errors.KeyCountMismatch(f"{self.total_keys} keys were declared, none came")
                 raise errors.EmptyIndex("an index needs a key")
-            keys = self.spark.read.schema("key binary, payload long").parquet(self.path)
+            keys = self.spark.read.schema("key binary, payload long").option("recursiveFileLookup", "true").parquet(self.path)
             return build(keys, payload="payload" if self.payload_size else None, total_keys=self.total_keys, **self.options)
         except errors.KeyloomError:
             raise

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import geometry as g
 from keyloom.functions import hashing as h
 from keyloom.functions.model import FINGERPRINT_FACTOR, pilot_hash
-from keyloom.operators import bijection
-from keyloom.operators.build import build
-from keyloom.operators.index import open_index
+from keyloom import errors
+from keyloom.operators import bijection, ptrhash
+from keyloom.operators.build import algorithm_of, build
+from keyloom.operators.builder import Builder
+from keyloom.operators.index import get_stats, open_index, open_payload
 from keyloom.plans import routing, validate
 from keyloom.session import ensure_checkpoint_dir, table
-from keyloom.sources import codec, entry_files
+from keyloom.sources import codec, entry_files, files
 from keyloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,14 +346,14 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return tempfile.mkdtemp(dir=ensure_checkpoint_dir(spark).sparkContext.getCheckpointDir().removeprefix("file:"))
+    return f"{ensure_checkpoint_dir(spark).sparkContext.getCheckpointDir()}/query-{uuid.uuid4().hex}"
 
 
 @query("SELECT 'verified' AS status, count(*) AS n FROM orders")
 def verify_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{_folder(spark)}/index"
-    build(_orders(spark, sf_dir), payload="payload", payload_size=4, fingerprint_size=2).save(f"file://{path}")
-    index = open_index(spark, f"file://{path}")
+    build(_orders(spark, sf_dir), payload="payload", payload_size=4, fingerprint_size=2).save(path)
+    index = open_index(spark, path)
     index.verify()
     return index.tables["entries"].agg(F.lit("verified").alias("status"), F.count(F.lit(1)).alias("n"))
 
@@ -389,16 +392,16 @@ def streaming_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     found = ingest.probe(events.select("event_id", h.key_bytes("user_id").alias("key")), index, payload=True)
     folder = _folder(spark)
-    ingest.stage(found.select("event_id", "payload", "status"), f"file://{folder}/out", f"file://{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"file://{folder}/out")
+    ingest.stage(found.select("event_id", "payload", "status"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_ranks FROM orders")
 def streaming_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.readStream.schema(table(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders.parquet*")
     folder = _folder(spark)
-    ingest.stage(orders.select(h.key_bytes("o_orderkey").alias("key")), f"file://{folder}/staging", f"file://{folder}/checkpoint").awaitTermination()
-    index = ingest.finish(spark, f"file://{folder}/staging", total_keys=table(spark, sf_dir, "orders").count(), algorithm="ptrhash")
+    ingest.stage(orders.select(h.key_bytes("o_orderkey").alias("key")), f"{folder}/staging", f"{folder}/checkpoint").awaitTermination()
+    index = ingest.finish(spark, f"{folder}/staging", total_keys=table(spark, sf_dir, "orders").count(), algorithm="ptrhash")
     return index.lookup(_orders(spark, sf_dir)).agg(F.count("rank").alias("n"), F.count_distinct("rank").alias("n_ranks"))
 
 
@@ -410,3 +413,283 @@ def entry_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = entry_files.read_entries(spark, f"{folder}/*.bin", chunk=500)
     index = build(entries, payload="payload", payload_size=1, fingerprint_size=1)
     return index.query_payload(entries.select("key")).agg(F.count("rank").alias("n"), F.count_distinct("rank").alias("n_ranks"), F.sum("payload").alias("payloads"))
+
+
+# statuses: what each fault raises, as rows
+
+
+def _raised(run: Callable[[], object]) -> str:
+    try:
+        run()
+    except errors.KeyloomError as e:
+        return type(e).__name__
+    return "OK"
+
+
+def _statuses(name: str, expected: dict[str, str]) -> Callable[[Callable[[SparkSession, str], dict[str, Callable[[], object]]]], None]:
+    """A query of (fault, status), one row for each of the actions that a function gives; its SQL holds the statuses that must come."""
+    values = ", ".join(f"('{k}', '{v}')" for k, v in expected.items())
+
+    def register(f: Callable[[SparkSession, str], dict[str, Callable[[], object]]]) -> None:
+        @query(f"SELECT * FROM (VALUES {values}) t(fault, status)", name)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return spark.createDataFrame([(k, _raised(action)) for k, action in f(spark, sf_dir).items()], "fault string, status string")
+
+    return register
+
+
+@_statuses("option_statuses", {"no keys": "EmptyIndex", "2^40 keys": "OK", "one key more": "TooManyKeys", "payload 8": "OK", "payload 9": "PayloadTooLarge", "fingerprint 4": "OK", "fingerprint 5": "FingerprintTooLarge", "bijection": "OK", "ptrhash": "OK", "other": "UnknownAlgorithm"})
+def _options(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], object]]:
+    check = validate.check_options
+    return {
+        "no keys": lambda: check(0, 0, 0),
+        "2^40 keys": lambda: check(g.MAX_KEYS, 0, 0),
+        "one key more": lambda: check(g.MAX_KEYS + 1, 0, 0),
+        "payload 8": lambda: check(1, 8, 0),
+        "payload 9": lambda: check(1, 9, 0),
+        "fingerprint 4": lambda: check(1, 0, 4),
+        "fingerprint 5": lambda: check(1, 0, 5),
+        **{name: (lambda name=name: algorithm_of(name)) for name in ("bijection", "ptrhash", "other")},
+    }
+
+
+@_statuses(
+    "build_statuses",
+    {"empty": "EmptyIndex", "one short": "KeyTooShort", "one null": "KeyTooShort", "one overflows": "PayloadOverflow", "one twice": "DuplicateKey", "one fewer than declared": "KeyCountMismatch", "as declared": "OK", "not spread": "BlockOverflow", "out of order": "UnsortedInput", "in order": "OK", "ptrhash, one twice": "DuplicateKey"},
+)
+def _builds(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], object]]:
+    suppliers = table(spark, sf_dir, "supplier").select(h.key_bytes("s_suppkey").alias("key"), F.col("s_suppkey").alias("id"))
+    n = suppliers.count()
+    first = F.col("id") == suppliers.agg(F.min("id")).first()[0]
+    ascii_keys = table(spark, sf_dir, "orders").select(F.encode(F.lpad(F.col("o_orderkey").cast("string"), 16, "0"), "utf-8").alias("key"))
+    parts = table(spark, sf_dir, "orders").select(h.key_bytes("o_orderkey").alias("key"), F.col("o_orderkey").alias("id"))
+    return {
+        "empty": lambda: build(suppliers.limit(0)),
+        "one short": lambda: build(suppliers.withColumn("key", F.when(first, F.substring("key", 1, 15)).otherwise(F.col("key")))),
+        "one null": lambda: build(suppliers.withColumn("key", F.when(~first, F.col("key")))),
+        "one overflows": lambda: build(suppliers.withColumn("id", F.when(first, 65536).otherwise(1)), payload="id", payload_size=2),
+        "one twice": lambda: build(suppliers.unionByName(suppliers.where(first))),
+        "one fewer than declared": lambda: build(suppliers, total_keys=n + 1),
+        "as declared": lambda: build(suppliers, total_keys=n),
+        "not spread": lambda: build(ascii_keys),
+        "out of order": lambda: build(parts, sorted_by="id"),
+        "in order": lambda: build(parts.withColumn("id", F.hex("key")), sorted_by="id"),
+        "ptrhash, one twice": lambda: build(suppliers.unionByName(suppliers.where(first)), algorithm="ptrhash"),
+    }
+
+
+@_statuses(
+    "file_statuses",
+    {"whole": "OK", "magic": "InvalidMagic", "version": "InvalidVersion", "header cut": "TruncatedFile", "below 304 bytes": "TruncatedFile", "payload size": "CorruptedIndex", "no blocks": "CorruptedIndex", "algorithm": "UnknownAlgorithm", "footer cut": "CorruptedIndex", "directory": "CorruptedIndex", "entry": "ChecksumFailed", "metadata": "ChecksumFailed", "footer": "ChecksumFailed"},
+)
+def _files(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], object]]:
+    customers = table(spark, sf_dir, "customer").select(h.key_bytes("c_custkey").alias("key"), F.col("c_nationkey").alias("payload"))
+    path = f"{_folder(spark)}/index.bin"
+    codec.export_file(build(customers, payload="payload", payload_size=2, fingerprint_size=1), path)
+    raw = files.read_range(path, 0, files.size_of(path))
+    whole = codec.Parsed(raw)
+
+    def put(at: int, new: bytes) -> bytes:
+        return raw[:at] + new + raw[at + len(new) :]
+
+    def flipped(at: int) -> bytes:
+        return put(at, bytes([raw[at] ^ 1]))
+
+    changed = {
+        "whole": raw,
+        "magic": flipped(0),
+        "version": flipped(4),
+        "header cut": raw[:40],
+        "below 304 bytes": raw[:300],
+        "payload size": put(22, b"\x20\0\0\0"),
+        "no blocks": put(14, bytes(4)),
+        "algorithm": put(35, b"\7"),
+        "footer cut": raw[:-9],
+        "directory": put(whole.entries_at - 10, b"\xff" * 5),
+        "entry": flipped(whole.entries_at + 5),
+        "metadata": flipped(whole.metadata_at + 5),
+        "footer": flipped(len(raw) - 30),
+    }
+    return {name: (lambda data=data: codec.Parsed(data).verify()) for name, data in changed.items()}
+
+
+@_statuses("block_statuses", {"short metadata": "CorruptedIndex", "counts": "CorruptedIndex", "list mark": "CorruptedIndex", "remap length": "CorruptedIndex", "whole": "OK", "empty block": "OK", "empty pilot block": "OK"})
+def _blocks_of_a_file(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], object]]:
+    keys = np.random.default_rng(1).integers(0, 1 << 62, (2, 3000)).astype(np.uint64)
+    buckets, _, _ = bijection.solve(keys[0], keys[1], SEED)
+    raw = codec.encode_bijection_block(buckets["bucket_id"], buckets["size"], buckets["seed0"], buckets["seed1"])
+    pilots = codec.encode_pilot_block(np.zeros(g.PILOT_BUCKETS), np.zeros(3))
+    none = codec.encode_bijection_block(*[np.zeros(0, np.int64)] * 4)
+    return {
+        "short metadata": lambda: codec.decode_bijection_block(raw[:40], 3000),
+        "counts": lambda: codec.decode_bijection_block(raw, 2999),
+        "list mark": lambda: codec.decode_bijection_block(raw[:-1] + bytes([raw[-1] ^ 1]), 3000),
+        "remap length": lambda: codec.decode_pilot_block(pilots, 31_000),
+        "whole": lambda: codec.decode_bijection_block(raw, 3000),
+        "empty block": lambda: codec.decode_bijection_block(none, 0),
+        "empty pilot block": lambda: codec.decode_pilot_block(codec.encode_pilot_block(np.zeros(g.PILOT_BUCKETS), np.zeros(0)), 0),
+    }
+
+
+@_statuses("handle_statuses", {"open": "OK", "payload of none": "NoPayload", "never saved": "CorruptedIndex", "closed": "IndexClosed", "closed twice": "OK", "nothing there": "TruncatedFile", "key of another": "NotFound", "short key": "KeyTooShort", "builder used again": "BuilderClosed", "two ways of adding": "MixedWriters", "blocks go back": "UnsortedInput", "cancelled": "Cancelled"})
+def _handles(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], object]]:
+    suppliers = table(spark, sf_dir, "supplier").select(h.key_bytes("s_suppkey").alias("key"))
+    index, closed = build(suppliers, fingerprint_size=4), build(suppliers)
+    closed.close()
+
+    def used_again() -> None:
+        with Builder(spark) as b:
+            b.add_key(bytes(16))
+            b.finish()
+            b.add_key(bytes(17))
+
+    def mixed() -> None:
+        with Builder(spark) as b:
+            b.add_key(bytes(16))
+            b.add_keys(2, lambda number, add: None)
+
+    def back() -> None:
+        with Builder(spark, 5000, ordered=True) as b:
+            b.add_key(b"\xff" * 16)
+            b.add_key(bytes(16))
+
+    def cancelled() -> None:
+        with Builder(spark) as b:
+            b.add_key(bytes(16))
+            b.cancel()
+            b.finish()
+
+    return {
+        "open": lambda: index.lookup(suppliers).count(),
+        "payload of none": lambda: index.query_payload(suppliers),
+        "never saved": index.verify,
+        "closed": lambda: closed.lookup(suppliers),
+        "closed twice": closed.close,
+        "nothing there": lambda: open_index(spark, _folder(spark)),
+        "key of another": lambda: index.rank_of(b"not a supplier's key"),
+        "short key": lambda: index.rank_of(b"short"),
+        "builder used again": used_again,
+        "two ways of adding": mixed,
+        "blocks go back": back,
+        "cancelled": cancelled,
+    }
+
+
+# builders, single keys, empty places
+
+
+@query("SELECT s_suppkey, s_nationkey::BIGINT AS payload FROM supplier")
+def builder_add_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", h.key_bytes("s_suppkey").alias("key"), F.col("s_nationkey").alias("payload"))
+    rows = suppliers.collect()  # keys that a caller holds
+
+    def write(number: int, add: Callable[..., None]) -> None:
+        for r in rows[number::3]:
+            add(bytes(r.key), r.payload)
+
+    index = Builder(spark, len(rows), payload_size=1, fingerprint_size=2).add_keys(3, write)
+    return index.query_payload(suppliers.select("s_suppkey", "key")).where("status = 'OK'").select("s_suppkey", "payload")
+
+
+@query("SELECT s_suppkey, s_nationkey::BIGINT AS payload FROM supplier WHERE s_suppkey <= 50 UNION ALL SELECT -1 - s_suppkey, NULL FROM supplier WHERE s_suppkey <= 50")
+def single_key_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", h.key_bytes("s_suppkey").alias("key"), h.key_bytes(-1 - F.col("s_suppkey")).alias("other"), F.col("s_nationkey").alias("payload"))
+    with Builder(spark, payload_size=1, fingerprint_size=4) as b:
+        b.add_frame(suppliers, payload="payload")
+        index = b.finish()
+
+    def one(key: bytes) -> int | None:
+        try:
+            return index.payload_of(key)
+        except errors.NotFound:
+            return None
+
+    asked = suppliers.where("s_suppkey <= 50").collect()
+    return spark.createDataFrame([(r.s_suppkey, one(bytes(r.key))) for r in asked] + [(-1 - r.s_suppkey, one(bytes(r.other))) for r in asked], "s_suppkey long, payload long")
+
+
+_NATION_BLOCK = f"{_range(PREFIX, _bijection_blocks('nation'))}::BIGINT"
+
+
+@query(
+    f"SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.block = c.block AND n.bucket = c.bucket) THEN 'OK' ELSE 'NOT_FOUND' END AS status FROM (SELECT c_custkey, {_NATION_BLOCK} AS block, {BUCKET_SQL} AS bucket FROM {_keyed('c_custkey', 'customer')}) c".replace(
+        "SELECT c_custkey, CASE", f"WITH n AS (SELECT {_NATION_BLOCK} AS block, {BUCKET_SQL} AS bucket FROM {_keyed('n_nationkey', 'nation')}) SELECT c_custkey, CASE", 1
+    )
+)
+def empty_bucket_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(h.key_bytes("n_nationkey").alias("key"))
+    return build(nations).lookup(table(spark, sf_dir, "customer").select("c_custkey", h.key_bytes("c_custkey").alias("key"))).select("c_custkey", "status")
+
+
+@query(f"SELECT c_custkey, CASE WHEN block = (SELECT {_range(PREFIX, 2)}::BIGINT FROM {_keyed('n_nationkey', 'nation')} WHERE n_nationkey = 0) THEN 'OK' ELSE 'NOT_FOUND' END AS status FROM (SELECT c_custkey, {_range(PREFIX, 2)}::BIGINT AS block FROM {_keyed('c_custkey', 'customer')})")
+def empty_block_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = table(spark, sf_dir, "nation").where("n_nationkey = 0").select(h.key_bytes("n_nationkey").alias("key"))
+    return build(one, algorithm="ptrhash").lookup(table(spark, sf_dir, "customer").select("c_custkey", h.key_bytes("c_custkey").alias("key"))).select("c_custkey", "status")
+
+
+_CUBIC = f"SELECT {_range('(cubed // 256) * 255::UHUGEINT + x // 256', g.PILOT_BUCKETS)}::BIGINT AS bucket_id, count(*) AS n FROM (SELECT *, (squared * (x // 2 + 9223372036854775808::UHUGEINT)) >> 64 AS cubed FROM (SELECT *, (x * x) >> 64 AS squared FROM (SELECT {K1} AS x FROM {_keyed('c_custkey', 'customer')}))) GROUP BY ALL"
+
+
+@query(f"SELECT bucket_id, n, row_number() OVER (ORDER BY n DESC, bucket_id) AS turn FROM ({_CUBIC})")
+def bucket_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a block's pilots are searched: one block's buckets, at most 10,000 rows."""
+    let = h.Let(table(spark, sf_dir, "customer").select("c_custkey"))
+    buckets = let.result(bucket_id=h.cubic_bucket(let, h.k1(h.key_bytes("c_custkey")), g.PILOT_BUCKETS)).groupBy("bucket_id").agg(F.count(F.lit(1)).alias("n"))
+    return buckets.withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "bucket_id")))
+
+
+@query("SELECT 3 AS files, count(*)::BIGINT AS entries, count(DISTINCT p_partkey) AS keys FROM part")
+def header_count_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(h.key_bytes("p_partkey").alias("key"), F.col("p_size").cast("long").alias("payload"))
+    folder = _folder(spark)
+    paths = [r.path for r in entry_files.write_entries(parts, folder, 3).collect()]
+    counted = entry_files.total_entries(paths)
+    return entry_files.read_entries(spark, f"{folder}/*.bin").agg(F.lit(len(paths)).alias("files"), F.lit(counted).cast("long").alias("entries"), F.count_distinct("key").alias("keys"))
+
+
+@query("SELECT 5000 AS n, 5000 AS n_keys, 16 AS shortest, true AS payloads_fit")
+def synthetic_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = entry_files.synthetic(spark, 5000)
+    return made.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"), F.min(F.octet_length("key")).alias("shortest"), F.min(F.col("payload").between(0, (1 << 32) - 1)).alias("payloads_fit"))
+
+
+@query("SELECT o_orderkey, o_custkey AS payload FROM orders")
+def open_payload_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark)}/index"
+    build(_orders(spark, sf_dir), payload="payload", payload_size=4, algorithm="ptrhash").save(path)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", h.key_bytes("o_orderkey").alias("key"))
+    return open_payload(spark, path).query_payload(orders).select("o_orderkey", "payload")
+
+
+@query(f"SELECT count(*) AS num_keys, {_bijection_blocks('orders')} AS num_blocks, 4 AS payload_size, 2 AS fingerprint_size, true AS as_before FROM orders")
+def stored_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark)}/index"
+    index = build(_orders(spark, sf_dir), payload="payload", payload_size=4, fingerprint_size=2)
+    bits = index.stats().first().bits_per_key
+    index.save(path)
+    return get_stats(spark, path).select("num_keys", "num_blocks", "payload_size", "fingerprint_size", (F.col("bits_per_key") == bits).alias("as_before"))
+
+
+@query("SELECT * FROM (VALUES (0, 0, true), (0, 4, true), (3, 2, true), (8, 0, true)) t(payload_size, fp_size, within_bounds)")
+def bits_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for payload, fp in ((0, 0), (0, 4), (3, 2), (8, 0)):
+        stats = build(_orders(spark, sf_dir), payload="payload", payload_size=payload, fingerprint_size=fp).stats().first()
+        rows.append((payload, fp, 8 * (payload + fp) + 2 <= stats.bits_per_key <= 8 * (payload + fp) + 6))
+    return spark.createDataFrame(rows, "payload_size int, fp_size int, within_bounds boolean")
+
+
+@query("SELECT 'SPLIT_FAILED' AS search, true AS failed UNION ALL SELECT 'DUPLICATE_KEY', true UNION ALL SELECT 'INDISTINGUISHABLE', true UNION ALL SELECT 'none', false")
+def search_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the block solvers report of keys that no seed or pilot can part."""
+    same = np.full(9, 7, np.uint64)
+    spread = np.random.default_rng(2).integers(0, 1 << 62, (2, 40)).astype(np.uint64)
+    twins = np.array([5, 6], np.uint64)
+    found = [
+        ("SPLIT_FAILED", bijection.solve(same, same, SEED)[2]),
+        ("DUPLICATE_KEY", bijection.solve(same[:3], same[:3], SEED)[2]),
+        # different keys whose halves' exclusive or, which places them, is one
+        ("INDISTINGUISHABLE", ptrhash.solve(twins ^ np.uint64(9), np.array([5, 6], np.uint64) ^ np.uint64(1), 0, SEED, 1)[3]),
+        ("none", ptrhash.solve(spread[0], spread[1], 0, SEED)[3]),
+    ]
+    return spark.createDataFrame([(name, error is not None) for name, error in found], "search string, failed boolean")
