@@ -4,7 +4,7 @@ A document's fingerprint has 256 bits: the sign, bit by bit, of the sum of the h
 Two documents are near duplicates if their fingerprints differ in at most MAX_DISTANCE bits; a group is a connected component.
 
 Search.  A metric tree prunes nothing at such a radius over all bits (every distance to a vantage point lies within the radius of the median), so that the
-trees stand on BANDS slices of BAND_BITS bits each, with radius BAND_RADIUS, and every pair found is decided by its exact
+trees stand on BANDS slices of BAND_BITS bits each (out of three orders of all 256), with radius BAND_RADIUS, and every pair found is decided by its exact
 distance over all 256 bits.  In a slice the distances to a vantage point split fingerprints at their median; the
 triangle inequality leaves a query only the sides that its ball meets.  The first levels of each tree are laid out on the
 driver from one fingerprint in SAMPLE_SHARE and make the shards: a fingerprint lives in one shard and is sent, as a query, to every
@@ -41,14 +41,17 @@ from keyloom.session import checkpoint
 
 LANES = 4
 MAX_DISTANCE = 36
-BANDS, BAND_BITS, BAND_RADIUS = 10, 24, 1
-SHARD_POINTS = 16384
+BANDS, BAND_BITS, BAND_RADIUS = 28, 32, 1
+SHARD_POINTS = 65536
 SAMPLE_SHARE = 1 << 12
 LEAF = 16
 PAIRS_AT_ONCE = 1 << 21
 _LANE_KEYS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], U64)
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], U64)
 _NAMES = [f"f{i}" for i in range(LANES)]
+# the bits of each slice: those of several orders of all bits, one after the other
+_ORDERS = -(-BANDS * BAND_BITS // (64 * LANES))
+_SLICES = np.concatenate([np.argsort(mix64(np.arange(64 * LANES, dtype=U64) + (U64(k + 1) << U64(32)))) for k in range(_ORDERS)])[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
 
 
 # fingerprints
@@ -118,11 +121,15 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 
 def band_values(fp: np.ndarray, band: int) -> np.ndarray:
     """BAND_BITS bits of each fingerprint."""
-    lane, shift = divmod(band * BAND_BITS, 64)
-    v = fp[:, lane] >> U64(shift)
-    if shift + BAND_BITS > 64:
-        v = v | (fp[:, lane + 1] << U64(64 - shift))
-    return (v & U64((1 << BAND_BITS) - 1)).astype(np.uint32)
+    return all_bands(fp, slice(band, band + 1))[0]
+
+
+def all_bands(fp: np.ndarray, wanted: slice = slice(None)) -> np.ndarray:
+    """The (slices, n) values of fingerprints."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), 8 * LANES), axis=1, bitorder="little")
+    own = _SLICES[wanted]
+    chosen = np.packbits(np.ascontiguousarray(bits[:, own.ravel()]).reshape(len(fp) * len(own), BAND_BITS), axis=1)
+    return np.ascontiguousarray(chosen).view(np.uint32).reshape(len(fp), len(own)).T.copy()
 
 
 class Tree:
@@ -214,8 +221,7 @@ def _router(trees: list[Tree]):
             ids = batch.column("point").to_numpy()
             fp = np.stack([batch.column(n).to_numpy() for n in _NAMES], axis=1).view(U64)
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for band, tree in enumerate(trees):
-                values = band_values(fp, band)
+            for band, (tree, values) in enumerate(zip(trees, all_bands(fp))):
                 q, leaf = tree.leaves(values, BAND_RADIUS)
                 _, lives = (home := tree.leaves(values, 0))
                 own = np.empty(len(values), np.int64)
@@ -278,7 +284,7 @@ def _sharded(points: DataFrame) -> DataFrame:
     sample = np.stack([rows.column(c).to_numpy() for c in _NAMES], axis=1).view(U64)
     # vantage points are taken from the middle, so that the order must not follow the fingerprints
     sample = sample[np.argsort(mix64(sample[:, 0]), kind="stable")]
-    trees = [Tree(band_values(sample, band), 1, depth) for band in range(BANDS)]
+    trees = [Tree(values, 1, depth) for values in all_bands(sample)]
     return points.select("point", *_NAMES).mapInArrow(_router(trees), "shard long, ids binary, fps binary, home binary")
 
 
