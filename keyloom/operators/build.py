@@ -76,8 +76,8 @@ def build(
     routed = keyed.withColumn("block_id", h.fast_range(F.col("prefix"), blocks))
     if sorted_by:
         validate.check_sorted(routed, "position")
-    totals = routing.totals(routed, blocks)
-    if totals.agg(F.max("keys_in_block")).first()[0] > g.block_limit(n, blocks):
+    totals, largest = routing.totals(routed, blocks)
+    if largest > g.block_limit(n, blocks):
         if validate.duplicates(keyed, "k0", "k1").limit(1).count():
             raise errors.DuplicateKey("two keys have the same first 16 bytes")
         raise errors.BlockOverflow("keys are not evenly spread over blocks; hash them first")

@@ -108,7 +108,8 @@ class Index:
             return held.value.answer(keys, payload)
 
         own = [F.col(c) for c in probe.columns if c not in ("rank", "payload", "status")]
-        found = probe.select(*own, find(raw).alias("__found"))
+        # else a filter on the outcome would go below the projection and be a second search
+        found = probe.select(*own, find.asNondeterministic()(raw).alias("__found"))
         return found.select(*own, "__found.rank", *(["__found.payload"] if payload else []), "__found.status")
 
     def lookup(self, probe: DataFrame, key: str = "key", payload: bool = False) -> DataFrame:

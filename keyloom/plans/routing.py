@@ -38,14 +38,15 @@ def keys_before(counts: DataFrame) -> DataFrame:
     return spread.join(base, "__range").select("block_id", F.col("n").alias("keys_in_block"), (F.col("__base") + F.coalesce(F.sum("n").over(own), F.lit(0))).alias("keys_before"))
 
 
-def totals(routed: DataFrame, blocks: int) -> DataFrame:
-    """(block_id, keys_in_block, keys_before) of all blocks, kept: up to LOCAL_BLOCKS of them are added up on the driver, in one job; more by keys_before."""
+def totals(routed: DataFrame, blocks: int) -> tuple[DataFrame, int]:
+    """(block_id, keys_in_block, keys_before) of all blocks, kept, and the keys of the largest: up to LOCAL_BLOCKS of them are added up on the driver, in one job; more by keys_before."""
     if blocks > LOCAL_BLOCKS:
-        return checkpoint(keys_before(block_counts(routed, blocks)))
+        whole = checkpoint(keys_before(block_counts(routed, blocks)))
+        return whole, whole.agg(F.max("keys_in_block")).first()[0]
     found = routed.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).toArrow()
     n = np.zeros(blocks, np.int64)
     n[found.column("block_id").to_numpy()] = found.column("n").to_numpy()
-    return routed.sparkSession.createDataFrame(pa.table({"block_id": np.arange(blocks), "keys_in_block": n, "keys_before": np.cumsum(n) - n}))
+    return routed.sparkSession.createDataFrame(pa.table({"block_id": np.arange(blocks), "keys_in_block": n, "keys_before": np.cumsum(n) - n})), int(n.max())
 
 
 def bucket_counts(bucketed: DataFrame) -> DataFrame:

@@ -170,9 +170,12 @@ def test_large_indexes_are_joined(spark, keyed, monkeypatch, algorithm):
 
 def test_totals_by_both_plans(spark, keyed, monkeypatch):
     routed = keyed.withColumn("block_id", F.pmod(F.xxhash64("i"), F.lit(50)))
-    local = sorted(map(tuple, routing.totals(routed, 60).collect()))
+    df, largest = routing.totals(routed, 60)
+    local = sorted(map(tuple, df.collect()))
+    assert largest == max(n for _, n, _ in local)
     monkeypatch.setattr(routing, "LOCAL_BLOCKS", 0)
-    assert sorted(map(tuple, routing.totals(routed, 60).collect())) == local and len(local) == 60
+    df, again = routing.totals(routed, 60)
+    assert sorted(map(tuple, df.collect())) == local and len(local) == 60 and again == largest
 
 
 def test_unsorted_over_ranges(spark):
