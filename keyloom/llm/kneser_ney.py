@@ -48,12 +48,12 @@ HOLD_OUT = 8
 QUANTILE = 0.995
 MIN_HELD = 20
 BROADCAST_IDS = 4_000_000
-BLOCK_TEXT = 32 << 20
+BLOCK_TEXT = 16 << 20
 MAX_SHARDS = 1024
 UNIT = 1 << 20
 CELLS = 4096
 TRAIN_SLICE = 16 << 20
-PIECE = 2 << 20
+PIECE = 1 << 20
 U64 = np.uint64
 
 

@@ -45,7 +45,8 @@ BANDS, BAND_BITS, BAND_RADIUS = 28, 32, 1
 SHARD_POINTS = 65536
 SAMPLE_SHARE = 1 << 12
 LEAF = 16
-PAIRS_AT_ONCE = 1 << 21
+SLICE = 2 << 20
+PAIRS_AT_ONCE = 1 << 20
 _LANE_KEYS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], U64)
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], U64)
 _NAMES = [f"f{i}" for i in range(LANES)]
@@ -95,7 +96,7 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in text_slices(whole, "text"):
+        for batch in text_slices(whole, "text", SLICE):
             fp = fingerprints(batch.column("text")).view(np.int64)
             null = pc.is_null(batch.column("text")).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *(pa.array(fp[:, i], mask=null) for i in range(LANES))], ["doc_id", "row_key", *_NAMES])
