@@ -38,7 +38,8 @@ MAX_ATTENTION = MAX_TOKENS * MAX_TOKENS * 3 // 4
 WEIGHTS = (1.0, 0.25, 0.5)
 RULE = "norm"
 SHARD_DOCS = 4096
-CACHE = 600_000
+CACHE = 400_000
+SLICE = 2 << 20
 SCHEMA = "bin_id long, position int, doc_id long, piece int, first_token long, n_tokens long"
 
 
@@ -97,7 +98,7 @@ def _counter(model: bytes, longest: int):
                 known.update(zip(marked, (len(ids) // 4 for ids in encode_units(vocabulary(model), [" " + w for w in marked], 0, 0.0))))
 
         for whole in batches:
-            for batch in text_slices(whole, "text"):
+            for batch in text_slices(whole, "text", SLICE):
                 split = [pre_tokens(t) if t else [] for t in batch.column("text").to_pylist()]
                 distinct = set().union(*split)
                 new = list(distinct.difference(known))
