@@ -38,7 +38,7 @@ MAX_ATTENTION = MAX_TOKENS * MAX_TOKENS * 3 // 4
 WEIGHTS = (1.0, 0.25, 0.5)
 RULE = "norm"
 SHARD_DOCS = 4096
-CACHE = 400_000
+CACHE = 600_000
 SLICE = 2 << 20
 SCHEMA = "bin_id long, position int, doc_id long, piece int, first_token long, n_tokens long"
 
