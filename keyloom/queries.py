@@ -328,12 +328,9 @@ def key_length_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY h) AS position FROM (SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS h FROM orders)")
 def merge_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _orders(spark, sf_dir).select("o_orderkey", "key")
-    whole = routing.merged(*[orders.where(F.col("o_orderkey") % 4 == i) for i in range(4)])
-    # positions without a global window: rows in front are counted by range partition
-    placed = whole.withColumn("part", F.spark_partition_id()).withColumn("turn", F.monotonically_increasing_id())
-    placed = placed.withColumn("turn", F.col("turn") - F.shiftleft(F.shiftrightunsigned("turn", 33), 33))
-    counts = routing.keys_before(placed.groupBy(F.col("part").cast("long").alias("block_id")).agg(F.count(F.lit(1)).alias("n")))
-    return placed.join(counts, placed.part == counts.block_id).select("o_orderkey", (F.col("keys_before") + F.col("turn") + 1).alias("position"))
+    # a row without key is in the first stream
+    stream = F.coalesce(F.pmod("o_orderkey", F.lit(4)), F.lit(0))
+    return routing.numbered(routing.merged(*[orders.where(stream == i) for i in range(4)]).select("o_orderkey"), "position")
 
 
 # stats, integrity, storage, streams
