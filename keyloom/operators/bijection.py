@@ -154,24 +154,30 @@ def directory(solved: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
     return {"buckets": solved.where("kind = 1").select("block_id", "bucket_id", "bucket_start", "bucket_size", "seed0", "seed1", "first_rank")}
 
 
+#: what a lookup reads: table, positions in a block, values
+PARTS = [("buckets", "bucket_id", {"bucket_size": "<u2", "seed0": "<i4", "seed1": "<i4"})]
+
+
 class Packed:
-    """All buckets of an index as dense arrays."""
-
-    def __init__(self, tables: dict[str, pa.Table], global_seed: int, blocks: int) -> None:
-        t, self.global_seed, self.blocks = tables["buckets"], global_seed, blocks
-        at = t.column("block_id").to_numpy() * g.BIJECTION_BUCKETS + t.column("bucket_id").to_numpy()
-        self.size, self.seed0, self.seed1 = (np.zeros(blocks * g.BIJECTION_BUCKETS, kind) for kind in (np.uint16, np.int32, np.int32))
-        for column, values in (("bucket_size", self.size), ("seed0", self.seed0), ("seed1", self.seed1)):
-            values[at] = t.column(column).to_numpy()
+    """All buckets of some blocks as dense arrays."""
+
+    def __init__(self, arrays: list[dict[str, np.ndarray]], global_seed: int, keys: np.ndarray, before: np.ndarray) -> None:
+        self.global_seed = global_seed
+        self.size, self.seed0, self.seed1 = arrays[0].values()
         total = np.cumsum(self.size, dtype=np.int64)
         self.first = total - self.size
 
+    @staticmethod
+    def places(keys: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+        """How long the arrays of each part are, and where those of each block begin."""
+        return [len(keys) * g.BIJECTION_BUCKETS], [np.arange(len(keys)) * g.BIJECTION_BUCKETS]
+
     @staticmethod
     def bytes_of(keys: int, blocks: int) -> int:
         return 18 * g.BIJECTION_BUCKETS * blocks
 
     def ranks(self, block: np.ndarray, k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
-        """The rank of each key, -1 in an empty bucket."""
+        """The place of each key among those of the blocks, -1 in an empty bucket."""
         at = block * g.BIJECTION_BUCKETS + K.fast_range(k0, g.BIJECTION_BUCKETS).astype(np.int64)
         size = self.size[at]
         slot = slots_of(k0, k1, self.global_seed, size, self.seed0[at], self.seed1[at])

@@ -18,6 +18,7 @@ from keyloom.functions import geometry as g
 from keyloom.functions import hashing as h
 from keyloom.functions import kernels as K
 from keyloom.functions.model import fast_range, signed, split_key
+from keyloom.operators import packed as P
 from keyloom.operators.packed import OK, PackedIndex, bytes_of
 from keyloom.plans import validate
 from keyloom.session import checkpoint, remove_folder, subfolders
@@ -94,8 +95,7 @@ class Index:
         """The index as arrays, if they take no more than PACK_BYTES; collected once."""
         how = _module(self.meta["algorithm"])
         if self._packed is None and bytes_of(self.meta, how) <= PACK_BYTES:
-            wanted = {n: t for n, t in self.tables.items() if n != "entries" or self.payload_size or self.meta["fp_size"]}
-            self._packed = PackedIndex(self.meta, how, {n: t.toArrow() for n, t in wanted.items()})
+            self._packed = PackedIndex.of_runs(self.meta, how, P.runs(self.meta, how, self.tables).toArrow().to_batches())
         return self._packed
 
     def _packed_lookup(self, probe: DataFrame, raw: Column, payload: bool) -> DataFrame:

@@ -195,30 +195,36 @@ def directory(solved: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+#: what a lookup reads: table, positions in a block, values
+PARTS = [("pilots", "bucket_id", {"pilot": "<u1"}), ("remap", "overflow_slot", {"hole": "<i8"})]
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return np.maximum(np.ceil(keys / g.LOAD).astype(np.int64), keys)
+
+
 class Packed:
-    """All pilots and remaps of an index as dense arrays."""
+    """All pilots and remaps of some blocks as dense arrays."""
 
-    def __init__(self, tables: dict[str, pa.Table], global_seed: int, blocks: int) -> None:
+    def __init__(self, arrays: list[dict[str, np.ndarray]], global_seed: int, keys: np.ndarray, before: np.ndarray) -> None:
         self.hashed = hashed_pilots(global_seed)
-        t = tables["blocks"].sort_by("block_id")
-        self.n, self.before = t.column("keys_in_block").to_numpy(), t.column("keys_before").to_numpy()
-        self.slots = np.maximum(np.ceil(self.n / g.LOAD).astype(np.int64), self.n)
-        self.pilots = np.zeros(blocks * g.PILOT_BUCKETS, np.uint8)
-        t = tables["pilots"]
-        self.pilots[t.column("block_id").to_numpy() * g.PILOT_BUCKETS + t.column("bucket_id").to_numpy()] = t.column("pilot").to_numpy()
+        self.n, self.before, self.slots = keys, before, _slots(keys)
+        self.pilots, self.moved = arrays[0]["pilot"], np.append(arrays[1]["hole"], 0)
         over = self.slots - self.n
         self.moved_at = np.cumsum(over) - over
-        self.moved = np.zeros(int(over.sum()) + 1, np.int64)
-        t = tables["remap"]
-        block = t.column("block_id").to_numpy()
-        self.moved[self.moved_at[block] + t.column("overflow_slot").to_numpy() - self.n[block]] = t.column("hole").to_numpy()
+
+    @staticmethod
+    def places(keys: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+        """How long the arrays of each part are, and where those of each block begin: overflow slots are counted from the first slot of the block."""
+        over = _slots(keys) - keys
+        return [len(keys) * g.PILOT_BUCKETS, int(over.sum())], [np.arange(len(keys)) * g.PILOT_BUCKETS, np.cumsum(over) - over - keys]
 
     @staticmethod
     def bytes_of(keys: int, blocks: int) -> int:
         return (g.PILOT_BUCKETS + 32) * blocks + keys // 10
 
     def ranks(self, block: np.ndarray, k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
-        """The rank of each key, -1 in an empty block."""
+        """The place of each key among those of the blocks, -1 in an empty block."""
         pilot = self.pilots[block * g.PILOT_BUCKETS + K.cubic_bucket(k1, g.PILOT_BUCKETS)]
         n = self.n[block]
         slot = K.fast_range(K.folded(k0, k1) * self.hashed[pilot], self.slots[block].astype(np.uint64)).astype(np.int64)

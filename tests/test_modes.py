@@ -168,6 +168,33 @@ def test_large_indexes_are_joined(spark, keyed, monkeypatch, algorithm):
         small.rank_of(bytes(70_000))
 
 
+@BOTH
+def test_what_the_driver_collects(spark, keyed, monkeypatch, algorithm):
+    """A small index comes to the driver in about the bytes that its arrays take."""
+    sent, kind, to_arrow = [], type(keyed), type(keyed).toArrow
+    own = build(keyed, payload="value", payload_size=2, fingerprint_size=4, algorithm=algorithm)
+    monkeypatch.setattr(kind, "toArrow", lambda df: sent.append(to_arrow(df)) or sent[-1])
+    held = own.packed()
+    assert sum(t.nbytes for t in sent) < 1.25 * packed.bytes_of(own.meta, MODULES[algorithm])
+    assert sorted(held.payload.tolist()) == list(range(4000))
+
+
+def test_runs_in_any_order():
+    """Rows of one block from several batches and out of order, with positions that only another run has."""
+    how, keys = bijection, random_keys(3000, 5)
+    meta = {"num_blocks": 2, "total_keys": len(keys), "payload_size": 2, "fp_size": 1, "global_seed": g.DEFAULT_SEED}
+    tables = tables_without_spark(keys, range(3000), how, 2, 1)
+    mixed = {n: t.take(np.random.default_rng(1).permutation(t.num_rows)) for n, t in tables.items()}
+    kinds = list(how.PARTS[0][2].values())
+    pieces = [mixed["buckets"].slice(i, 100) for i in range(0, mixed["buckets"].num_rows, 100)]
+    cuts = [packed.cut(1, kinds, *(p.column(c).to_numpy() for c in ("block_id", "bucket_id")), [p.column(c).to_numpy() for c in how.PARTS[0][2]]) for p in pieces]
+    entries = packed.cut(2, ["<u4", "<i8"], *(mixed["entries"].column(c).to_numpy() for c in ("block_id", "rank")), [mixed["entries"].column(c).to_numpy() for c in ("fp", "payload")])
+    whole = pa.RecordBatch.from_pydict({"block_id": [1, 0], "part": [0, 0], "start": tables["blocks"].column("keys_before").to_pylist()[::-1], "n": tables["blocks"].column("keys_in_block").to_pylist()[::-1], "data": pa.nulls(2, pa.binary())})
+    p = packed.PackedIndex.of_runs(meta, how, [*cuts, entries, whole])
+    rank, status = p.find(pa.array(keys, pa.binary()))
+    assert (status == packed.OK).all() and p.payload[rank].tolist() == list(range(3000))
+
+
 def test_totals_by_both_plans(spark, keyed, monkeypatch):
     routed = keyed.withColumn("block_id", F.pmod(F.xxhash64("i"), F.lit(50)))
     df, largest = routing.totals(routed, 60)
