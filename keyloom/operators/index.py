@@ -7,11 +7,15 @@ import uuid
 from collections.abc import Iterator
 from types import ModuleType
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.errors import PySparkTypeError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from keyloom import errors
 from keyloom.functions import geometry as g
@@ -21,11 +25,13 @@ from keyloom.functions.model import fast_range, signed, split_key
 from keyloom.operators import packed as P
 from keyloom.operators.packed import OK, PackedIndex, bytes_of
 from keyloom.plans import validate
-from keyloom.session import checkpoint, remove_folder, subfolders
+from keyloom.session import checkpoint, remove_folder, shuffle_partitions, subfolders
 
 VERSION = 1
 #: an index whose arrays take no more goes to every executor whole
 PACK_BYTES = 64 << 20
+#: the bytes of a larger index that a task of a lookup reads, but for one block more, and the keys whose arrays it holds at once, but for one block
+TASK_BYTES, HELD_KEYS = 16 << 20, 100_000
 EMPTY_HASH = xxhash.xxh64_intdigest(b"")
 _META = "version int, algorithm string, total_keys long, num_blocks long, payload_size int, fp_size int, global_seed long, user_metadata binary, payload_hash long, metadata_hash long, metadata_size long, data string"
 
@@ -36,10 +42,16 @@ def _module(name: str) -> ModuleType:
     return algorithm_of(name)
 
 
+def _in_arrow(df: DataFrame) -> bool:
+    try:
+        to_arrow_schema(df.schema)
+    except PySparkTypeError:
+        return False
+    return True
+
+
 def packed_entries(fp: pd.Series, payload: pd.Series, fp_size: int, payload_size: int) -> bytes:
     """Entries in rank order as they are stored: fingerprint, then payload, both little-endian."""
-    import numpy as np
-
     out = np.empty((len(fp), fp_size + payload_size), np.uint8)
     out[:, :fp_size] = fp.to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)[:, :fp_size]
     out[:, fp_size:] = payload.to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)[:, :payload_size]
@@ -112,19 +124,70 @@ class Index:
         found = probe.select(*own, find.asNondeterministic()(raw).alias("__found"))
         return found.select(*own, "__found.rank", *(["__found.payload"] if payload else []), "__found.status")
 
+    def _shuffled_lookup(self, probe: DataFrame, raw: Column, key: str, payload: bool) -> DataFrame:
+        """The probe's rows and the index as runs, shuffled once by block; each task reads its blocks in order, the runs of some in front of the rows that look there."""
+        meta, how = self.meta, _module(self.meta["algorithm"])
+        blocks = self.num_blocks
+        tasks = min(blocks, max(shuffle_partitions(self.spark), self.spark.sparkContext.defaultParallelism, -(-bytes_of(meta, how) // TASK_BYTES)))
+        # task b % tasks has block b; blocks of one step are held at once
+        step = tasks * max(1, HELD_KEYS * blocks // self.num_keys)
+        own = [c for c in probe.columns if c not in ("rank", "payload", "status")]
+        fits = validate.key_length_status(raw) == "OK"
+        # keys that don't fit need no block, and are spread
+        block = F.when(fits, h.fast_range(h.prefix(raw), blocks)).otherwise(F.spark_partition_id() % blocks)
+        given = key in own and dict(probe.dtypes)[key] == "binary"
+        keyed = probe.select(*own, *([] if given else [raw.alias("__key")]), (block * 2 + 1).cast("long").alias("__order"), F.lit(None).cast(P.RUN_STRUCT).alias("__run"))
+        names = keyed.columns[:-2]
+        kinds = {f.name: f.dataType for f in keyed.schema}
+        index = P.runs(meta, how, self.tables).select(*[F.lit(None).cast(kinds[c]).alias(c) for c in names], (F.col("block_id") * 2).alias("__order"), F.struct("block_id", "part", "start", "n", "data").alias("__run"))
+        turn = F.expr(f"shiftright(__order, 1) div {step} * 2 + (__order & 1)")
+        spread = keyed.union(index).repartitionById(tasks, F.expr(f"cast(shiftright(__order, 1) % {tasks} as int)")).sortWithinPartitions(turn)
+        at = names.index(key if given else "__key")
+        kept = len(own)
+        fields = ["rank", *(["payload"] if payload else []), "status"]
+
+        def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, held, of = [], None, -1
+            for batch in batches:
+                order = batch.column(len(names)).to_numpy()
+                turns = (order >> 1) // step * 2 + (order & 1)
+                cuts = [0, *(np.flatnonzero(turns[1:] != turns[:-1]) + 1).tolist(), len(turns)]
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    if a == b:
+                        continue
+                    part = batch.slice(a, b - a)
+                    if turns[a] & 1 == 0:
+                        if turns[a] != of:
+                            rows, held, of = [], None, turns[a]
+                        rows.append(pa.RecordBatch.from_arrays(part.column(len(names) + 1).flatten(), ["block_id", "part", "start", "n", "data"]))
+                        continue
+                    if held is None:
+                        held, rows = PackedIndex.of_runs(meta, how, rows), []
+                    found = held.answer(part.column(at), payload)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:kept], *[found.field(f) for f in fields]], [*own, *fields])
+
+        kind = StructType([*[StructField(c, kinds[c]) for c in own], StructField("rank", LongType()), *([StructField("payload", LongType())] if payload else []), StructField("status", StringType())])
+        return spread.mapInArrow(answers, kind)
+
     def lookup(self, probe: DataFrame, key: str = "key", payload: bool = False) -> DataFrame:
         """probe with rank, payload (if wanted) and status: OK, NOT_FOUND, KEY_TOO_SHORT (also null) or KEY_TOO_LONG.
 
         Without fingerprints a key that isn't in the index may be given some key's rank; with f bytes that happens once in 256^f times.
-        An index of up to PACK_BYTES is broadcast and probed without a shuffle; a larger one is joined.  Works on streams too.
+        An index of up to PACK_BYTES is broadcast and probed without a shuffle; with a larger one the probe is shuffled once.  Works on streams too, which
+        are joined with a larger index, as are rows with columns that Arrow doesn't have.
         """
         self._open()
         if payload:
             self.with_payload()
+        raw = F.col(key) if dict(probe.dtypes)[key] == "binary" else F.encode(F.col(key), "utf-8")
         if self.packed() is not None:
-            return self._packed_lookup(probe, F.col(key) if dict(probe.dtypes)[key] == "binary" else F.encode(F.col(key), "utf-8"), payload)
+            return self._packed_lookup(probe, raw, payload)
+        if not probe.isStreaming and _in_arrow(probe):
+            return self._shuffled_lookup(probe, raw, key, payload)
+        return self._joined_lookup(probe, raw, payload)
+
+    def _joined_lookup(self, probe: DataFrame, raw: Column, payload: bool) -> DataFrame:
         own = [c for c in probe.columns if c not in ("rank", "payload", "status")]
-        raw = F.col(key) if dict(probe.dtypes)[key] == "binary" else F.encode(F.col(key), "utf-8")
         checked = probe.select(*[F.col(c).alias(f"__p_{c}") for c in own], validate.key_length_status(raw).alias("key_status"), raw.alias("__key"))
         fits = F.col("key_status") == "OK"
         keyed = checked.withColumns({"k0": F.when(fits, h.k0(F.col("__key"))), "k1": F.when(fits, h.k1(F.col("__key"))), "block_id": F.when(fits, h.fast_range(h.prefix(F.col("__key")), self.num_blocks))}).drop("__key")

@@ -195,6 +195,27 @@ def test_runs_in_any_order():
     assert (status == packed.OK).all() and p.payload[rank].tolist() == list(range(3000))
 
 
+@BOTH
+def test_large_lookups_shuffle_once(spark, keyed, monkeypatch, algorithm):
+    """A probe of an index beyond PACK_BYTES is shuffled once, whatever blocks a task holds; rows that Arrow doesn't have are joined."""
+    probe = keyed.selectExpr("key", "i", "if(i % 9 = 0, null, array(i)) as own").unionByName(keyed.limit(50).selectExpr("substring(key, 1, 9) as key", "-i as i", "null as own")).unionByName(spark.range(300).selectExpr("encode(md5(string(id)), 'utf-8') as key", "-id as i", "null as own"))
+    texts = probe.selectExpr("hex(key) as rank", "i")
+    small = build(keyed, payload="value", payload_size=2, fingerprint_size=4, algorithm=algorithm)
+    want = sorted(map(repr, small.query_payload(probe).collect())), sorted(map(repr, small.query_payload(texts, "rank").collect()))
+    monkeypatch.setattr(index, "PACK_BYTES", 0)
+    monkeypatch.setattr(index, "HELD_KEYS", 1)
+    large = index.Index(spark, small.meta, small.tables)
+    for task_bytes in (1, 1 << 20):
+        monkeypatch.setattr(index, "TASK_BYTES", task_bytes)
+        found = large.query_payload(probe)
+        assert sorted(map(repr, found.collect())) == want[0]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[-1].count("Exchange ") == 1 and "Join" not in plan
+        assert sorted(map(repr, large.query_payload(texts, "rank").collect())) == want[1]
+    odd = probe.withColumn("own", F.expr("make_interval(1)"))
+    assert large.query_payload(odd).where("status = 'OK' and own is not null").count() == 4000
+
+
 def test_totals_by_both_plans(spark, keyed, monkeypatch):
     routed = keyed.withColumn("block_id", F.pmod(F.xxhash64("i"), F.lit(50)))
     df, largest = routing.totals(routed, 60)
