@@ -112,6 +112,20 @@ def product(let: Let, a: Column, b: Column) -> tuple[Column, Column]:
     return F.shiftleft(d3, 32).bitwiseOR(_and(d2, LOW)), F.shiftleft(d1, 32).bitwiseOR(_and(d0, LOW))
 
 
+def byteswapped(x: Column) -> Column:
+    """A bit pattern with its bytes in reverse."""
+    swapped = F.shiftleft(x, 56)
+    for i in range(1, 8):
+        swapped = swapped.bitwiseOR(F.shiftleft(_and(F.shiftrightunsigned(x, 8 * i), 0xFF), 56 - 8 * i))
+    return swapped
+
+
+def halves(let: Let, key: Column) -> tuple[Column, Column, Column]:
+    """(prefix, k0, k1), with each half of the key read from its digits once."""
+    first, second = let(prefix(key), _bits(F.hex(F.substring(key, 9, 8))))
+    return first, byteswapped(first), byteswapped(second)
+
+
 def fast_range(h: Column, n: int | Column) -> Column:
     """The high 64 bits of an unsigned h times n, n below 2^31."""
     n = F.lit(n).cast("long") if isinstance(n, int) else n

@@ -67,7 +67,9 @@ def build(
     value = F.col(payload).cast("long") if payload and payload_size else F.lit(0).cast("long")
     keys = F.col(key) if dict(df.dtypes)[key] == "binary" else F.encode(F.col(key), "utf-8")
     position = [F.col(sorted_by).alias("position")] if sorted_by else []
-    keyed = checkpoint(df.select(h.k0(keys).alias("k0"), h.k1(keys).alias("k1"), h.prefix(keys).alias("prefix"), F.octet_length(keys).alias("key_length"), value.alias("payload"), *position))
+    let = h.Let(df.select(keys.alias("key"), value.alias("payload"), *position))
+    prefix, k0, k1 = h.halves(let, F.col("key"))
+    keyed = checkpoint(let.result(k0=k0, k1=k1, prefix=prefix, key_length=F.octet_length("key")).drop("key"))
     n = validate.check_keyed(keyed, payload_size)
     validate.check_options(n, payload_size, fingerprint_size)
     if total_keys is not None and total_keys != n:

@@ -132,17 +132,20 @@ class Index:
         # task b % tasks has block b; blocks of one step are held at once
         step = tasks * max(1, HELD_KEYS * blocks // self.num_keys)
         own = [c for c in probe.columns if c not in ("rank", "payload", "status")]
-        fits = validate.key_length_status(raw) == "OK"
-        # keys that don't fit need no block, and are spread
-        block = F.when(fits, h.fast_range(h.prefix(raw), blocks)).otherwise(F.spark_partition_id() % blocks)
         given = key in own and dict(probe.dtypes)[key] == "binary"
-        keyed = probe.select(*own, *([] if given else [raw.alias("__key")]), (block * 2 + 1).cast("long").alias("__order"), F.lit(None).cast(P.RUN_STRUCT).alias("__run"))
+        at_key = key if given else "__key"
+        let = h.Let(probe.select(*own, *([] if given else [raw.alias("__key")])))
+        # outside the condition, in which it would be read anew wherever the number of the block names it
+        (prefix,) = let(h.prefix(F.col(at_key)))
+        # keys that don't fit need no block, and are spread
+        block = F.when(validate.key_length_status(F.col(at_key)) == "OK", h.fast_range(prefix, blocks)).otherwise(F.spark_partition_id() % blocks)
+        keyed = let.result(__order=(block * 2 + 1).cast("long"), __run=F.lit(None).cast("binary"))
         names = keyed.columns[:-2]
         kinds = {f.name: f.dataType for f in keyed.schema}
-        index = P.runs(meta, how, self.tables).select(*[F.lit(None).cast(kinds[c]).alias(c) for c in names], (F.col("block_id") * 2).alias("__order"), F.struct("block_id", "part", "start", "n", "data").alias("__run"))
+        index = P.runs(meta, how, self.tables).select(*[F.lit(None).cast(kinds[c]).alias(c) for c in names], (F.col("block_id") * 2).alias("__order"), P.folded().alias("__run"))
         turn = F.expr(f"shiftright(__order, 1) div {step} * 2 + (__order & 1)")
         spread = keyed.union(index).repartitionById(tasks, F.expr(f"cast(shiftright(__order, 1) % {tasks} as int)")).sortWithinPartitions(turn)
-        at = names.index(key if given else "__key")
+        at = names.index(at_key)
         kept = len(own)
         fields = ["rank", *(["payload"] if payload else []), "status"]
 
@@ -159,7 +162,7 @@ class Index:
                     if turns[a] & 1 == 0:
                         if turns[a] != of:
                             rows, held, of = [], None, turns[a]
-                        rows.append(pa.RecordBatch.from_arrays(part.column(len(names) + 1).flatten(), ["block_id", "part", "start", "n", "data"]))
+                        rows.append(P.unfolded(order[a:b] >> 1, part.column(len(names) + 1)))
                         continue
                     if held is None:
                         held, rows = PackedIndex.of_runs(meta, how, rows), []

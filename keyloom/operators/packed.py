@@ -11,7 +11,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import geometry as g
@@ -20,7 +20,6 @@ from keyloom.functions import kernels as K
 STATUSES = ("OK", "NOT_FOUND", "KEY_TOO_SHORT", "KEY_TOO_LONG")
 OK, NOT_FOUND, KEY_TOO_SHORT, KEY_TOO_LONG = range(4)
 RUN = "block_id long, part int, start long, n long, data binary"
-RUN_STRUCT = f"struct<{RUN}>"
 #: the part that says of a block how many keys are before it and in it
 BLOCKS = 0
 #: positions in a row without values that a run goes on over
@@ -74,6 +73,17 @@ def runs(meta: dict, how: ModuleType, tables: dict[str, DataFrame]) -> DataFrame
     return whole
 
 
+def folded() -> Column:
+    """part, start, n and data of a run as one value: beside rows of a probe, that is one column without a value a row instead of five."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(F.col(c).cast("long")), 16, "0")) for c in ("part", "start", "n")], F.coalesce("data", F.lit(b"")))
+
+
+def unfolded(block: np.ndarray, run: pa.Array) -> pa.RecordBatch:
+    raw = run.to_pylist()
+    head = np.frombuffer(b"".join(r[:24] for r in raw), ">i8").astype(np.int64).reshape(-1, 3)
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *map(pa.array, head.T), pa.array([r[24:] for r in raw], pa.binary())], ["block_id", "part", "start", "n", "data"])
+
+
 class PackedIndex:
     """The directory of an index, and its entries in rank order."""
 

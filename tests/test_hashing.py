@@ -109,3 +109,21 @@ def test_key_split_and_prehash(spark):
     want = xxhash.xxh3_128_intdigest(b"bc")
     assert bytes(hashed[2].key) == (want & m.M64).to_bytes(8, "little") + (want >> 64).to_bytes(8, "little")
     assert hashed[1].key is None
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_halves(spark, ansi):
+    """Keys split from two readings of their digits are split as those of plain integers."""
+    rng = random.Random(11)
+    keys = [b"\0" * 16, b"\xff" * 16, bytes(range(16)), b"\x80" + b"\0" * 14 + b"\x80", *[rng.randbytes(rng.randrange(16, 40)) for _ in range(300)]]
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        let = h.Let(spark.createDataFrame([(bytearray(k),) for k in keys], "key binary"))
+        prefix, k0, k1 = h.halves(let, F.col("key"))
+        rows = let.result(prefix=prefix, k0=k0, k1=k1).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    for r in rows:
+        assert (r.prefix, r.k0, r.k1) == tuple(map(m.signed, m.split_key(bytes(r.key))))
+    short = h.Let(spark.createDataFrame([(None,), (bytearray(),), (bytearray(b"123456789"),)], "key binary"))
+    assert short.result(**dict(zip("pab", h.halves(short, F.col("key"))))).count() == 3

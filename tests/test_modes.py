@@ -16,6 +16,7 @@ from keyloom.operators import bijection, index, packed, ptrhash
 from keyloom.operators.build import BIJECTION, PTRHASH, build
 from keyloom.operators.builder import Builder
 from keyloom.plans import routing, validate
+from keyloom.session import checkpoint
 from keyloom.sources import codec, entry_files, files
 
 BOTH = pytest.mark.parametrize("algorithm", [BIJECTION, PTRHASH])
@@ -216,6 +217,25 @@ def test_large_lookups_shuffle_once(spark, keyed, monkeypatch, algorithm):
     assert large.query_payload(odd).where("status = 'OK' and own is not null").count() == 4000
 
 
+def test_keys_are_read_once(spark, monkeypatch):
+    """A build reads each half of a key's digits once and a large lookup the first half once, and its probe carries no fields of runs."""
+    plans, keyed = [], spark.range(4000).select(h.key_bytes("id").alias("key"), F.col("id").alias("value"))
+
+    def kept(df):
+        plans.append(df)
+        return checkpoint(df)
+
+    monkeypatch.setattr("keyloom.operators.build.checkpoint", kept)
+    small = build(keyed, payload="value", payload_size=2, fingerprint_size=1)
+    readings = lambda df: df._jdf.queryExecution().executedPlan().toString().count("conv(")
+    assert readings(plans[0]) == 2
+    monkeypatch.setattr(index, "PACK_BYTES", 0)
+    found = index.Index(spark, small.meta, small.tables).query_payload(keyed)
+    assert readings(found) == 1
+    assert "struct(" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("status = 'OK' and payload = value").count() == 4000
+
+
 def test_totals_by_both_plans(spark, keyed, monkeypatch):
     routed = keyed.withColumn("block_id", F.pmod(F.xxhash64("i"), F.lit(50)))
     df, largest = routing.totals(routed, 60)
